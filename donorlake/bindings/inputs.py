@@ -534,6 +534,12 @@ def form_submits(events: DataFrame) -> DataFrame:
     return _form_state(beacons(events).where(F.col("kind").isin("click", "purchase")))
 
 
+def form_beacons(events: DataFrame) -> DataFrame:
+    """Opens and submits as one stream."""
+    kinds = F.col("kind").isin("view", "error", "click", "purchase")
+    return _form_state(beacons(events).where(kinds)).withColumn("is_submit", F.col("kind").isin("click", "purchase"))
+
+
 def metric_events(events: DataFrame) -> DataFrame:
     b = beacons(events)
     name = (

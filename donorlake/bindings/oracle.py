@@ -623,3 +623,21 @@ SELECT CASE WHEN error_type = 'card_error' THEN
       ELSE '{_GENERIC}' END
   ELSE '{_GENERIC}' END AS message, count(*) AS n
 FROM failed GROUP BY 1"""
+
+# --- streams: what the batch twin gives ----------------------------------------------------------------------------------
+
+ORACLE["stream_ledger"] = ORACLE["payment_ledger"]
+ORACLE["stream_late_hooks"] = f"SELECT * FROM ({ORACLE['ledger_regressions']}) WHERE is_regression OR is_late"
+ORACLE["stream_contributors"] = ORACLE["contributors_merge"]
+ORACLE["stream_metric_counts"] = ORACLE["metric_counts"]
+ORACLE["stream_funnel"] = ORACLE["checkout_funnel"]
+ORACLE["stream_abandonment"] = ORACLE["form_abandonment"]
+ORACLE["stream_session_state"] = ORACLE["ab_sticky_id"]
+ORACLE["stream_receipts_outbox"] = (
+    f"SELECT address, created, amount, currency, edition, name, extension FROM ({ORACLE['receipts_outbox']})"
+)
+ORACLE["stream_consent_outbox"] = ORACLE["consent_outbox"]
+ORACLE["stream_acquisitions"] = f"""SELECT a.paymentid, a.payment_source, a.currency, a.amount, a.campaign_codes, a.ab_tests,
+  a.platform, d.month FROM ({ORACLE['acquisition_events']}) a
+JOIN (WITH {_BASE} SELECT CASE WHEN feed = 'Stripe' THEN 'ch_' ELSE 'PAY-' END || k AS paymentid,
+  strftime(made_at, '%Y-%m') AS month FROM base) d ON a.paymentid = d.paymentid"""

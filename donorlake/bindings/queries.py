@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from donorlake.bindings import inputs
 from donorlake.bindings.inputs import every, props_k, table, text_id, uuid_of
 from donorlake.functions import money
+from donorlake.functions.text import full_name
 from donorlake.operators import allocation, folds, running, sticky
 from donorlake.plans import acquisitions, attribution, beacons, counters, experiments, forms, ledger, visitors
 from donorlake.sources import records, requests
@@ -176,15 +177,11 @@ def attribution_backfill(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query
-def contributors_merge(spark: SparkSession, sf: str) -> DataFrame:
-    orders, customer = table(spark, sf, "orders"), table(spark, sf, "customer")
+def saved_contributors(orders: DataFrame, customer: DataFrame) -> DataFrame:
     base = inputs.payments_base(orders).join(customer, F.col("c") == F.col("c_custkey"))
     first = F.when(~every("k", 3), F.col("c_name"))
     last = F.when(~every("k", 5), F.concat(F.lit("of "), F.initcap("c_mktsegment")))
-    from donorlake.functions.text import full_name
-
-    rows = base.select(
+    return base.select(
         F.concat(F.lit("user"), F.col("c").cast("string"), F.lit("@example.com")).alias("email"),
         full_name(first, last).alias("name"),
         first.alias("firstname"),
@@ -195,11 +192,20 @@ def contributors_merge(spark: SparkSession, sf: str) -> DataFrame:
         "received_at",
         "delivery_id",
     )
-    return attribution.live_contributors(rows).select(
+
+
+def contributor_columns(table_: DataFrame) -> DataFrame:
+    return table_.select(
         "receipt_email", "name", "firstname", "lastname", "iduser", "postcode", "contributor_id", text_time("updated")
     )
 
 
+@query
+def contributors_merge(spark: SparkSession, sf: str) -> DataFrame:
+    rows = saved_contributors(table(spark, sf, "orders"), table(spark, sf, "customer"))
+    return contributor_columns(attribution.live_contributors(rows))
+
+
 @query
 def ledger_metadata_reconcile(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.reconcile(_ledger(spark, sf), _metadata(spark, sf)).select("side", "n", dbl("total"))
@@ -240,14 +246,16 @@ def receipts_outbox(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query
-def consent_outbox(spark: SparkSession, sf: str) -> DataFrame:
-    asked = inputs.request_base(table(spark, sf, "events")).select(
-        F.col("id").alias("request_id"),
+def opt_ins(events: DataFrame) -> DataFrame:
+    return inputs.request_base(events).select(
         F.concat(F.lit("donor"), F.col("u").cast("string"), F.lit("@example.com")).alias("email"),
         (F.col("kk") >= 50).alias("opt_in"),
     )
-    sent = attribution.consents(asked)
+
+
+@query
+def consent_outbox(spark: SparkSession, sf: str) -> DataFrame:
+    sent = attribution.consents(opt_ins(table(spark, sf, "events")))
     return sent.groupBy("email", joined("set-consents", "consents")).agg(F.count("*").alias("n"))
 
 

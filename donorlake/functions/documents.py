@@ -1,23 +1,37 @@
 """Strict reading of JSON documents.
 
-A document is parsed once into a VARIANT. Each field is then read by path, with its JSON type checked: a number where
-a text is due rejects the document, as does any required field that is absent. The first failing field, in the order
-the fields are listed, is the reason.
+A document is parsed once, by a schema that has the asked-for paths and VARIANT leaves. The leaves still know their
+JSON type, so a number where a text is due rejects the document, as does any required field that is absent. The first
+failing field, in the order the fields are listed, is the reason.
+
+The stages are SQL text: a reader has some hundred expressions, and one text per stage keeps the driver's part short.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from donorlake.functions import money, text
 from donorlake.functions.stages import computed_once
+from donorlake.functions.text import UUID_PATTERN
 from donorlake.schemas import WIDE_MONEY
 
-_DOC = "_document"
 NOT_JSON = "not json"
+_CORRUPT = "_corrupt"
+
+_MONEY = WIDE_MONEY.simpleString()
+_TYPED = {
+    "text": "CASE WHEN {t} = 'STRING' THEN try_cast({n} AS STRING) END",
+    "whole": "CASE WHEN {t} = 'BIGINT' OR endswith({t}, ',0)') THEN try_cast({n} AS BIGINT) END",
+    "flag": "CASE WHEN {t} = 'BOOLEAN' THEN try_cast({n} AS BOOLEAN) END",
+    "number": (
+        "CASE WHEN {t} = 'STRING' THEN CASE WHEN try_cast({n} AS STRING) RLIKE "
+        r"r'^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$' THEN " + f"try_cast({{n}} AS {_MONEY}) END "
+        f"WHEN {{t}} IN ('BIGINT', 'DOUBLE') OR startswith({{t}}, 'DECIMAL') THEN try_cast({{n}} AS {_MONEY}) END"
+    ),
+}
 
 
 @dataclass(frozen=True)
@@ -25,57 +39,76 @@ class Field:
     """One field of a document.
 
     ``kind`` is text, whole, flag, number (a JSON number or a quoted one), object, or a DDL type for nested values.
-    ``then`` refines the value; a present value that it maps to null rejects the document.
+    ``then`` is SQL over ``{v}`` that refines the value; a present value that it maps to null rejects the document.
     """
 
     name: str
     path: str
     kind: str = "text"
     required: bool = True
-    then: Callable[[Column], Column] | None = None
-
-
-def _typed(node: Column, json_type: Column, kind: str) -> Column:
-    """Value of a node, or null if its JSON type is not the one asked for."""
-    if kind == "text":
-        return F.when(json_type == "STRING", node.try_cast("string"))
-    if kind == "whole":
-        return F.when((json_type == "BIGINT") | F.endswith(json_type, F.lit(",0)")), node.try_cast("bigint"))
-    if kind == "flag":
-        return F.when(json_type == "BOOLEAN", node.try_cast("boolean"))
-    if kind == "number":
-        return F.when(json_type == "STRING", money.number(node.try_cast("string"))).when(
-            json_type.isin("BIGINT", "DOUBLE") | F.startswith(json_type, F.lit("DECIMAL")), node.try_cast(WIDE_MONEY)
-        )
-    if kind == "object":
-        return F.when(F.startswith(json_type, F.lit("OBJECT")), F.lit(True))
-    return node.try_cast(kind)
+    then: str = "{v}"
+
+
+def _schema(fields: Sequence[Field]) -> str:
+    """DDL of the paths the fields ask for."""
+    tree: dict = {}
+    for field in fields:
+        at = tree
+        for part in field.path.removeprefix("$.").split("."):
+            at = at.setdefault(part, {})
+
+    def struct(node: dict, mark: str) -> str:
+        return ", ".join(f"`{k}`{mark} {'STRUCT<' + struct(v, ':') + '>' if v else 'VARIANT'}" for k, v in node.items())
+
+    return f"{struct(tree, '')}, {_CORRUPT} STRING"
 
 
 def read_documents(df: DataFrame, raw: str, fields: Sequence[Field]) -> DataFrame:
     """Add one column per field and ``problem``: null for a valid document, else the first reason to reject it."""
-    every = range(len(fields))
-    nodes = {f"_n{i}": F.try_variant_get(F.col(_DOC), fields[i].path, "variant") for i in every}
-    types = {f"_t{i}": F.schema_of_variant(F.col(f"_n{i}")) for i in every}
-    typed = {f"_v{i}": _typed(F.col(f"_n{i}"), F.col(f"_t{i}"), fields[i].kind) for i in every}
-    final = {f"_f{i}": fields[i].then(F.col(f"_v{i}")) if fields[i].then else F.col(f"_v{i}") for i in every}
-
-    faults = [F.when(F.col(_DOC).isNull(), F.lit(NOT_JSON))]
+    doc = "_document"
+    # A root that is not an object is kept by the parser as far as it goes; it has no fields as far as we are concerned.
+    faults = [
+        f"WHEN {doc} IS NULL OR startswith(ltrim({raw}), '[') THEN '{NOT_JSON}'",
+        f"WHEN {doc}.{_CORRUPT} IS NOT NULL AND try_parse_json({raw}) IS NULL THEN '{NOT_JSON}'",
+    ]
+    types, typed, final = [], [], []
     for i, field in enumerate(fields):
-        bad = F.col(f"_f{i}").isNull()
-        if not field.required:
-            bad = bad & F.coalesce(F.col(f"_t{i}") != "VOID", F.lit(False))
-        faults.append(F.when(bad, F.lit(field.name)))
-
-    parsed = df.withColumn(_DOC, F.try_parse_json(F.col(raw)))
-    read = parsed.withColumns(nodes).withColumns(types).withColumns(typed).withColumns(final)
+        node = f"{doc}.`{field.path.removeprefix('$.').replace('.', '`.`')}`"
+        names = {"n": node, "t": f"_t{i}", "v": f"_v{i}"}
+        if field.kind == "object":
+            faults.append(f"WHEN {node} IS NULL THEN '{field.name}'")
+            continue
+        types.append(f"schema_of_variant({node}) AS _t{i}")
+        typed.append(_TYPED.get(field.kind, f"try_cast({{n}} AS {field.kind})").format(**names) + f" AS _v{i}")
+        final.append(field.then.format(**names) + f" AS _f{i}")
+        present = "" if field.required else f" AND coalesce(_t{i} <> 'VOID', false)"
+        faults.append(f"WHEN _f{i} IS NULL{present} THEN '{field.name}'")
+
+    read = df.withColumn(doc, F.from_json(F.col(raw), _schema(fields), {"columnNameOfCorruptRecord": _CORRUPT}))
+    for stage in (types, typed, final):
+        read = read.selectExpr("*", *stage)
     columns = {field.name: F.col(f"_f{i}") for i, field in enumerate(fields) if field.kind != "object"}
-    return computed_once(read, {**columns, "problem": F.coalesce(*faults)}, keep=df.columns)
+    problem = F.expr(f"CASE {' '.join(faults)} END")
+    return computed_once(read, {**columns, "problem": problem}, keep=df.columns)
+
+
+# --- refinements -----------------------------------------------------------------------------------------------------
+
+UUID = f"CASE WHEN lower({{v}}) RLIKE '{UUID_PATTERN.replace('{', '{{').replace('}', '}}')}' THEN lower({{v}}) END"
+ISO_TIME = "try_to_timestamp({v})"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "\\'") + "'"
 
 
-def iso_time(value: Column) -> Column:
-    return F.try_to_timestamp(value)
+def one_of(table: Mapping[str, str], of: str = "{v}") -> str:
+    """The value a small fixed table gives; unknown -> null."""
+    return f"CASE {of} " + " ".join(f"WHEN {_quoted(k)} THEN {_quoted(v)}" for k, v in table.items()) + " END"
 
 
-def one_of(table: dict[str, str]) -> Callable[[Column], Column]:
-    return lambda value: text.look_up(value, table)
+def member_of(members: Sequence[str]) -> str:
+    """Member whose text this is: underscores and case do not count."""
+    if not members:
+        return "CAST(NULL AS STRING)"
+    return one_of({m.lower(): m for m in members}, of="lower(replace({v}, '_', ''))")

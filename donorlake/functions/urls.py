@@ -17,10 +17,10 @@ def decoded(value: Column) -> Column:
     return F.try_url_decode(value)
 
 
-def pair_value(pairs: Column, key: str) -> Column:
-    """First value of a query key, decoded; null if the key is absent."""
-    first = F.try_element_at(F.filter(pairs, lambda p: (p == key) | F.startswith(p, F.lit(f"{key}="))), F.lit(1))
-    return decoded(F.substring(first, F.lit(len(key) + 2), F.length(first)))
+def pair_value(key: str, pairs: str = "_pairs") -> str:
+    """SQL for the first value of a query key, decoded; null if the key is absent."""
+    first = f"try_element_at(filter({pairs}, p -> p = '{key}' OR startswith(p, '{key}=')), 1)"
+    return f"try_url_decode(substring({first}, {len(key) + 2}))"
 
 
 def url_parameter(url: Column, key: str) -> Column:

@@ -65,9 +65,10 @@ def assignments(requests: DataFrame, browser: str, time: str, life: int = TEST_I
     ).agg(F.count("*").alias("n"))
     ordered = per_second.repartition("browser_id").sortWithinPartitions("browser_id", "second")
     owned = ordered.mapInPandas(scan_assignments(life), ASSIGNMENTS)
-    return (
-        owned.groupBy("browser_id", "assigned_second")
-        .agg(F.sum("n_requests").alias("n_requests"))
-        .withColumn("expires_second", F.col("assigned_second") + life)
-        .withColumn("test_id", test_id(F.col("browser_id"), F.col("assigned_second")))
+    return finished(owned.groupBy("browser_id", "assigned_second").agg(F.sum("n_requests").alias("n_requests")), life)
+
+
+def finished(assigned: DataFrame, life: int = TEST_ID_SECONDS) -> DataFrame:
+    return assigned.withColumn("expires_second", F.col("assigned_second") + life).withColumn(
+        "test_id", test_id(F.col("browser_id"), F.col("assigned_second"))
     )

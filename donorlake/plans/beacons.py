@@ -32,8 +32,12 @@ def funnel(beacons: DataFrame) -> DataFrame:
 
     A page load and step is one row after the map-side fold, so a page that repeats a step costs nothing extra.
     """
+    return funnel_of_steps(step_keys(beacons))
+
+
+def funnel_of_steps(steps_seen: DataFrame) -> DataFrame:
     steps = {n: F.coalesce(F.sum(F.when(F.col("step") == n, F.col("n"))), F.lit(0)) for n in fixed.CHECKOUT_STEPS}
-    table = step_keys(beacons).groupBy("platform").agg(*[c.alias(f"step_{n}") for n, c in steps.items()])
+    table = steps_seen.groupBy("platform").agg(*[c.alias(f"step_{n}") for n, c in steps.items()])
     share = lambda n: F.try_divide(F.col(f"step_{n}").cast("double"), F.col("step_1").cast("double"))
     return table.withColumns({f"rate_{n}": share(n) for n in steps if n > 1})
 

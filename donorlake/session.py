@@ -19,6 +19,10 @@ JOB_SETTINGS = {
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
+# Can only be given when the session is made: a job here is many column expressions, and noting the Python line of
+# each one for error messages costs more driver time than planning the job.
+SESSION_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings the results depend on to a session made elsewhere."""
@@ -31,7 +35,7 @@ def build_session(app: str = "donorlake", master: str | None = None, **conf: str
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**JOB_SETTINGS, **conf}.items():
+    for key, value in {**JOB_SETTINGS, **SESSION_SETTINGS, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

@@ -8,40 +8,34 @@ name: with ``id_prefix="site"`` the fields are ``sitePageviewId``, ``siteBrowser
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from donorlake import fixed_values as fixed
-from donorlake.functions import money, urls
-from donorlake.functions.documents import Field, read_documents
+from donorlake.functions import urls
+from donorlake.functions.documents import Field, member_of, one_of, read_documents
 from donorlake.functions.stages import computed_once
-from donorlake.functions.text import decode_enum, look_up
-from donorlake.schemas import AB_TEST, AB_TESTS
 
 _TEST = "struct<name:string,variant:string>"
 _TESTS = f"array<{_TEST}>"
 
+# A test entry needs both its name and its variant.
+_NAMED = "CASE WHEN {v}.name IS NOT NULL AND {v}.variant IS NOT NULL THEN {v} END"
+_ALL_NAMED = (
+    "CASE WHEN forall({v}, t -> t.name IS NOT NULL AND t.variant IS NOT NULL) THEN array_distinct({v}) END"
+)
+
 
 def _id_field(prefix: str, name: str) -> str:
     return f"{prefix}{name}" if prefix else name[0].lower() + name[1:]
 
 
-def _named(test: Column) -> Column:
-    """A test entry needs both its name and its variant."""
-    return F.when(test["name"].isNotNull() & test["variant"].isNotNull(), test)
-
-
-def _all_named(tests: Column) -> Column:
-    complete = F.forall(tests, lambda t: t["name"].isNotNull() & t["variant"].isNotNull())
-    return F.when(complete, F.array_distinct(tests))
-
-
 def _acquisition_fields(sources: tuple[str, ...], component_types: tuple[str, ...]) -> list[Field]:
     return [
         Field("component_id", "$.componentId", required=False),
-        Field("component_type", "$.componentType", required=False, then=lambda c: decode_enum(c, component_types)),
-        Field("source", "$.source", required=False, then=lambda c: decode_enum(c, sources)),
-        Field("referrer_test", "$.refererAbTest", _TEST, required=False, then=_named),
-        Field("native_tests", "$.nativeAbTests", _TESTS, required=False, then=_all_named),
+        Field("component_type", "$.componentType", required=False, then=member_of(component_types)),
+        Field("source", "$.source", required=False, then=member_of(sources)),
+        Field("referrer_test", "$.refererAbTest", _TEST, required=False, then=_NAMED),
+        Field("native_tests", "$.nativeAbTests", _TESTS, required=False, then=_ALL_NAMED),
     ]
 
 
@@ -62,7 +56,7 @@ def read_card_requests(
     """Card checkout submissions. The card token is checked for presence and not kept."""
     fields = [
         Field("name", "$.name"),
-        Field("currency", "$.currency", then=money.known_currency),
+        Field("currency", "$.currency", then=one_of({c: c for c in fixed.KNOWN_CURRENCIES}, of="upper({v})")),
         Field("amount", "$.amount", "number"),
         Field("email", "$.email"),
         Field("token", "$.token"),
@@ -90,8 +84,8 @@ def read_auth_requests(
 ) -> DataFrame:
     """PayPal authorisation requests: at least 1, referrer URL without its fragment."""
     fields = [
-        Field("country_group", "$.countryGroup", then=lambda c: look_up(c, fixed.COUNTRY_GROUP_PATH)),
-        Field("amount", "$.amount", "number", then=lambda c: F.when(c >= 1, c)),
+        Field("country_group", "$.countryGroup", then=one_of({g: g for g in fixed.COUNTRY_GROUP_PATH})),
+        Field("amount", "$.amount", "number", then="CASE WHEN {v} >= 1 THEN {v} END"),
         Field("cmp", "$.cmp", required=False),
         Field("intcmp", "$.intCmp", required=False),
         *_referrer_fields(),
@@ -100,7 +94,7 @@ def read_auth_requests(
         Field("visit_id", f"$.{_id_field(id_prefix, 'VisitId')}", required=False),
         Field("is_support", "$.supportRedirect", "flag", required=False),
         *_acquisition_fields(sources, component_types),
-        Field("deprecated_test", "$.abTest", _TEST, required=False, then=_named),
+        Field("deprecated_test", "$.abTest", _TEST, required=False, then=_NAMED),
     ]
     parsed = read_documents(raw, document, fields).drop("deprecated_test")
     return parsed.withColumn("referrer_url", urls.without_fragment(F.col("referrer_url")))
@@ -123,7 +117,7 @@ def read_capture_requests(
         *_referrer_fields(),
         Field("pageview_id", f"$.{_id_field(id_prefix, 'PageviewId')}", required=False),
         Field("browser_id", f"$.{_id_field(id_prefix, 'BrowserId')}", required=False),
-        Field("deprecated_test", "$.abTest", _TEST, required=False, then=_named),
+        Field("deprecated_test", "$.abTest", _TEST, required=False, then=_NAMED),
         *_acquisition_fields(sources, component_types),
     ]
     return read_documents(raw, document, fields).drop("deprecated_test")
@@ -137,12 +131,10 @@ def read_return_urls(
     component_types: tuple[str, ...] = fixed.COMPONENT_TYPES,
 ) -> DataFrame:
     """PayPal return URLs. ``paymentId``, ``token`` and ``PayerID`` are required; a bad optional value also rejects."""
-    pairs = F.col("_pairs")
-    value = lambda key: urls.pair_value(pairs, key)
-    test = F.from_json(value("refererAbTest"), AB_TEST)
-    tests = F.from_json(value("nativeAbTests"), AB_TESTS)
-    columns = {
+    value = urls.pair_value
+    raw = {
         "paymentid": value("paymentId"),
+        "_token": value("token"),
         "payer_id": value("PayerID"),
         "cmp": value("CMP"),
         "intcmp": value("INTCMP"),
@@ -152,27 +144,31 @@ def read_return_urls(
         "browser_id": value("bid"),
         "visit_id": value(_id_field(id_prefix, "VisitId")),
         "component_id": value("componentId"),
-        "component_type": decode_enum(value("componentType"), component_types),
-        "source": decode_enum(value("source"), sources),
-        "referrer_test": _named(test),
-        "native_tests": _all_named(tests),
-        "is_support": look_up(value("supportRedirect"), {"true": True, "false": False}),
+        "_component_type": value("componentType"),
+        "_source": value("source"),
+        "_referrer_test": value("refererAbTest"),
+        "_native_tests": value("nativeAbTests"),
+        "_is_support": value("supportRedirect"),
     }
-    optional = {
-        "component_type": "componentType",
-        "source": "source",
-        "referrer_test": "refererAbTest",
-        "native_tests": "nativeAbTests",
-        "is_support": "supportRedirect",
+    read = {
+        "component_type": member_of(component_types).format(v="_component_type"),
+        "source": member_of(sources).format(v="_source"),
+        "_test": f"from_json(_referrer_test, '{_TEST}')",
+        "_tests": f"from_json(_native_tests, '{_TESTS}')",
+        "is_support": "CASE _is_support WHEN 'true' THEN true WHEN 'false' THEN false END",
     }
-    problem = F.coalesce(
-        F.when(F.col("paymentid").isNull(), "paymentId"),
-        F.when(value("token").isNull(), "token"),
-        F.when(F.col("payer_id").isNull(), "PayerID"),
-        *[F.when(value(key).isNotNull() & F.col(name).isNull(), key) for name, key in optional.items()],
-    )
-    read = log.withColumn("_pairs", urls.query_pairs(F.col(url))).withColumns(columns)
-    return computed_once(read, {**{name: F.col(name) for name in columns}, "problem": problem}, keep=log.columns)
+    checked = {"referrer_test": _NAMED.format(v="_test"), "native_tests": _ALL_NAMED.format(v="_tests")}
+    required = {"paymentid": "paymentId", "_token": "token", "payer_id": "PayerID"}
+    optional = ["component_type", "source", "referrer_test", "native_tests", "is_support"]
+    faults = [f"WHEN {c} IS NULL THEN '{key}'" for c, key in required.items()]
+    faults += [f"WHEN _{c} IS NOT NULL AND {c} IS NULL THEN '{c}'" for c in optional]
+
+    parsed = log.withColumn("_pairs", urls.query_pairs(F.col(url)))
+    for stage in (raw, read, checked):
+        parsed = parsed.selectExpr("*", *[f"{sql} AS {name}" for name, sql in stage.items()])
+    names = [c for c in [*raw, *read, *checked] if not c.startswith("_")]
+    problem = F.expr(f"CASE {' '.join(faults)} END")
+    return computed_once(parsed, {**{c: F.col(c) for c in names}, "problem": problem}, keep=log.columns)
 
 
 def read_landing_urls(
@@ -187,12 +183,13 @@ def read_landing_urls(
         Field("referrer_pageview_id", "$.referrerPageviewId", required=False),
         Field("referrer_url", "$.referrerUrl", required=False),
         Field("component_id", "$.componentId", required=False),
-        Field("component_type", "$.componentType", required=False, then=lambda c: decode_enum(c, component_types)),
-        Field("source", "$.source", required=False, then=lambda c: decode_enum(c, sources)),
-        Field("ab_test", "$.abTest", _TEST, required=False, then=_named),
+        Field("component_type", "$.componentType", required=False, then=member_of(component_types)),
+        Field("source", "$.source", required=False, then=member_of(sources)),
+        Field("ab_test", "$.abTest", _TEST, required=False, then=_NAMED),
     ]
-    document = urls.pair_value(urls.query_pairs(F.col(url)), "acquisitionData")
-    parsed = read_documents(log.withColumn("_data", document), "_data", fields)
+    data = F.expr(urls.pair_value("acquisitionData"))
+    log = log.withColumn("_pairs", urls.query_pairs(F.col(url))).withColumn("_data", data).drop("_pairs")
+    parsed = read_documents(log, "_data", fields)
     return parsed.withColumn("problem", F.when(F.col("_data").isNull(), "not found").otherwise(F.col("problem"))).drop(
         "_data"
     )

@@ -10,15 +10,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from donorlake import fixed_values as fixed
 from donorlake.functions import money
-from donorlake.functions.documents import Field, iso_time, one_of, read_documents
-from donorlake.functions.text import uuid_text
+from donorlake.functions.documents import ISO_TIME, UUID, Field, one_of, read_documents
 from donorlake.schemas import MONEY
 
 PAYPAL_HOOK = [
     Field("resource", "$.resource", "object"),
-    Field("custom", "$.resource.custom", required=False, then=uuid_text),
+    Field("custom", "$.resource.custom", required=False, then=UUID),
     Field("parent_payment", "$.resource.parent_payment"),
-    Field("create_time", "$.resource.create_time", then=iso_time),
+    Field("create_time", "$.resource.create_time", then=ISO_TIME),
     Field("currency", "$.resource.amount.currency"),
     Field("total", "$.resource.amount.total", "number"),
     Field("event_type", "$.event_type", then=one_of(fixed.PAYPAL_EVENT_STATUS)),
@@ -28,7 +27,7 @@ STRIPE_HOOK = [
     Field("event_id", "$.id"),
     Field("payload", "$.data.object", "object"),
     Field("metadata", "$.data.object.metadata", "object"),
-    Field("contribution_id", "$.data.object.metadata.contributionId", then=uuid_text),
+    Field("contribution_id", "$.data.object.metadata.contributionId", then=UUID),
     Field("payment_id", "$.data.object.id"),
     Field("livemode", "$.data.object.livemode", "flag"),
     Field("created_epoch", "$.data.object.created", "whole"),
