@@ -28,6 +28,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that scans into fewer tasks than there are cores (one small file) is dealt out to all of them.
+
+    Building and reading a document costs far more than moving its row. A table of many files is left as it is, and so
+    is a micro-batch.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 # --- shared expressions ------------------------------------------------------------------------------------------------
 
 
@@ -66,7 +78,7 @@ def props_k() -> Column:
 def payments_base(orders: DataFrame) -> DataFrame:
     stripe = F.col("o_orderpriority").isin(*STRIPE_PRIORITIES)
     received = F.col("o_orderdate").cast("timestamp")
-    return orders.select(
+    return spread(orders).select(
         F.col("o_orderkey").alias("k"),
         F.col("o_custkey").alias("c"),
         F.col("o_orderstatus").alias("s"),
@@ -281,7 +293,7 @@ def stripe_charges(orders: DataFrame) -> DataFrame:
 def request_base(events: DataFrame) -> DataFrame:
     k = props_k()
     suppressed = F.element_at(F.array(*[F.lit(c) for c in SUPPRESSED]), (F.col("kk") % 4 + 1).cast("int"))
-    return events.select(
+    return spread(events).select(
         F.col("event_id").alias("id"),
         F.col("user_id").alias("u"),
         F.col("event_type").alias("kind"),

@@ -17,6 +17,9 @@ JOB_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A document that repeats a key is still a document; the last value counts.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # Reading a document is one wide projection. Fused into a single method it is too large for the JVM to compile
+    # (8000 bytes); above that size Spark is to split it into methods that are compiled.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 # Can only be given when the session is made: a job here is many column expressions, and noting the Python line of
