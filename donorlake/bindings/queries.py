@@ -85,9 +85,7 @@ def hooks_dead_letters(spark: SparkSession, sf: str) -> DataFrame:
     paypal = ledger.triage(inputs.paypal_hooks(orders), F.col("signature_ok"))
     stripe = ledger.triage(inputs.stripe_hooks(orders))
     dead = ledger.dead_letters(paypal, "paypal").unionByName(ledger.dead_letters(stripe, "stripe"))
-    return dead.select("feed", "reason", "stage", F.sha2("raw", 256).alias("_h")).groupBy("feed", "reason", "stage").agg(
-        F.count("*").alias("n")
-    )
+    return dead.groupBy("feed", "reason", "stage").agg(F.count("*").alias("n"))
 
 
 @query
@@ -689,7 +687,7 @@ def profile_enrichment(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def request_enrichment(spark: SparkSession, sf: str) -> DataFrame:
-    found = visitors.enrich_requests(_signed_in(spark, sf), _profiles(spark, sf), "identity_id", "id", hot_rows=50)
+    found = visitors.enrich_requests(_signed_in(spark, sf), _profiles(spark, sf), "identity_id", "id")
     return found.select("id", "identity_id", "profile_email", "profile_name")
 
 

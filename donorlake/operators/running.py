@@ -59,18 +59,23 @@ def previous_row(
 def sessions(df: DataFrame, key: str, time: str, gap_seconds: int, chunk: Column) -> DataFrame:
     """Visits of a key: a pause longer than the gap starts a new one.
 
-    Rows are first folded into visits inside a chunk. Only those pieces, a few per chunk, are put in order per key and
-    joined where one chunk's last visit runs on into the next chunk.
+    Rows are first counted per key and second, ahead of any shuffle, so that no key has more rows than the clock has
+    seconds. Seconds are then folded into visits inside a chunk, and only those pieces, a few per chunk, are put in
+    order per key and joined where one chunk's last visit runs on into the next chunk.
     """
+    if gap_seconds < 1:
+        raise ValueError("a gap is at least a second")
     gap = F.expr(f"INTERVAL {int(gap_seconds)} SECONDS")
-    inside = Window.partitionBy(key, "_chunk").orderBy(time)
-    starts = F.coalesce((F.col(time) - F.lag(time).over(inside)) > gap, F.lit(False))
+    seconds = df.groupBy(key, chunk.alias("_chunk"), F.date_trunc("second", F.col(time)).alias("_second")).agg(
+        F.min(time).alias("_from"), F.max(time).alias("_to"), F.count("*").alias("_n")
+    )
+    inside = Window.partitionBy(key, "_chunk").orderBy("_second")
+    starts = F.coalesce((F.col("_from") - F.lag("_to").over(inside)) > gap, F.lit(False))
     pieces = (
-        df.select(key, time, chunk.alias("_chunk"))
-        .withColumn("_new", starts.cast("int"))
+        seconds.withColumn("_new", starts.cast("int"))
         .withColumn("_piece", F.sum("_new").over(inside))
         .groupBy(key, "_chunk", "_piece")
-        .agg(F.min(time).alias("started"), F.max(time).alias("ended"), F.count("*").alias("n_events"))
+        .agg(F.min("_from").alias("started"), F.max("_to").alias("ended"), F.sum("_n").alias("n_events"))
     )
     along = Window.partitionBy(key).orderBy("started")
     fresh = F.coalesce((F.col("started") - F.lag("ended").over(along)) > gap, F.lit(True))

@@ -115,7 +115,7 @@ def rollup(ledger: DataFrame) -> DataFrame:
 def status_history(rows: DataFrame) -> DataFrame:
     """Every hook with the status before it, by arrival. ``is_regression`` marks a refund that was paid again."""
     history = running.previous_row(
-        rows, "contributionid", ARRIVAL, ["status", "created"], F.date_trunc("month", F.col("received_at"))
+        rows, "contributionid", ARRIVAL, ["status", "created"], F.date_trunc("hour", F.col("received_at"))
     )
     back = (F.col("previous_status") == "Refunded") & (F.col("status") == "Paid")
     late = F.col("created") < F.col("previous_created")
