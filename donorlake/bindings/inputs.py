@@ -6,8 +6,6 @@ Raw documents are built as JSON text and go through the real readers. Some docum
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from donorlake.operators import allocation

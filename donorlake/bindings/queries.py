@@ -10,7 +10,7 @@ from donorlake.bindings import inputs
 from donorlake.bindings.inputs import every, props_k, table, text_id, uuid_of
 from donorlake.functions import money
 from donorlake.functions.text import full_name
-from donorlake.operators import allocation, folds, running, sticky
+from donorlake.operators import allocation, running, sticky
 from donorlake.plans import acquisitions, attribution, beacons, counters, experiments, forms, ledger, visitors
 from donorlake.sources import records, requests
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from donorlake.bindings import inputs, queries
 from donorlake.bindings.inputs import table
 from donorlake.bindings.queries import dbl, joined, query, tests_text, text_time
-from donorlake.plans import acquisitions, attribution, forms, ledger
+from donorlake.plans import acquisitions, attribution, forms
 from donorlake.session import configure, shared_dir
 from donorlake.streaming import folded, jobs
 

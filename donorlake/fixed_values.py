@@ -32,7 +32,8 @@ PRESET_AMOUNTS = {
     "au": {"one-off": (50, 100, 250, 500), "monthly": (5, 10, 25, 50)},
     "default": {"one-off": (25, 50, 100, 250), "monthly": (2, 5, 10, 20)},
 }
-AMOUNT_TEST = "AmountHighlightTest"
+PRESELECTED_AMOUNT = {"au": 100}
+DEFAULT_PRESELECTED_AMOUNT = 50
 
 # --- Campaigns whose contributors get no automatic receipt -------------------------------------------------------
 NO_RECEIPT_CAMPAIGNS = (

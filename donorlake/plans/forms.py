@@ -95,6 +95,13 @@ def preset_amounts(country_group: Column, monthly: bool = False) -> Column:
     return chain.otherwise(as_array(fixed.PRESET_AMOUNTS["default"][kind]))
 
 
+def preselected_amount(country_group: Column, override: Column) -> Column:
+    """The button that is pressed at first: the experiment's, if it has one, else the group's."""
+    return F.coalesce(
+        override, look_up(country_group, fixed.PRESELECTED_AMOUNT, fixed.DEFAULT_PRESELECTED_AMOUNT)
+    )
+
+
 def is_preset(amount: Column, country_group: Column, override: Column) -> Column:
     """Whether an amount is one of the buttons shown: the experiment's values, if it has any, else the group's."""
     shown = F.coalesce(override, preset_amounts(country_group))

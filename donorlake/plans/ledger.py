@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from donorlake.functions import money
 from donorlake.operators import folds, lookups, running
-from donorlake.schemas import MONEY, PAYMENT_HOOKS
+from donorlake.schemas import PAYMENT_HOOKS
 
 ARRIVAL = ("received_at", "delivery_id")
 PARSED, PARSE_ERROR, INVALID = "parsed", "parse-error", "invalid-request"
@@ -72,7 +73,7 @@ def ledger_rows(hooks: DataFrame) -> DataFrame:
     """Hooks that were processed, as ledger rows plus their arrival."""
     return hooks.where(F.col("processing_error").isNull()).select(
         *[F.col(c) for c in _COLUMNS if c != "convertedamount"],
-        (F.col("converted_minor").cast("decimal(18,0)") / F.lit(100).cast("decimal(3,0)")).cast(MONEY).alias("convertedamount"),
+        money.from_minor(F.col("converted_minor")).alias("convertedamount"),
         "mode",
         *ARRIVAL,
     )

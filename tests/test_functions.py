@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from donorlake.functions import cookies, money, text, urls
-from donorlake.operators.allocation import slug
+from donorlake.functions.text import slug
 from donorlake.plans import attribution, beacons, forms, visitors
 
 
@@ -154,6 +154,8 @@ def test_presets(spark):
     )
     assert preset(500, "au") and not preset(25, "au") and preset(25, "uk") and preset(25, None)
     assert preset(3, "uk", [3, 7]) and not preset(25, "uk", [3, 7])
+    for group, override, amount in (("au", None, 100), ("uk", None, 50), (None, None, 50), ("au", 7, 7)):
+        assert one(spark, forms.preselected_amount(F.lit(group), F.lit(override).cast("int"))) == amount
 
 
 def test_field_rules(spark):

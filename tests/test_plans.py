@@ -28,12 +28,12 @@ def test_no_cross_joins_and_no_single_task_windows(spark, sf_dir, name):
 def test_last_write_prunes_before_its_one_shuffle(spark, sf_dir):
     rows = inputs.table(spark, sf_dir, "orders")
     text = plan(folds.last_write(rows, "o_custkey", ["o_orderdate", "o_orderkey"]))
-    assert text.count("Exchange ") == 1 and text.count("WindowGroupLimit") == 2
+    assert text.count("Exchange hashpartitioning") == 1 and text.count("WindowGroupLimit") == 2
 
 
 def test_counts_combine_on_the_map_side(spark, sf_dir):
     text = plan(counters.counts(inputs.metric_events(inputs.table(spark, sf_dir, "events")), "1 hour"))
-    assert text.count("Exchange ") == 1 and text.count("HashAggregate") == 2
+    assert text.count("Exchange hashpartitioning") == 1 and text.count("HashAggregate") == 2
 
 
 def test_running_values_are_partitioned_by_key_and_chunk(spark, sf_dir):
