@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from donorlake.functions.text import uuid_text
 from donorlake.operators import allocation
 from donorlake.session import configure
 from donorlake.sources import records, requests, webhooks
@@ -429,7 +430,7 @@ def paypal_successes(orders: DataFrame, path: str) -> DataFrame:
     payments = paypal_payments(orders).where(F.col("path") == path)
     return (
         payments.where(state_accepted(F.col("state"), F.col("path")))
-        .withColumn("contributionid", F.col("custom"))
+        .withColumn("contributionid", uuid_text(F.col("custom")))
         .withColumn("contributor_id", uuid_of("delivery_id"))
         .withColumn("amount", F.col("total"))
     )

@@ -4,6 +4,9 @@ A window over a whole key puts all its rows into one task. Here a key is cut int
 turns): the window runs inside a chunk, each chunk is summed up in one row, the summary rows are scanned per key, and
 what a chunk needs from the ones before it is joined back. A key's summary has one row per chunk, so its size follows
 the calendar and not the traffic.
+
+``carry_forward`` and ``previous_row`` read their input twice, once for the rows and once for the summaries; on input
+that is dear to make, such as parsed documents, give them a written table.
 """
 
 from __future__ import annotations

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from donorlake.functions import money
+from donorlake.functions.text import uuid_text
 from donorlake.operators import folds, lookups, running
 from donorlake.schemas import PAYMENT_HOOKS
 
@@ -37,7 +38,7 @@ def dead_letters(hooks: DataFrame, feed: str, document: str = "document") -> Dat
 
 
 def with_contribution_ids(hooks: DataFrame, payments: DataFrame) -> DataFrame:
-    """PayPal hooks that carry no contribution id take it from the payment they belong to.
+    """PayPal hooks that carry no contribution id take it from the payment they belong to, if it has a good one.
 
     Only the hooks without an id need the look-up. The others get a null key, which the look-up spreads over all tasks.
     """
@@ -45,7 +46,7 @@ def with_contribution_ids(hooks: DataFrame, payments: DataFrame) -> DataFrame:
     wanted = F.when(F.col("contributionid").isNull(), F.col("paymentid"))
     found = lookups.look_up_left(hooks, known, wanted, "paymentid", F.col("delivery_id"))
     return (
-        found.withColumn("contributionid", F.coalesce("contributionid", "_custom"))
+        found.withColumn("contributionid", F.coalesce("contributionid", uuid_text(F.col("_custom"))))
         .withColumn("converted_minor", F.lit(None).cast("bigint"))
         .withColumn("processing_error", F.when(F.col("contributionid").isNull(), "Unable to find the paypal payment"))
         .drop("_custom")

@@ -27,6 +27,23 @@ def test_a_late_payment_overwrites_a_refund_with_all_its_nulls(spark):
     assert flagged == {1: (False, False), 2: (True, True)}
 
 
+def test_a_hook_without_an_id_takes_the_payments(spark):
+    cid = "1b671a64-40d5-491e-99b0-da01ff1f3341"
+    hooks = spark.createDataFrame([(cid, "P1", 1), (None, "P2", 2), (None, "P3", 3), (None, "P4", 4)], "contributionid string, paymentid string, delivery_id bigint")
+    payments = spark.createDataFrame([("P1", "x"), ("P2", cid.upper()), ("P3", "not an id")], "paymentid string, custom string")
+    got = {r["delivery_id"]: (r["contributionid"], r["processing_error"]) for r in ledger.with_contribution_ids(hooks, payments).collect()}
+    lost = (None, "Unable to find the paypal payment")
+    assert got == {1: (cid, None), 2: (cid, None), 3: lost, 4: lost}
+
+
+def test_a_hook_needs_its_event_but_not_a_balance(spark):
+    hooks = spark.createDataFrame([("e1", 1), ("e2", 2), ("e3", 3), ("e4", 4)], "event_id string, delivery_id bigint")
+    events = spark.createDataFrame([("e1", "t1"), ("e2", None), ("e3", "t3")], "event_id string, balance_transaction string")
+    balances = spark.createDataFrame([("t1", 250)], "balance_transaction string, balance_minor bigint")
+    got = {r["event_id"]: (r["converted_minor"], r["processing_error"]) for r in ledger.with_converted_amounts(hooks, events, balances).collect()}
+    assert got == {"e1": (250, None), "e2": (None, None), "e3": (None, None), "e4": (None, "Unable to find the stripe event")}
+
+
 def test_reconcile_reports_orphans_of_both_sides(spark):
     paid = ledger.payment_hooks(spark.createDataFrame([hook("a", "Paid", 1), hook("b", "Paid", 2)], ROW))
     metadata = spark.createDataFrame([("b",), ("c",)], "contributionid string")
