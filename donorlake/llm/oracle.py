@@ -32,7 +32,7 @@ j AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
          CASE WHEN n_words > 0 AND word_chars / n_words BETWEEN 2.0 AND 14.0 THEN NULL ELSE 'mean_word_length' END AS r1,
          CASE WHEN n_words > 0 AND n_symbols / n_words > 0.2 THEN 'symbols_per_word' END AS r2,
-         CASE WHEN n_lines > 0 AND n_dup_lines / n_lines > 0.3 THEN 'duplicate_lines' END AS r3,
+         CASE WHEN n_lines > 0 AND n_dup_lines / n_lines > 0.5 THEN 'duplicate_lines' END AS r3,
          CASE WHEN word_chars > 0 AND n_letters / word_chars >= 0.7 THEN NULL ELSE 'letters' END AS r4,
          CASE WHEN n_letters > 0 AND n_upper / n_letters > 0.5 THEN 'upper_case' END AS r5,
          CASE WHEN n_words > 0 AND n_stops / n_words >= 0.04 THEN NULL ELSE 'stop_words' END AS r6

@@ -54,7 +54,7 @@ MAX_REPEAT_PERCENT = 50
 RULES = (
     Rule("mean_word_length", "word_chars", per="n_words", least=2.0, most=14.0),
     Rule("symbols_per_word", "n_symbols", per="n_words", most=0.2),
-    Rule("duplicate_lines", "n_dup_lines", per="n_lines", most=0.3),
+    Rule("duplicate_lines", "n_dup_lines", per="n_lines", most=0.5),
     Rule("letters", "n_letters", per="word_chars", least=0.7),
     Rule("upper_case", "n_upper", per="n_letters", most=0.5),
     Rule("stop_words", "n_stop_words", per="n_words", least=0.04),
