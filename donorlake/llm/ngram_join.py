@@ -77,7 +77,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def prefixes(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n, k1, k2, prefix`` per row: size and digest of the set, and its first shingles by hash."""
+    """``doc_id, digest, n, k1, k2, prefix`` of ``doc_id, text, digest``: size and digest of the set, its first shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,16 +89,17 @@ def prefixes(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -> D
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
+                        part.column(2),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([k[0] for k in keys], pa.int64()),
                         pa.array([k[1] for k in keys], pa.int64()),
                         _lists(heads),
                     ],
-                    names=["doc_id", "n", "k1", "k2", "prefix"],
+                    names=["doc_id", "digest", "n", "k1", "k2", "prefix"],
                 )
 
     python_workers(docs.sparkSession)
-    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, digest string, n long, k1 long, k2 long, prefix array<long>")
 
 
 def whole_sets(texts: DataFrame, n_words: int = WORDS) -> DataFrame:
@@ -232,38 +233,70 @@ def other_pairs(posted: DataFrame, known: DataFrame, percent: int = PERCENT) ->
     )
 
 
-def link(docs: DataFrame, text: str = "text", n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row.
+def groups(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, digest, n, part, least_id`` for every row of ``doc_id, text, digest``.
 
-    ``component_id`` is the smallest doc_id reachable over links, the document's own included. Texts without words, and
-    null texts, have 0 shingles and link with nothing. Rows without a doc_id take no part in the join: their
-    component_id is null. Rows that repeat a doc_id with another text are judged by their own text. Other columns are
-    ignored. No rows in, no rows out.
+    ``part`` names the component, ``least_id`` is its smallest doc_id; both are null for rows without id or words.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     heads = cut(prefixes(docs, n_words, percent))
-    rows = heads.select("doc_id", "n", "k1", "k2")
-    classes = rows.filter("doc_id IS NOT NULL AND n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("cid"))
+    rows = heads.select("doc_id", "digest", "n", "k1", "k2")
+    classes = rows.filter("doc_id IS NOT NULL AND n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"))
+    # Numbers of rows are only good once the rows are written.
+    classes = cut(classes.withColumns({"cid": F.monotonically_increasing_id()}))
     wanted = rows.filter("n > 0").join(promising(heads), "doc_id").select("k1", "k2").distinct()
     chosen = classes.join(wanted, ["k1", "k2"])
-    texts = docs.join(chosen, docs["doc_id"] == chosen["cid"]).select("cid", "k1", "k2", "text")
+    texts = docs.join(chosen, docs["doc_id"] == chosen["first_id"]).select("cid", "k1", "k2", "text")
     sets = cut(whole_sets(texts, n_words).dropDuplicates(["cid"]))
     posted = cut(postings(sets, percent))
     links = cut(verified(star_pairs(posted, percent), sets, percent))
     known = components(links)
     more = cut(verified(other_pairs(posted, known, percent), sets, percent))
     found = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    named = classes.join(found, classes["cid"] == found["node"], "left").select("k1", "k2", F.coalesce("component", "cid").alias("component"))
+    named = classes.join(found, classes["cid"] == found["node"], "left")
+    named = cut(named.select("k1", "k2", "first_id", F.coalesce("component", "cid").alias("part")))
+    least = named.groupBy("part").agg(F.min("first_id").alias("least_id"))
+    named = named.join(least, "part").select("k1", "k2", "part", "least_id")
     out = rows.join(named, ["k1", "k2"], "left")
-    own = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
+    able = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    return out.select("doc_id", "digest", "n", *[F.when(able, F.col(c)).alias(c) for c in ("part", "least_id")])
+
+
+def _slim(docs: DataFrame, text: str) -> DataFrame:
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.md5(whole.cast("binary")).alias("digest"))
+
+
+def link(docs: DataFrame, text: str = "text", n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row.
+
+    ``component_id`` is the smallest doc_id reachable over links, the document's own included. Texts without words, and
+    null texts, have 0 shingles and link with nothing. Rows without a doc_id take no part in the join: their
+    component_id is null. Rows that repeat a doc_id with another text are judged by their own text. Other columns are
+    ignored. No rows in, no rows out.
+    """
+    found = groups(_slim(docs, text), n_words, percent)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, text: str = "text", n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, the one with the smallest id; rows without an id or without words all stay.
+    """One row of each component, with the columns it came with: the smallest doc_id, of its texts the smallest digest.
 
-    Rows that repeat the doc_id of a kept document stay if their text is the same component's; of equal rows one stays.
+    Rows without a doc_id or without words are no copies of anything and all stay. Of equal rows that stay, one does.
     """
-    linked = link(docs, text, n_words, percent)
-    drop = linked.filter("n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(drop, docs["doc_id"] == drop["_gone"], "left_anti")
+    found = groups(_slim(docs, text), n_words, percent)
+    best = F.min(F.struct("doc_id", "digest")).alias("best")
+    kept = found.filter("part IS NOT NULL").groupBy("part").agg(best, F.count("*").alias("rows"))
+    kept = cut(kept.select(F.col("best.doc_id").alias("_id"), F.col("best.digest").alias("_digest"), "rows"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    whole = whole.withColumns(
+        {
+            "_own": F.col("_row.doc_id").cast("bigint"),
+            "_text": F.md5(F.coalesce(F.col("_row")[text], F.lit("")).cast("binary")),
+            "_able": F.col("_row.doc_id").isNotNull() & F.coalesce(F.col("_row")[text].rlike(r"[^\x20\x09-\x0D]"), F.lit(False)),
+        }
+    )
+    same = (F.col("_own") == F.col("_id")) & (F.col("_text") == F.col("_digest"))
+    alone = whole.filter("_able").join(kept.filter("rows = 1"), same, "left_semi")
+    # A kept row may be there more than once only where its component has more rows.
+    first = whole.filter("_able").join(kept.filter("rows > 1"), same, "left_semi").dropDuplicates(["_own", "_text"])
+    return alone.unionByName(first).unionByName(whole.filter("NOT _able")).select("_row.*")

@@ -213,7 +213,8 @@ def numbered(pieces: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataF
     Pieces of a length are dealt to buckets by checksum; a bucket is sorted alone and starts where the ones before end.
     """
     total = pieces.groupBy("length").agg(F.count("*").alias("_n"))
-    rows = pieces.join(total, "length")
+    # There are at most as many lengths as tokens in a sequence.
+    rows = pieces.join(F.broadcast(total), "length")
     deal = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.ceil(F.col("_n") / rows_per_bucket))
     rows = rows.withColumns({"_bucket": deal})
     sizes = rows.groupBy("length", "_bucket").agg(F.count("*").alias("_m"))
