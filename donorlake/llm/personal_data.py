@@ -317,7 +317,7 @@ def redact(docs: DataFrame, text: str = "text", precision: float = PRECISION, ma
     Spans that overlap are replaced together, under the kind of the first.
     """
     found = spans(docs.select(F.col(text).alias("_document")), "_document")
-    model = learn(cut(found.filter(F.size("_candidates") > 0).drop("_document")), precision)
+    model = learn(cut(found.drop("_document")), precision)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_document"))
     picked = chosen(spans(whole, "_document"), model)
     picked = picked.withColumns({"_all": F.sort_array(F.concat("_base", "_added"))})

@@ -138,4 +138,6 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
 def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows that pass every rule, with the columns they came with."""
     whole = docs.withColumns({"_row": F.struct(*[F.col(f"`{c}`") for c in docs.columns])}).select("_row", F.col(text).alias("_judged"))
-    return judge(whole, "_judged", rules).filter("kept").select("_row.*")
+    # A filter would be moved below the measures, with a copy of all of them; exploding nothing drops a row just as well.
+    kept = F.explode(F.when(F.col("kept"), F.array("_row"))).alias("_row")
+    return judge(whole, "_judged", rules).select(kept).select("_row.*")
