@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from donorlake.llm import language_id, mixing, ngram_join, packing, personal_data, quality_rules, toxicity, url_filter
+from donorlake.llm import language_id, language_model, mixing, ngram_join, packing, personal_data, quality_rules, toxicity, url_filter
 from donorlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = ["word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return judged.select("doc_id", "n_words", *base, "base_failed", "kept", F.array_join("broken", ",").alias("broken"))
+
+
+@query
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.predict(table(spark, sf_dir, "documents"))
