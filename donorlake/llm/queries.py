@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from donorlake.llm import language_id, language_model, mixing, ngram_join, packing, personal_data, quality_rules, toxicity, url_filter
+from donorlake.llm import language_id, language_model, mixing, nearest, ngram_join, packing, personal_data, quality_rules, toxicity, url_filter
 from donorlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 @query
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = mixing.draw(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
