@@ -7,7 +7,7 @@ verified. The join goes from cheap to dear, over all documents and whole texts:
 
 1. Documents with the same set are one class (a 128-bit digest of the set).
 2. In the order of shingle hashes, documents count how many shingles of a prefix also stand in the prefix of another
-   class. Who shares too few of them has no partner. Shingles are only counted, with a combine ahead of the shuffle.
+   one. Who shares too few of them has no partner. Each batch sends a shingle once.
 3. Those left order their shingles by frequency, rare ones first. Shingles that nobody shares count towards the prefix
    but need no posting. Each class picks the l that makes its candidates cheapest, by the frequencies in its prefix.
 4. Candidates are first looked for around one centre per shingle (the class with the fewest unshared shingles), which
@@ -20,7 +20,7 @@ others. Components come out the same as from all pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,11 @@ from donorlake.llm.components import components
 
 WORDS = 5
 PERCENT = 80
+#: Step 2 asks for one match, and one more for every so many shingles.
+FIRST_SHARE = 10
+#: Bits of the filter by which texts are picked for step 3. It is sent to all workers, and so of a fixed size; what it
+#: lets through in vain is dropped by a join.
+FILTER_BITS = 1 << 27
 #: The largest number of matches a class may ask for.
 MOST_MATCHES = 6
 #: What verifying a candidate costs, in postings met.
@@ -59,8 +64,8 @@ def least_overlap(n: int, percent: int = PERCENT) -> int:
 
 
 def first_matches(n: int) -> int:
-    """How many matches step 2 asks for."""
-    return 1 + n // 50
+    """How many matches a document of n shingles offers in step 2."""
+    return 1 + n // FIRST_SHARE
 
 
 def _digest(found: np.ndarray) -> tuple[int, int]:
@@ -76,52 +81,139 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
 
 
-def prefixes(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, digest, n, k1, k2, prefix`` of ``doc_id, text, digest``: size and digest of the set, its first shingles."""
+def _of_texts(docs: DataFrame, schema: str, made: Callable[[pa.RecordBatch, list[np.ndarray]], pa.RecordBatch], n_words: int) -> DataFrame:
+    """``made`` of slices of the rows and their sets; the text is the second column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                sets = [shingles(text, n_words) for text in part.column(1).to_pylist()]
-                keys = [_digest(s) for s in sets]
-                heads = [s[: len(s) - least_overlap(len(s), percent) + first_matches(len(s))] for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        part.column(2),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([k[0] for k in keys], pa.int64()),
-                        pa.array([k[1] for k in keys], pa.int64()),
-                        _lists(heads),
-                    ],
-                    names=["doc_id", "digest", "n", "k1", "k2", "prefix"],
-                )
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                yield made(part, [shingles(text.as_py(), n_words) for text in part.column(1)])
+
+    python_workers(docs.sparkSession)
+    return docs.mapInArrow(run, schema)
+
+
+def digests(docs: DataFrame, n_words: int = WORDS) -> DataFrame:
+    """``doc_id, digest, n, k1, k2`` of ``doc_id, text, digest``: size and digest of the set."""
+
+    def made(part: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
+        keys = [_digest(s) for s in sets]
+        numbers = [[len(s) for s in sets], [k[0] for k in keys], [k[1] for k in keys]]
+        columns = [part.column(0), part.column(2), *[pa.array(c, pa.int64()) for c in numbers]]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "n", "k1", "k2"])
+
+    return _of_texts(docs, "doc_id long, digest string, n long, k1 long, k2 long", made, n_words)
+
+
+def packed_postings(docs: DataFrame, buckets: int, n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``bucket, tokens, owners, common, docs, held`` of ``doc_id, text``: prefixes by shingle, packed for the shuffle.
+
+    A batch of documents sends each shingle of its prefixes once. Those that several of its documents hold come first
+    (``common``) and need no owner: that they are shared is known, and counted here (``docs``, ``held``). All others
+    have one owner. So a shingle that very many documents share is sent once per batch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            heads = []
+            for text in batch.column(1):
+                found = shingles(text.as_py(), n_words)
+                heads.append(found[: len(found) - least_overlap(len(found), percent) + first_matches(len(found))])
+            token = np.concatenate([*heads, np.zeros(0, np.uint64)])
+            owner = np.repeat(np.arange(len(heads)), [len(h) for h in heads])
+            order = np.argsort(token, kind="stable")
+            token, owner = token[order], owner[order]
+            first = np.append(True, token[1:] != token[:-1])[: len(token)]
+            times = np.diff(np.append(np.flatnonzero(first), len(token)))
+            several = np.repeat(times > 1, times)
+            held = np.bincount(owner[several], minlength=len(ids))
+            token, owner, several = token[first], owner[first], several[first]
+            to = (token % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((~several, to))
+            token, owner, several, to = token[order], ids[owner[order]], several[order], to[order]
+            at = np.searchsorted(to, np.arange(buckets + 1))
+            out: list[tuple] = []
+            for b in np.flatnonzero(np.diff(at)):
+                part = slice(at[b], at[b + 1])
+                n = int(several[part].sum())
+                out.append((int(b), token[part].tobytes(), owner[part][n:].tobytes(), n, b"", b""))
+            some = np.flatnonzero(held)
+            if len(some):
+                out.append((int(ids[some[0]] % buckets), b"", b"", 0, ids[some].tobytes(), held[some].astype(np.int64).tobytes()))
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary())
+            names = ["bucket", "tokens", "owners", "common", "docs", "held"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     python_workers(docs.sparkSession)
-    return docs.mapInArrow(run, "doc_id long, digest string, n long, k1 long, k2 long, prefix array<long>")
+    return docs.mapInArrow(run, "bucket int, tokens binary, owners binary, common int, docs binary, held binary")
+
+
+def _shared_in_bucket(group: pa.Table) -> pa.Table:
+    """``doc_id, held`` of the packed postings of a bucket: how many of its shingles each document shares."""
+    tokens = [np.frombuffer(t, np.uint64) for t in group.column("tokens").to_pylist()]
+    common = group.column("common").to_pylist()
+    owners = [np.frombuffer(o, np.int64) for o in group.column("owners").to_pylist()]
+    single = np.concatenate([t[c:] for t, c in zip(tokens, common, strict=True)])
+    known = np.unique(np.concatenate([t[:c] for t, c in zip(tokens, common, strict=True)]))
+    owner = np.concatenate(owners)
+    order = np.argsort(single, kind="stable")
+    single, owner = single[order], owner[order]
+    same = single[1:] == single[:-1]
+    shared = np.append(same, False)[: len(single)] | np.append(False, same)[: len(single)]
+    if len(known):
+        place = np.minimum(np.searchsorted(known, single), len(known) - 1)
+        shared |= known[place] == single
+    ids, held = np.unique(owner[shared], return_counts=True)
+    before = [np.frombuffer(b"".join(group.column(c).to_pylist()), np.int64) for c in ("docs", "held")]
+    return pa.table({"doc_id": np.concatenate([ids, before[0]]), "held": np.concatenate([held, before[1]])})
+
+
+def promising(docs: DataFrame, classes: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The classes whose first document shares as many of its first shingles as a partner would (step 2).
+
+    The smallest partner has ``percent`` of the shingles, and offers matches accordingly.
+    """
+    buckets = max(64, classes.count() // 50_000)
+    packed = packed_postings(docs.filter("doc_id IS NOT NULL").select("doc_id", "text"), buckets, n_words, percent)
+    shared = packed.groupBy("bucket").applyInArrow(_shared_in_bucket, "doc_id long, held long")
+    shared = shared.groupBy(F.col("doc_id").alias("first_id")).agg(F.sum("held").alias("held"))
+    needed = 1 + F.floor(_overlap_of(F.col("n"), percent) / FIRST_SHARE)
+    return classes.join(shared, "first_id").filter(F.col("held") >= needed).select(*classes.columns)
 
 
-def whole_sets(texts: DataFrame, n_words: int = WORDS) -> DataFrame:
-    """``cid, n, tokens`` of ``cid, k1, k2, text``, where the text has the digest (an id may have more texts)."""
+def _slot(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(FILTER_BITS))
+
+
+def whole_sets(docs: DataFrame, chosen: DataFrame, n_words: int = WORDS) -> DataFrame:
+    """``cid, n, tokens`` of the ``chosen`` classes, once each, from the texts of their first ids."""
+    slots = chosen.select(_slot(F.col("first_id")).alias("s"))
+    bits = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("s") % 64).cast("int")))
+    there = np.zeros(FILTER_BITS // 64, np.int64)
+    # As many rows as the filter has words, at most.
+    for row in slots.groupBy(F.floor(F.col("s") / 64).alias("w")).agg(bits.alias("bits")).collect():
+        there[row["w"]] = row["bits"]
+    shared = docs.sparkSession.sparkContext.broadcast(there)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            slot = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((shared.value[slot // 64] >> (slot % 64)) & 1 == 1))
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                cids, k1, k2, texts_ = (part.column(i).to_pylist() for i in range(4))
-                sets = [shingles(text, n_words) for text in texts_]
-                mine = [i for i, s in enumerate(sets) if _digest(s) == (k1[i], k2[i])]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([cids[i] for i in mine], pa.int64()),
-                        pa.array([len(sets[i]) for i in mine], pa.int64()),
-                        _lists([sets[i] for i in mine]),
-                    ],
-                    names=["cid", "n", "tokens"],
-                )
+                sets = [shingles(text.as_py(), n_words) for text in part.column(1)]
+                keys = [_digest(s) for s in sets]
+                columns = [part.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), _lists(sets)]
+                yield pa.RecordBatch.from_arrays(columns, names=["first_id", "k1", "k2", "tokens"])
 
-    return texts.mapInArrow(run, "cid long, n long, tokens array<long>")
+    slim = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", _slot(F.col("doc_id")).alias("slot"))
+    found = slim.mapInArrow(run, "first_id long, k1 long, k2 long, tokens array<long>")
+    # An id may have other texts too, which have other digests; equal rows meet in one task.
+    found = found.join(chosen, ["first_id", "k1", "k2"]).select("first_id", "k1", "k2", "cid", "tokens").dropDuplicates(["first_id", "k1", "k2"])
+    return found.select("cid", F.size("tokens").cast("bigint").alias("n"), "tokens")
 
 
 def _overlap_of(n: Column, percent: int) -> Column:
@@ -133,15 +225,6 @@ def _pair_overlap(n: Column, m: Column, percent: int) -> Column:
     return F.ceil(F.lit(percent) * (n + m) / (100 + percent))
 
 
-def promising(heads: DataFrame) -> DataFrame:
-    """``doc_id`` of the rows that share enough of their prefix with other classes (step 2)."""
-    postings = heads.filter("doc_id IS NOT NULL AND n > 0").select("doc_id", "n", "k1", F.explode("prefix").alias("token"))
-    shared = postings.groupBy("token").agg(F.min("k1").alias("k"), F.max("k1").alias("l")).filter("k <> l").select("token")
-    held = postings.select("doc_id", "n", "token").join(shared, "token", "left_semi")
-    counts = held.groupBy("doc_id", "n").agg(F.count("*").alias("held"))
-    return counts.filter(F.col("held") >= 1 + F.floor(F.col("n") / 50)).select("doc_id").distinct()
-
-
 def postings(sets: DataFrame, percent: int = PERCENT, most: int = MOST_MATCHES) -> DataFrame:
     """``token, cid, n, alone, place, matches`` of the prefixes (step 3).
 
@@ -238,15 +321,12 @@ def groups(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -> Dat
 
     ``part`` names the component, ``least_id`` is its smallest doc_id; both are null for rows without id or words.
     """
-    heads = cut(prefixes(docs, n_words, percent))
-    rows = heads.select("doc_id", "digest", "n", "k1", "k2")
-    classes = rows.filter("doc_id IS NOT NULL AND n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"))
+    rows = cut(digests(docs, n_words))
+    classes = rows.filter("doc_id IS NOT NULL AND n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("first_id"))
     # Numbers of rows are only good once the rows are written.
     classes = cut(classes.withColumns({"cid": F.monotonically_increasing_id()}))
-    wanted = rows.filter("n > 0").join(promising(heads), "doc_id").select("k1", "k2").distinct()
-    chosen = classes.join(wanted, ["k1", "k2"])
-    texts = docs.join(chosen, docs["doc_id"] == chosen["first_id"]).select("cid", "k1", "k2", "text")
-    sets = cut(whole_sets(texts, n_words).dropDuplicates(["cid"]))
+    chosen = cut(promising(docs, classes, n_words, percent).drop("n"))
+    sets = cut(whole_sets(docs, chosen, n_words))
     posted = cut(postings(sets, percent))
     links = cut(verified(star_pairs(posted, percent), sets, percent))
     known = components(links)
