@@ -27,18 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A table that scans into fewer tasks than there are cores (one small file) is dealt out to all of them.
-
-    Building and reading a document costs far more than moving its row. A table of many files is left as it is, and so
-    is a micro-batch.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
-
-
 # --- shared expressions ------------------------------------------------------------------------------------------------
 
 
@@ -77,7 +65,7 @@ def props_k() -> Column:
 def payments_base(orders: DataFrame) -> DataFrame:
     stripe = F.col("o_orderpriority").isin(*STRIPE_PRIORITIES)
     received = F.col("o_orderdate").cast("timestamp")
-    return spread(orders).select(
+    return orders.select(
         F.col("o_orderkey").alias("k"),
         F.col("o_custkey").alias("c"),
         F.col("o_orderstatus").alias("s"),
@@ -292,7 +280,7 @@ def stripe_charges(orders: DataFrame) -> DataFrame:
 def request_base(events: DataFrame) -> DataFrame:
     k = props_k()
     suppressed = F.element_at(F.array(*[F.lit(c) for c in SUPPRESSED]), (F.col("kk") % 4 + 1).cast("int"))
-    return spread(events).select(
+    return events.select(
         F.col("event_id").alias("id"),
         F.col("user_id").alias("u"),
         F.col("event_type").alias("kind"),
@@ -318,6 +306,19 @@ def request_base(events: DataFrame) -> DataFrame:
     )
 
 
+def request_log(orders: DataFrame, events: DataFrame) -> DataFrame:
+    """One request per order, of the one kind that pays it (card, execute, capture), with what an event says of it.
+
+    Events are dealt to orders in turn, so every order has its request. One order in 61 is asked for twice, as logs
+    repeat themselves.
+    """
+    made = payments_base(orders).select("k", F.when(F.col("feed") == "Stripe", "card").otherwise(F.col("path")).alias("channel"))
+    made = made.withColumn("_turn", F.pmod("k", F.lit(events.count())))
+    said = request_base(events)
+    log = made.join(said, made["_turn"] == said["id"]).drop("_turn")
+    return log.withColumn("_again", F.explode(F.when(every("k", 61), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("_again")
+
+
 def test_pair(name: str, variant: str) -> Column:
     return F.struct(F.lit(name).alias("name"), F.lit(variant).alias("variant"))
 
@@ -326,8 +327,8 @@ def _encoded(key: str, value: Column) -> Column:
     return F.when(value.isNotNull(), F.concat(F.lit(f"{key}="), F.url_encode(value)))
 
 
-def card_forms(events: DataFrame) -> DataFrame:
-    """Card checkout submissions; a form belongs to the charge of the same number."""
+def card_forms(log: DataFrame) -> DataFrame:
+    """Card checkout submissions of the request log; a form belongs to the charge of the same number."""
     document = F.to_json(
         F.struct(
             F.concat(F.lit("Donor "), F.col("u").cast("string")).alias("name"),
@@ -354,15 +355,15 @@ def card_forms(events: DataFrame) -> DataFrame:
             F.lit("ignored").alias("unknownField"),
         )
     )
-    log = allocation.allocations(request_base(events))
-    raw = log.select(document.alias("document"), text_id("ch_", "id").alias("paymentid"), "allocations")
+    log = allocation.allocations(log.where(F.col("channel") == "card"))
+    raw = log.select(document.alias("document"), text_id("ch_", "k").alias("paymentid"), "allocations")
     return requests.read_card_requests(raw, id_prefix=ID_PREFIX, sources=SOURCES)
 
 
-def capture_requests(events: DataFrame) -> DataFrame:
+def capture_requests(log: DataFrame) -> DataFrame:
     document = F.to_json(
         F.struct(
-            F.when(~every("id", 103), text_id("PAY-", "id")).alias("paymentId"),
+            F.when(~every("id", 103), text_id("PAY-", "k")).alias("paymentId"),
             F.coalesce("platform", F.lit("ios")).alias("platform"),
             F.when(every("id", 2), F.col("u").cast("string")).alias("idUser"),
             "cmp",
@@ -379,17 +380,17 @@ def capture_requests(events: DataFrame) -> DataFrame:
             F.col("native_tests").alias("nativeAbTests"),
         )
     )
-    log = allocation.allocations(request_base(events))
+    log = allocation.allocations(log.where(F.col("channel") == "capture"))
     raw = log.select(document.alias("document"), "allocations")
     parsed = requests.read_capture_requests(raw, id_prefix=ID_PREFIX, sources=SOURCES)
     return parsed.withColumns({"visit_id": F.lit(None).cast("string"), "is_support": F.lit(None).cast("boolean")})
 
 
-def return_urls(events: DataFrame) -> DataFrame:
+def return_urls(log: DataFrame) -> DataFrame:
     """Return-URL log; the platform and the signed-in user come from the session."""
     query = F.concat_ws(
         "&",
-        F.when(~every("id", 107), _encoded("paymentId", text_id("PAY-", "id"))),
+        F.when(~every("id", 107), _encoded("paymentId", text_id("PAY-", "k"))),
         _encoded("token", text_id("EC-", "id")),
         _encoded("PayerID", text_id("payer", "u")),
         _encoded("CMP", F.col("cmp")),
@@ -406,7 +407,7 @@ def return_urls(events: DataFrame) -> DataFrame:
         _encoded("nativeAbTests", F.to_json("native_tests")),
         _encoded("supportRedirect", F.col("is_support").cast("string")),
     )
-    log = allocation.allocations(request_base(events))
+    log = allocation.allocations(log.where(F.col("channel") == "execute"))
     raw = log.select(
         F.concat(F.lit("https://pay.example.com/paypal/uk/execute?"), query).alias("url"),
         "allocations",
@@ -436,13 +437,14 @@ def paypal_successes(orders: DataFrame, path: str) -> DataFrame:
     )
 
 
-def contributions(orders: DataFrame, events: DataFrame) -> dict[str, DataFrame]:
+def contributions(orders: DataFrame, log: DataFrame) -> dict[str, DataFrame]:
+    """Payments of the orders, which may be a stream, with their requests in the log."""
     from donorlake.plans import attribution
 
     return {
-        "stripe": attribution.card_contributions(stripe_charges(orders), card_forms(events)),
-        "paypal-execute": attribution.paypal_contributions(paypal_successes(orders, "execute"), return_urls(events)),
-        "paypal-capture": attribution.paypal_contributions(paypal_successes(orders, "capture"), capture_requests(events)),
+        "stripe": attribution.card_contributions(stripe_charges(orders), card_forms(log)),
+        "paypal-execute": attribution.paypal_contributions(paypal_successes(orders, "execute"), return_urls(log)),
+        "paypal-capture": attribution.paypal_contributions(paypal_successes(orders, "capture"), capture_requests(log)),
     }
 
 
@@ -453,12 +455,14 @@ _SHARED = [
 ]
 
 
-def all_contributions(orders: DataFrame, events: DataFrame) -> DataFrame:
-    """All contributions that have what the tables need: an id, a date and a payer."""
-    parts = contributions(orders, events)
+def all_contributions(orders: DataFrame, log: DataFrame) -> DataFrame:
+    """All contributions that have what the tables need."""
+    from donorlake.plans import attribution
+
+    parts = contributions(orders, log)
     shared = [df.withColumn("amount", F.col("amount").cast("decimal(18,2)")).select(*_SHARED) for df in parts.values()]
     union = shared[0].unionByName(shared[1]).unionByName(shared[2])
-    return union.where(F.col("contributionid").isNotNull() & F.col("email").isNotNull())
+    return attribution.storable(union)
 
 
 # --- ledger ----------------------------------------------------------------------------------------------------------------

@@ -101,10 +101,10 @@ joined AS (
     'pv' || r.id AS pageview_id, r.platform AS said_platform,
     CASE WHEN feed = 'Stripe' THEN 'stripe' ELSE 'paypal-' || path END AS payment_source,
     CASE WHEN feed = 'Stripe' THEN 'ch_' ELSE 'PAY-' END || k AS paymentid
-  FROM base b JOIN req r ON b.k = r.id
-  WHERE CASE WHEN feed = 'Stripe' THEN s <> 'F' AND k % 101 <> 0
-    WHEN path = 'execute' THEN k % 23 <> 0 AND k % 107 <> 0
-    ELSE k % 23 <> 0 AND k % 103 <> 0 END
+  FROM base b JOIN req r ON b.k % (SELECT count(*) FROM events) = r.id
+  WHERE CASE WHEN feed = 'Stripe' THEN s <> 'F' AND r.id % 101 <> 0
+    WHEN path = 'execute' THEN k % 23 <> 0 AND r.id % 107 <> 0
+    ELSE k % 23 <> 0 AND r.id % 103 <> 0 END
 ),
 contributions AS (
   SELECT *,
@@ -113,7 +113,7 @@ contributions AS (
       ELSE coalesce(said_platform, 'ios') END AS platform,
     'user' || c || '@example.com' AS email, 'c' || (c % 25) AS country
   FROM joined
-  WHERE feed = 'Stripe' OR (k % 31 <> 0 AND k % 41 <> 0)
+  WHERE feed = 'Stripe' OR (k % 31 <> 0 AND k % 37 <> 0 AND k % 41 <> 0)
 )"""
 
 _METADATA = f"""{_CONTRIBUTIONS},
@@ -327,10 +327,9 @@ SELECT split_part(m.abtests, ':', 1) AS test, split_part(m.abtests, ':', 2) AS v
   {_money('sum(l.minor)')} AS total
 FROM ledger l JOIN metadata m ON l.contributionid = m.cid WHERE l.status = 'Paid' AND m.abtests <> '' GROUP BY 1, 2, 3"""
 
-_PAYPAL_TOTAL = "CASE WHEN feed = 'Stripe' OR k % 37 <> 0 THEN minor END"
 ORACLE["receipts_outbox"] = f"""WITH {_CONTRIBUTIONS}
 SELECT paymentid, email AS address, email AS subscriber_key,
-  strftime(made_at, '%Y-%m-%dT%H:%M:%S.000Z') AS created, {_money(_PAYPAL_TOTAL)} AS amount, cur AS currency,
+  strftime(made_at, '%Y-%m-%dT%H:%M:%S.000Z') AS created, {_money('minor')} AS amount, cur AS currency,
   CASE cur WHEN 'GBP' THEN 'uk' WHEN 'USD' THEN 'us' WHEN 'AUD' THEN 'au' ELSE 'international' END AS edition,
   CASE WHEN feed = 'Stripe' THEN 'Donor ' || u
     ELSE concat_ws(' ', CASE WHEN k % 3 <> 0 THEN 'First' || c END, CASE WHEN k % 5 <> 0 THEN 'Last' || k END) END AS name,

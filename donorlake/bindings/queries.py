@@ -59,6 +59,10 @@ def _hook_columns(hooks: DataFrame) -> DataFrame:
     )
 
 
+def request_log(spark: SparkSession, sf: str) -> DataFrame:
+    return inputs.request_log(table(spark, sf, "orders"), table(spark, sf, "events"))
+
+
 @query
 def hooks_normalise_paypal(spark: SparkSession, sf: str) -> DataFrame:
     hooks = ledger.triage(inputs.paypal_hooks(table(spark, sf, "orders")), F.col("signature_ok"))
@@ -154,7 +158,7 @@ def paypal_id_backfill(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _metadata(spark: SparkSession, sf: str) -> DataFrame:
-    everything = inputs.all_contributions(table(spark, sf, "orders"), table(spark, sf, "events"))
+    everything = inputs.all_contributions(table(spark, sf, "orders"), request_log(spark, sf))
     return attribution.contribution_metadata(attribution.metadata_rows(everything.where(inputs.stored())))
 
 
@@ -228,7 +232,7 @@ def revenue_by_variant(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def receipts_outbox(spark: SparkSession, sf: str) -> DataFrame:
-    everything = inputs.all_contributions(table(spark, sf, "orders"), table(spark, sf, "events"))
+    everything = inputs.all_contributions(table(spark, sf, "orders"), request_log(spark, sf))
     out = attribution.receipts(everything, inputs.stored(), "contribution-thank-you")
     attributes = "To.ContactAttributes.SubscriberAttributes"
     return out.select(
@@ -261,7 +265,7 @@ def consent_outbox(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _acquisition_feed(spark: SparkSession, sf: str) -> DataFrame:
-    return acquisitions.build(inputs.contributions(table(spark, sf, "orders"), table(spark, sf, "events")))
+    return acquisitions.build(inputs.contributions(table(spark, sf, "orders"), request_log(spark, sf)))
 
 
 @query
@@ -595,7 +599,7 @@ def visitor_dimensions(spark: SparkSession, sf: str) -> DataFrame:
         "id",
         F.when(F.col("kk") < 60, F.concat(signed, F.lit(".signature"))).when(F.col("kk") < 65, "***.x").alias("user_cookie"),
         F.when(F.col("kk") > 50, "1").alias("out_cookie"),
-        F.concat(F.lit("https://example.com/uk?a=1&INTCMP="), F.coalesce("intcmp", F.lit("")), F.lit("&b=2")).alias("url"),
+        F.concat(F.lit("https://example.com/uk?a=1&INTCMP="), F.coalesce("intcmp", F.lit("")), F.when(every("id", 2), "&b=2").otherwise("#part&INTCMP=no")).alias("url"),
     )
     return beacons.visitor_dimensions(log, "user_cookie", "out_cookie", "url")
 

@@ -1,8 +1,8 @@
-"""Streaming queries: the given tables as file streams, worked off to the end, and the table that results."""
+"""Streaming queries: the given tables as file streams of several batches, worked off to the end, and the table that results."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from donorlake.bindings import inputs, queries
 from donorlake.bindings.inputs import table
@@ -12,8 +12,22 @@ from donorlake.session import configure, shared_dir
 from donorlake.streaming import folded, jobs
 
 
-def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return folded.read_table_stream(configure(spark), f"{sf}/{name}.parquet")
+BATCHES = 4
+
+
+def _stream(spark: SparkSession, sf: str, name: str, work: str, order: Column | None = None) -> DataFrame:
+    """A given table as a log that comes in four parts, one per micro-batch.
+
+    Rows are dealt by checksum, so a batch has all times and keys; by ``order``, a number from 0 to 1, where a job is
+    about the order of arrival.
+    """
+    rows = table(spark, sf, name)
+    part = F.pmod(F.xxhash64(*rows.columns), F.lit(BATCHES)) if order is None else F.floor(order * BATCHES)
+    folder = f"{work}/input"
+    for number in range(BATCHES):
+        rows.where(F.least(part, F.lit(BATCHES - 1)) == number).write.mode("append").parquet(folder)
+    files = len(spark.read.parquet(folder).inputFiles())
+    return folded.read_table_stream(configure(spark), folder, max(1, files // BATCHES))
 
 
 def _fold_stream(stream: DataFrame, folded_table: folded.FoldedTable, work: str, rows=lambda df: df) -> DataFrame:
@@ -27,7 +41,7 @@ def stream_ledger(spark: SparkSession, sf: str) -> DataFrame:
     work = shared_dir(spark, "ledger")
     lineitem = table(spark, sf, "lineitem")
     result = _fold_stream(
-        _stream(spark, sf, "orders"),
+        _stream(spark, sf, "orders", work),
         jobs.ledger_table(spark, f"{work}/table"),
         work,
         lambda orders: inputs.ledger_rows(orders, lineitem),
@@ -40,18 +54,28 @@ def stream_ledger(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def stream_late_hooks(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows that go back in time, set apart per micro-batch before it is folded into the ledger."""
+    """Rows that go back in time, set apart per micro-batch before it is folded into the ledger.
+
+    A batch's rows are written once. They are compared with the batches before, so a batch that runs again finds the
+    same.
+    """
     work = shared_dir(spark, "late")
     lineitem = table(spark, sf, "lineitem")
     target = jobs.ledger_table(spark, f"{work}/table")
+    arrived = table(spark, sf, "orders").agg(F.min("o_orderdate"), F.max("o_orderdate")).first()
+    seconds = lambda c: F.unix_seconds(c.cast("timestamp"))
+    first, last = (seconds(F.lit(t)) for t in arrived)
+    order = (seconds(F.col("o_orderdate")) - first) / F.greatest(last - first, F.lit(1))
 
     def each_batch(orders: DataFrame, batch_id: int) -> None:
-        rows = inputs.ledger_rows(orders, lineitem)
-        known = target.state() if batch_id > 0 else None
+        path = f"{work}/rows/batch={batch_id}"
+        inputs.ledger_rows(orders, lineitem).write.mode("overwrite").parquet(path)
+        rows = spark.read.parquet(path)
+        known = target.state(before=batch_id) if batch_id > 0 else None
         jobs.late_rows(rows, known).write.mode("overwrite").parquet(f"{work}/late/batch={batch_id}")
         target.add(rows, batch_id)
 
-    folded.run_to_end(_stream(spark, sf, "orders"), each_batch, f"{work}/checkpoint")
+    folded.run_to_end(_stream(spark, sf, "orders", work, order), each_batch, f"{work}/checkpoint")
     return spark.read.parquet(f"{work}/late").drop("batch")
 
 
@@ -60,7 +84,7 @@ def stream_contributors(spark: SparkSession, sf: str) -> DataFrame:
     work = shared_dir(spark, "contributors")
     customer = table(spark, sf, "customer")
     result = _fold_stream(
-        _stream(spark, sf, "orders"),
+        _stream(spark, sf, "orders", work),
         jobs.contributors_table(spark, f"{work}/table"),
         work,
         lambda orders: queries.saved_contributors(orders, customer),
@@ -72,7 +96,7 @@ def stream_contributors(spark: SparkSession, sf: str) -> DataFrame:
 def stream_metric_counts(spark: SparkSession, sf: str) -> DataFrame:
     work = shared_dir(spark, "counts")
     target = jobs.counts_table(spark, f"{work}/table", "1 hour")
-    result = _fold_stream(inputs.metric_events(_stream(spark, sf, "events")), target, work)
+    result = _fold_stream(inputs.metric_events(_stream(spark, sf, "events", work)), target, work)
     return result.select(text_time("window_start"), "name", "payment_provider", "platform", "n")
 
 
@@ -80,14 +104,14 @@ def stream_metric_counts(spark: SparkSession, sf: str) -> DataFrame:
 def stream_funnel(spark: SparkSession, sf: str) -> DataFrame:
     work = shared_dir(spark, "funnel")
     target = jobs.steps_table(spark, f"{work}/table")
-    return _fold_stream(inputs.checkout_beacons(_stream(spark, sf, "events")), target, work)
+    return _fold_stream(inputs.checkout_beacons(_stream(spark, sf, "events", work)), target, work)
 
 
 @query
 def stream_abandonment(spark: SparkSession, sf: str) -> DataFrame:
     work = shared_dir(spark, "forms")
     target = jobs.forms_table(spark, f"{work}/table")
-    left = _fold_stream(inputs.form_beacons(_stream(spark, sf, "events")), target, work)
+    left = _fold_stream(inputs.form_beacons(_stream(spark, sf, "events", work)), target, work)
     return forms.event_report(forms.abandonment_events(left))
 
 
@@ -95,7 +119,7 @@ def stream_abandonment(spark: SparkSession, sf: str) -> DataFrame:
 def stream_session_state(spark: SparkSession, sf: str) -> DataFrame:
     work = shared_dir(spark, "sessions")
     target = jobs.assignments_table(spark, f"{work}/table")
-    requests = _stream(spark, sf, "events").select(
+    requests = _stream(spark, sf, "events", work).select(
         F.col("user_id").cast("string").alias("browser_id"),
         F.unix_seconds(F.col("ts").cast("timestamp")).alias("second"),
         F.when(F.col("event_type") == "click", "android").alias("platform"),
@@ -116,7 +140,7 @@ def stream_session_state(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def stream_receipts_outbox(spark: SparkSession, sf: str) -> DataFrame:
     work = shared_dir(spark, "receipts")
-    contributions = inputs.all_contributions(_stream(spark, sf, "orders"), table(spark, sf, "events"))
+    contributions = inputs.all_contributions(_stream(spark, sf, "orders", work), queries.request_log(spark, sf))
     out = attribution.receipt_payload(attribution.receipts(contributions, inputs.stored(), "contribution-thank-you"))
     folded.write_to_end(out.withColumnRenamed("payload", "value"), "text", f"{work}/outbox", f"{work}/checkpoint")
     sent = spark.read.text(f"{work}/outbox")
@@ -136,7 +160,7 @@ def stream_receipts_outbox(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def stream_acquisitions(spark: SparkSession, sf: str) -> DataFrame:
     work = shared_dir(spark, "acquisitions")
-    feed = acquisitions.build(inputs.contributions(_stream(spark, sf, "orders"), table(spark, sf, "events")))
+    feed = acquisitions.build(inputs.contributions(_stream(spark, sf, "orders", work), queries.request_log(spark, sf)))
     events = acquisitions.events(feed).withColumn("month", F.date_format("created", "yyyy-MM"))
     folded.write_to_end(events, "parquet", f"{work}/outbox", f"{work}/checkpoint", "month")
     return spark.read.parquet(f"{work}/outbox").select(
@@ -148,7 +172,7 @@ def stream_acquisitions(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def stream_consent_outbox(spark: SparkSession, sf: str) -> DataFrame:
     work = shared_dir(spark, "consents")
-    sent = attribution.consents(queries.opt_ins(_stream(spark, sf, "events")))
+    sent = attribution.consents(queries.opt_ins(_stream(spark, sf, "events", work)))
     folded.write_to_end(sent, "json", f"{work}/outbox", f"{work}/checkpoint")
     back = spark.read.schema("email string, `set-consents` array<string>").json(f"{work}/outbox")
     return back.groupBy("email", joined("set-consents", "consents")).agg(F.count("*").alias("n"))

@@ -107,8 +107,10 @@ def one_of(table: Mapping[str, str], of: str = "{v}") -> str:
     return f"CASE {of} " + " ".join(f"WHEN {_quoted(k)} THEN {_quoted(v)}" for k, v in table.items()) + " END"
 
 
-def member_of(members: Sequence[str]) -> str:
-    """Member whose text this is: underscores and case do not count."""
+def member_of(members: Sequence[str] | None) -> str:
+    """Member whose text this is: underscores and case do not count. Without a list, any text will do."""
+    if members is None:
+        return "{v}"
     if not members:
         return "CAST(NULL AS STRING)"
     return one_of({m.lower(): m for m in members}, of="lower(replace({v}, '_', ''))")

@@ -69,3 +69,13 @@ def merge_newest(
     """Per key: newest non-null of some columns, first value ever of others, time of the last write."""
     state = newest_partials(df, key, order, newest, oldest, updated)
     return finish_partials(state, key, newest, oldest)
+
+
+def one_per_key(df: DataFrame, key: str) -> DataFrame:
+    """One row per key, whatever a log repeats: of rows that differ, the least in the order of their columns.
+
+    Combined ahead of its one shuffle, which a join on the key then shares. Rows without a key are dropped.
+    """
+    others = [c for c in df.columns if c != key]
+    least = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*others)).alias("_row"))
+    return least.select(key, *[F.col("_row")[c].alias(c) for c in others])

@@ -1,46 +1,22 @@
 """Joins against tables that have one row per key.
 
-Broadcasting is left to Spark, which compares a table's size with ``spark.sql.autoBroadcastJoinThreshold``. Only
-tables whose size is fixed in code are broadcast by a hint.
+Broadcasting is left to Spark, which compares a table's size with ``spark.sql.autoBroadcastJoinThreshold``, and so are
+hot keys: the side with many rows per key is split where it is skewed, as the table's side has one row per key.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from donorlake.operators import folds
+
 
 def look_up_left(facts: DataFrame, table: DataFrame, fact_key: Column, table_key: str, row_id: Column) -> DataFrame:
     """Left join in which rows without a key are spread over all tasks.
 
-    Null keys would all hash to one task. They get the row id as their key instead, in a second key column that never
+    A key that the table repeats counts once. Null keys would all hash to one task. They get the row id as their key instead, in a second key column that never
     matches.
     """
     keyed = facts.withColumns({"_key": fact_key, "_spread": F.when(fact_key.isNull(), F.xxhash64(row_id)).otherwise(F.lit(0))})
-    right = table.withColumnRenamed(table_key, "_key").withColumn("_spread", F.lit(0).cast("bigint"))
+    right = folds.one_per_key(table.withColumnRenamed(table_key, "_key"), "_key").withColumn("_spread", F.lit(0).cast("bigint"))
     return keyed.join(right, ["_key", "_spread"], "left").drop("_key", "_spread")
-
-
-def hot_keys(keys: DataFrame, min_rows: int) -> DataFrame:
-    """Keys with at least ``min_rows`` rows. Combined on the map side; at most rows / min_rows keys come out."""
-    name = keys.columns[0]
-    return keys.groupBy(name).count().where((F.col("count") >= min_rows) & F.col(name).isNotNull()).select(name)
-
-
-def skewed_left(
-    facts: DataFrame, table: DataFrame, key: str, hot: DataFrame, row_id: Column, salts: int = 64
-) -> DataFrame:
-    """Left join whose hot keys are salted on the fact side and copied ``salts`` times on the table side.
-
-    ``hot`` (see ``hot_keys``) is small by construction: with ``min_rows`` of a million, a trillion rows give at most a
-    million keys. Other keys keep one salt, so the table grows only by its hot rows.
-    """
-    flagged = F.broadcast(hot.select(F.col(key), F.lit(True).alias("_hot")))
-    left = facts.join(flagged, key, "left").withColumn(
-        "_salt",
-        F.when(F.col("_hot") | F.col(key).isNull(), F.pmod(F.xxhash64(row_id), F.lit(salts))).otherwise(F.lit(0)),
-    )
-    right = table.join(flagged, key, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
-    )
-    right = right.withColumn("_salt", F.col("_salt").cast("bigint")).drop("_hot")
-    return left.drop("_hot").join(right, [key, "_salt"], "left").drop("_salt")

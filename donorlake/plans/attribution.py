@@ -24,7 +24,7 @@ def card_contributions(charges: DataFrame, forms: DataFrame) -> DataFrame:
         "browser_id", "visit_id", "iduser", "platform", "component_id", "component_type", "source", "referrer_test",
         "native_tests", "is_support", "allocations",
     )
-    return charges.join(form, "paymentid").withColumns(
+    return charges.join(folds.one_per_key(form, "paymentid"), "paymentid").withColumns(
         {"firstname": F.lit(None).cast("string"), "lastname": F.lit(None).cast("string"), "provider": F.lit("Stripe")}
     )
 
@@ -36,7 +36,14 @@ def paypal_contributions(payments: DataFrame, requests: DataFrame) -> DataFrame:
         "iduser", "platform", "component_id", "component_type", "source", "referrer_test", "native_tests",
         "is_support", "allocations",
     )
-    return payments.join(request, "paymentid").withColumn("provider", F.lit("Paypal"))
+    return payments.join(folds.one_per_key(request, "paymentid"), "paymentid").withColumn("provider", F.lit("Paypal"))
+
+
+def storable(contributions: DataFrame) -> DataFrame:
+    """Contributions that the tables and the receipts take: with an id, a payer and an amount that is a number."""
+    return contributions.where(
+        F.col("contributionid").isNotNull() & F.col("email").isNotNull() & F.col("amount").isNotNull()
+    )
 
 
 def _metadata_row() -> list[Column]:

@@ -86,7 +86,7 @@ def progress(totals: DataFrame, goals: DataFrame) -> DataFrame:
 
 def visitor_dimensions(requests: DataFrame, user_cookie: str, signed_out_cookie: str, url: str) -> DataFrame:
     """What analytics knows of a visitor, from their cookies and the page's URL."""
-    campaign = F.regexp_extract(url, "INTCMP=([^&]*)", 1)
+    campaign = F.regexp_extract(url, r"^[^?#]*\?[^#]*?INTCMP=([^&#]*)", 1)
     signed_in: Column = F.col("_user.id").isNotNull()
     return requests.withColumn("_user", cookies.cookie_user(F.col(user_cookie))).select(
         *[c for c in requests.columns if c not in (user_cookie, signed_out_cookie, url)],

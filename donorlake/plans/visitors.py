@@ -76,10 +76,10 @@ def enrich_visitors(requests: DataFrame, profiles: DataFrame, user: str) -> Data
     return visitors.join(profiles, user, "left")
 
 
-def enrich_requests(requests: DataFrame, profiles: DataFrame, user: str, row_id: str, hot_rows: int = 1_000_000) -> DataFrame:
-    """Every request with its visitor's profile, with busy visitors spread over many tasks."""
-    hot = lookups.hot_keys(requests.select(user), hot_rows)
-    return lookups.skewed_left(requests, profiles, user, hot, F.col(row_id))
+def enrich_requests(requests: DataFrame, profiles: DataFrame, user: str, row_id: str) -> DataFrame:
+    """Every request with its visitor's profile, null without one."""
+    found = profiles.withColumnRenamed(user, "_profile")
+    return lookups.look_up_left(requests, found, F.col(user), "_profile", F.col(row_id))
 
 
 def first_word(name: Column) -> Column:

@@ -3,7 +3,8 @@
 Producers put the name of their analytics tool in front of the page view, browser and visit ids. ``id_prefix`` is that
 name: with ``id_prefix="site"`` the fields are ``sitePageviewId``, ``siteBrowserId`` and ``siteVisitId``.
 
-``sources`` lists the acquisition sources a site knows by member name; component types have a default.
+``sources`` lists the acquisition sources a site knows by member name, and is not checked if it is not given; component
+types have a default.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ def _id_field(prefix: str, name: str) -> str:
     return f"{prefix}{name}" if prefix else name[0].lower() + name[1:]
 
 
-def _acquisition_fields(sources: tuple[str, ...], component_types: tuple[str, ...]) -> list[Field]:
+def _acquisition_fields(sources: tuple[str, ...] | None, component_types: tuple[str, ...]) -> list[Field]:
     return [
         Field("component_id", "$.componentId", required=False),
         Field("component_type", "$.componentType", required=False, then=member_of(component_types)),
@@ -50,7 +51,7 @@ def read_card_requests(
     raw: DataFrame,
     document: str = "document",
     id_prefix: str = "",
-    sources: tuple[str, ...] = (),
+    sources: tuple[str, ...] | None = None,
     component_types: tuple[str, ...] = fixed.COMPONENT_TYPES,
 ) -> DataFrame:
     """Card checkout submissions. The card token is checked for presence and not kept."""
@@ -79,7 +80,7 @@ def read_auth_requests(
     raw: DataFrame,
     document: str = "document",
     id_prefix: str = "",
-    sources: tuple[str, ...] = (),
+    sources: tuple[str, ...] | None = None,
     component_types: tuple[str, ...] = fixed.COMPONENT_TYPES,
 ) -> DataFrame:
     """PayPal authorisation requests: at least 1, referrer URL without its fragment."""
@@ -104,7 +105,7 @@ def read_capture_requests(
     raw: DataFrame,
     document: str = "document",
     id_prefix: str = "",
-    sources: tuple[str, ...] = (),
+    sources: tuple[str, ...] | None = None,
     component_types: tuple[str, ...] = fixed.COMPONENT_TYPES,
 ) -> DataFrame:
     """PayPal mobile capture requests. The deprecated ``abTest`` is checked but never used."""
@@ -127,7 +128,7 @@ def read_return_urls(
     log: DataFrame,
     url: str = "url",
     id_prefix: str = "",
-    sources: tuple[str, ...] = (),
+    sources: tuple[str, ...] | None = None,
     component_types: tuple[str, ...] = fixed.COMPONENT_TYPES,
 ) -> DataFrame:
     """PayPal return URLs. ``paymentId``, ``token`` and ``PayerID`` are required; a bad optional value also rejects."""
@@ -174,7 +175,7 @@ def read_return_urls(
 def read_landing_urls(
     log: DataFrame,
     url: str = "url",
-    sources: tuple[str, ...] = (),
+    sources: tuple[str, ...] | None = None,
     component_types: tuple[str, ...] = fixed.COMPONENT_TYPES,
 ) -> DataFrame:
     """Landing URLs whose ``acquisitionData`` parameter carries the referrer's JSON. First value of the key counts."""

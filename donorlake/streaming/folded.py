@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 Fold = Callable[[DataFrame], DataFrame]
 
@@ -23,8 +23,10 @@ class FoldedTable:
     def add(self, rows: DataFrame, batch_id: int) -> None:
         self.fold(rows).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
 
-    def state(self) -> DataFrame:
-        return self.merge(self.spark.read.parquet(self.path).drop("batch"))
+    def state(self, before: int | None = None) -> DataFrame:
+        """The state of all batches, or of those ahead of one."""
+        batches = self.spark.read.parquet(self.path)
+        return self.merge((batches if before is None else batches.where(F.col("batch") < before)).drop("batch"))
 
     def read(self) -> DataFrame:
         return self.finish(self.state())

@@ -173,7 +173,7 @@ def test_split_by_mode_is_disjoint_and_complete(spark):
 def test_enrich_requests_with_a_hot_visitor(spark):
     requests = spark.range(500).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 != 0, F.concat(F.lit("u"), (F.col("id") % 5).cast("string"))).alias("user"))
     profiles = spark.createDataFrame([("hot", "H"), ("u1", "U")], "user string, profile string")
-    got = visitors.enrich_requests(requests, profiles, "user", "id", hot_rows=100)
+    got = visitors.enrich_requests(requests, profiles, "user", "id")
     assert got.count() == 500 and got.where("profile = 'H'").count() == 167
 
 

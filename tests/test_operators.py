@@ -123,13 +123,12 @@ def test_look_up_left_keeps_every_row_and_spreads_nulls(spark):
     assert got.where("key is null and n is not null").count() == 0
 
 
-def test_skewed_left(spark):
-    df = log(spark)
-    table = spark.createDataFrame([("hot", 1), ("k1", 2), ("k2", 3)], "key string, n int")
-    hot = lookups.hot_keys(df.select("key"), 500)
-    assert [r["key"] for r in hot.collect()] == ["hot"]
-    got = lookups.skewed_left(df, table, "key", hot, F.col("id"), salts=7)
-    assert same(got.select(*df.columns, "n"), df.join(table, "key", "left").select(*df.columns, "n"))
+def test_a_repeated_key_counts_once(spark):
+    table = spark.createDataFrame([("a", 2, "x"), ("a", 1, "z"), ("b", 1, "y"), ("b", 1, "y"), (None, 1, "n")], "key string, n int, t string")
+    got = {(r["key"], r["n"], r["t"]) for r in folds.one_per_key(table, "key").collect()}
+    assert got == {("a", 1, "z"), ("b", 1, "y")}
+    facts = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), (None, 4)], "k string, id int")
+    assert lookups.look_up_left(facts, table, F.col("k"), "key", F.col("id")).count() == 4
 
 
 def greedy(times, life):
