@@ -5,17 +5,19 @@ words it holds, a document's is the noisy-or of its sentences: 1 - prod(1 - p).
 through the noisy-or, and the same sentence scores then tell where the offence is (``locate``).
 
 Features of a sentence are its words and the beginnings of its words (four to eight letters), as offensive stems
-come with many endings. Which of them count is learned: the ones whose share among toxic documents differs most from
-that among others. Fitting sees a bounded sample of the labelled documents, ``TOXIC`` and ``OTHERS`` rows, the first in
-the order of a checksum, texts of up to ``LONGEST`` characters. Scoring reads every whole text.
+come with many endings, known by their checksum in ``SLOTS`` slots. Which of them count is learned: the ones whose
+share among toxic documents differs most from that among others. Fitting sees a bounded sample of the labelled
+documents, ``TOXIC`` and ``OTHERS`` rows, the first in the order of a checksum, texts of up to ``LONGEST`` characters.
+Scoring reads every whole text.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from donorlake.llm.common import python_workers
 from donorlake.llm.language_id import held_out
 
-TOXIC, OTHERS, LONGEST = 2500, 5000, 40_000
+TOXIC, OTHERS, LONGEST = 2000, 4000, 20_000
+SLOTS = 1 << 22
 #: How many features at most, and in how many toxic documents of the sample one has to be.
 FEATURES, LEAST = 3000, 5
 STEPS, RATE, DECAY = 300, 0.1, 2e-4
@@ -36,13 +39,14 @@ _WORD = re.compile(r"[^\W\d_]+")
 _STEMS = range(4, 9)
 
 
-def _of_word(word: str) -> list[str]:
-    return ["=" + word, *(word[:n] for n in _STEMS if n <= len(word))]
+def _of_word(word: str) -> tuple[int, ...]:
+    """The slots of a word and its beginnings."""
+    return tuple(zlib.crc32(f.encode("utf-8", "surrogatepass")) % SLOTS for f in ("=" + word, *(word[:n] for n in _STEMS if n <= len(word))))
 
 
 @dataclass(frozen=True)
 class Model:
-    weights: dict[str, float]
+    weights: dict[int, float]
     bias: float
 
     def sentences(self, text: str | None) -> list[tuple[int, int, float]]:
@@ -57,7 +61,7 @@ class Model:
             out.append((m.start(), m.end(), self.bias + sum(self.weights[f] for f in sorted(found))))
         return out
 
-    def _known(self, word: str) -> list[str]:
+    def _known(self, word: str) -> list[int]:
         got = self.cache.get(word)
         if got is None:
             if len(self.cache) > 200_000:
@@ -66,7 +70,7 @@ class Model:
         return got
 
     @property
-    def cache(self) -> dict[str, list[str]]:
+    def cache(self) -> dict[str, list[int]]:
         if "_cache" not in self.__dict__:
             object.__setattr__(self, "_cache", {})
         return self.__dict__["_cache"]
@@ -82,21 +86,22 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     y = np.array(toxic, float)
     if not len(y) or y.min() == y.max():
         return Model({}, PRIOR)
-    bags = [[frozenset(f for w in set(_WORD.findall(s)) for f in _of_word(w)) for s in _SENTENCE.findall(t.lower())] for t in texts]
-    seen = {0: Counter(), 1: Counter()}
-    for bag, label in zip(bags, toxic, strict=True):
-        seen[label].update(frozenset().union(*bag))
+    slots = lru_cache(maxsize=200_000)(_of_word)
+    seen = np.zeros((2, SLOTS), np.int32)
+    for text, label in zip(texts, toxic, strict=True):
+        seen[label, list({f for w in set(_WORD.findall(text.lower())) for f in slots(w)})] += 1
     n1, n0 = y.sum(), len(y) - y.sum()
-    lift = {f: np.log((c + 0.5) / (n1 + 1)) - np.log((seen[0][f] + 0.5) / (n0 + 1)) for f, c in seen[1].items() if c >= LEAST}
-    chosen = sorted((f for f in lift if lift[f] > 0.7), key=lambda f: (-lift[f], f))[:FEATURES]
-    number = {f: k for k, f in enumerate(chosen)}
+    lift = np.log((seen[1] + 0.5) / (n1 + 1)) - np.log((seen[0] + 0.5) / (n0 + 1))
+    able = np.flatnonzero((seen[1] >= LEAST) & (lift > 0.7))
+    chosen = able[np.argsort(-lift[able], kind="stable")][:FEATURES]
+    number = {int(f): k for k, f in enumerate(chosen)}
     doc, row, col, rows = [], [], [], 0
-    for k, bag in enumerate(bags):
-        for s in bag:
-            held = [number[f] for f in s if f in number]
+    for k, text in enumerate(texts):
+        for sentence in _SENTENCE.findall(text.lower()):
+            held = {number[f] for w in set(_WORD.findall(sentence)) for f in slots(w) if f in number}
             doc.append(k)
             row += [rows] * len(held)
-            col += held
+            col += sorted(held)
             rows += 1
     doc, row, col = np.array(doc, int), np.array(row, int), np.array(col, int)
     w, b = np.zeros(len(chosen)), PRIOR
@@ -113,7 +118,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w + move[:-1], b + move[-1]
-    return Model({f: float(x) for f, x in zip(chosen, w, strict=True) if abs(x) > 1e-3}, float(b))
+    return Model({int(f): float(x) for f, x in zip(chosen, w, strict=True) if abs(x) > 1e-3}, float(b))
 
 
 def sample(docs: DataFrame, labels: DataFrame, trains: Column, text: str = "text") -> tuple[list[str], list[int]]:
