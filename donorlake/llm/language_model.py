@@ -100,7 +100,7 @@ class Words:
 
 
 def learn_words(counts: DataFrame, known: int = KNOWN, vectors: int = VECTORS) -> Words:
-    """Totals and the frequent words. The driver sees a histogram of counts and at most ``known`` words."""
+    """Totals and the frequent words. The driver sees a histogram of counts and at most ``known`` words, and the end."""
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     step = F.floor(F.log2("n") * 8)
     histogram = sorted(counts.groupBy(step.alias("b")).agg(F.count("*").alias("m")).collect(), key=lambda r: -r["b"])
@@ -110,7 +110,9 @@ def learn_words(counts: DataFrame, known: int = KNOWN, vectors: int = VECTORS) -
         if held > known:
             break
         least = row["b"]
-    rows = counts.filter(step >= least).collect() if least is not None else []
+    # The end is always among them: it stands in every text.
+    frequent = (F.length("word") == 0) if least is None else (F.length("word") == 0) | (step >= least)
+    rows = counts.filter(frequent).collect()
     rows.sort(key=lambda r: (-r["n"], bytes(r["word"])))
     # By first byte, second byte and ending, as class_of has it.
     word, size = F.col("word"), F.length("word")
