@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from donorlake import fixed_values as fixed
 from donorlake.functions.text import uuid_text
 from donorlake.operators import allocation
 from donorlake.session import configure
@@ -20,7 +21,6 @@ SOURCES = ("PartnerWeb", "PartnerApps", "Email")
 ID_PREFIX = "site"
 SALT = "0123456789abcdef"
 FORM_FIELDS = ("name", "email", "amount", "postcode")
-SUPPRESSED = ("co_uk_ema_cns_a", "co_uk_ema_cns_b", "co_us_ema_cnsus_a", "co_int_email_patronask")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -279,7 +279,7 @@ def stripe_charges(orders: DataFrame) -> DataFrame:
 
 def request_base(events: DataFrame) -> DataFrame:
     k = props_k()
-    suppressed = F.element_at(F.array(*[F.lit(c) for c in SUPPRESSED]), (F.col("kk") % 4 + 1).cast("int"))
+    suppressed = F.element_at(F.array(*[F.lit(c) for c in fixed.NO_RECEIPT_CAMPAIGNS]), (F.col("kk") % 4 + 1).cast("int"))
     return events.select(
         F.col("event_id").alias("id"),
         F.col("user_id").alias("u"),

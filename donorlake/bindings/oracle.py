@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from donorlake.fixed_values import NO_RECEIPT_CAMPAIGNS
+
 # --- shared parts ----------------------------------------------------------------------------------------------------------
 
 _BASE = """
@@ -66,7 +68,9 @@ ledger AS (
   ) WHERE rn = 1
 )"""
 
-_REQUESTS = """
+_NO_RECEIPT = ", ".join(f"'{code}'" for code in NO_RECEIPT_CAMPAIGNS)
+
+_REQUESTS = f"""
 req0 AS (
   SELECT event_id AS id, user_id AS u, event_type AS kind, CAST(ts AS TIMESTAMP) AS ts,
     CAST(floor(value * 100) AS BIGINT) AS value_minor,
@@ -76,7 +80,7 @@ req0 AS (
 req AS (
   SELECT *,
     CASE WHEN kk % 10 = 0 THEN NULL
-      WHEN kk < 8 THEN (['co_uk_ema_cns_a', 'co_uk_ema_cns_b', 'co_us_ema_cnsus_a', 'co_int_email_patronask'])[CAST(kk % 4 + 1 AS INTEGER)]
+      WHEN kk < 8 THEN ([{_NO_RECEIPT}])[CAST(kk % 4 + 1 AS INTEGER)]
       ELSE 'cmp_' || kk END AS cmp,
     CASE WHEN kk % 3 = 0 THEN NULL ELSE 'cmp_' || (kk - kk % 2) END AS intcmp,
     CAST(u * 67 % 10000 AS INTEGER) AS test_id,
@@ -336,7 +340,7 @@ SELECT paymentid, email AS address, email AS subscriber_key,
   'contribution-thank-you' AS extension
 FROM contributions
 WHERE (feed = 'Stripe' OR k % 43 <> 0)
-  AND coalesce(cmp NOT IN ('co_uk_ema_cns_a', 'co_uk_ema_cns_b', 'co_us_ema_cnsus_a', 'co_int_email_patronask'), true)"""
+  AND coalesce(cmp NOT IN ({_NO_RECEIPT}), true)"""
 
 ORACLE["consent_outbox"] = f"""WITH {_REQUESTS}
 SELECT 'donor' || u || '@example.com' AS email, 'supporter' AS consents, count(*) AS n FROM req WHERE kk >= 50 GROUP BY 1"""

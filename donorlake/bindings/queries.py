@@ -414,9 +414,9 @@ TESTS = (
 def _visitors(spark: SparkSession, sf: str) -> DataFrame:
     base = inputs.request_base(table(spark, sf, "events"))
     campaign = (
-        F.when(F.col("kk") % 5 == 0, "gdnwb_copts_memco_nugget_election")
+        F.when(F.col("kk") % 5 == 0, "spring_ge2017_interactive_slice_2")
         .when(F.col("kk") % 5 == 1, "other_thrasher_x")
-        .when(F.col("kk") % 5 == 2, "gdnwb_copts_x_banner")
+        .when(F.col("kk") % 5 == 2, "own_thrasher")
         .when(F.col("kk") % 5 == 3, "unrelated")
     )
     asked = (

@@ -30,6 +30,12 @@ def _stream(spark: SparkSession, sf: str, name: str, work: str, order: Column |
     return folded.read_table_stream(configure(spark), folder, max(1, files // BATCHES))
 
 
+def _by_time(spark: SparkSession, sf: str, name: str, time: str) -> Column:
+    """A row's place between the first and the last time of its table."""
+    first, last = (F.unix_seconds(F.lit(t).cast("timestamp")) for t in table(spark, sf, name).agg(F.min(time), F.max(time)).first())
+    return (F.unix_seconds(F.col(time).cast("timestamp")) - first) / F.greatest(last - first, F.lit(1))
+
+
 def _fold_stream(stream: DataFrame, folded_table: folded.FoldedTable, work: str, rows=lambda df: df) -> DataFrame:
     folded.run_to_end(stream, lambda df, batch_id: folded_table.add(rows(df), batch_id), f"{work}/checkpoint")
     return folded_table.read()
@@ -62,10 +68,6 @@ def stream_late_hooks(spark: SparkSession, sf: str) -> DataFrame:
     work = shared_dir(spark, "late")
     lineitem = table(spark, sf, "lineitem")
     target = jobs.ledger_table(spark, f"{work}/table")
-    arrived = table(spark, sf, "orders").agg(F.min("o_orderdate"), F.max("o_orderdate")).first()
-    seconds = lambda c: F.unix_seconds(c.cast("timestamp"))
-    first, last = (seconds(F.lit(t)) for t in arrived)
-    order = (seconds(F.col("o_orderdate")) - first) / F.greatest(last - first, F.lit(1))
 
     def each_batch(orders: DataFrame, batch_id: int) -> None:
         path = f"{work}/rows/batch={batch_id}"
@@ -75,7 +77,7 @@ def stream_late_hooks(spark: SparkSession, sf: str) -> DataFrame:
         jobs.late_rows(rows, known).write.mode("overwrite").parquet(f"{work}/late/batch={batch_id}")
         target.add(rows, batch_id)
 
-    folded.run_to_end(_stream(spark, sf, "orders", work, order), each_batch, f"{work}/checkpoint")
+    folded.run_to_end(_stream(spark, sf, "orders", work, _by_time(spark, sf, "orders", "o_orderdate")), each_batch, f"{work}/checkpoint")
     return spark.read.parquet(f"{work}/late").drop("batch")
 
 
@@ -117,9 +119,10 @@ def stream_abandonment(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def stream_session_state(spark: SparkSession, sf: str) -> DataFrame:
+    """Sticky ids by arrival: the log comes in the order of time, as an id runs from the request that was seen first."""
     work = shared_dir(spark, "sessions")
     target = jobs.assignments_table(spark, f"{work}/table")
-    requests = _stream(spark, sf, "events", work).select(
+    requests = _stream(spark, sf, "events", work, _by_time(spark, sf, "events", "ts")).select(
         F.col("user_id").cast("string").alias("browser_id"),
         F.unix_seconds(F.col("ts").cast("timestamp")).alias("second"),
         F.when(F.col("event_type") == "click", "android").alias("platform"),

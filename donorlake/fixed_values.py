@@ -81,10 +81,7 @@ CARD_ERROR_MESSAGES = {
 }
 DECLINE_MESSAGES = {
     "generic_decline": "We're sorry. Your card has been declined.",
-    "card_not_supported": (
-        "We're sorry. We can't take payment with this type of card. "
-        "Please try again using Visa, Mastercard or American Express."
-    ),
+    "card_not_supported": "We're sorry. We can't take payment with this type of card. Please try again using Visa, Mastercard or American Express.",
     "try_again_later": "We can't process your payment right now. Please try again later.",
 }
 GENERIC_ERROR_MESSAGE = "Sorry, we weren't able to process your payment this time around. Please try again."

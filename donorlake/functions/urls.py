@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, functions as F
 
 
@@ -24,9 +22,9 @@ def pair_value(key: str, pairs: str = "_pairs") -> str:
 
 
 def url_parameter(url: Column, key: str) -> Column:
-    """Query value found by pattern anywhere in the URL: absent -> null, no value -> ``""``."""
-    pattern = f"[?&]{re.escape(key)}(=([^&#]*)|&|#|$)"
-    return F.when(url.rlike(pattern), decoded(F.regexp_extract(url, pattern, 2)))
+    """First value of a query key, decoded: absent -> null, no value -> ``""``."""
+    named = F.filter(query_pairs(url), lambda pair: (pair == key) | pair.startswith(f"{key}="))
+    return decoded(F.substr(F.get(named, F.lit(0)), F.lit(len(key) + 2)))
 
 
 def without_fragment(url: Column) -> Column:
@@ -36,6 +34,5 @@ def without_fragment(url: Column) -> Column:
 
 
 def is_external(url: Column) -> Column:
-    """True if something other than an empty host is left in front of the first slash."""
-    rest = F.replace(F.replace(url, F.lit("http://"), F.lit("")), F.lit("https://"), F.lit(""))
-    return F.length(F.split_part(rest, F.lit("/"), F.lit(1))) > 0
+    """True if something other than an empty host is left in front of the first slash, schemes aside."""
+    return url.rlike("^(https?://)*[^/]")

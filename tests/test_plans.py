@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from donorlake.bindings import inputs
+from donorlake.bindings.queries import QUERIES
 from donorlake.operators import folds, running
 from donorlake.plans import counters, ledger
 
@@ -15,7 +16,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-BATCH = sorted(name for name in entry.queries() if not name.startswith("stream_"))
+BATCH = sorted(name for name in QUERIES if not name.startswith("stream_"))
 
 
 @pytest.mark.parametrize("name", BATCH)
@@ -23,6 +24,14 @@ def test_no_cross_joins_and_no_single_task_windows(spark, sf_dir, name):
     text = plan(entry.queries()[name](spark, sf_dir))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert "SinglePartition" not in text or "TakeOrderedAndProject" in text
+    assert "RoundRobinPartitioning" not in text
+
+
+@pytest.mark.parametrize("name", ["receipts_outbox", "acquisition_events", "metadata_table"])
+def test_the_request_log_is_read_by_kind(spark, sf_dir, name):
+    text = plan(entry.queries()[name](spark, sf_dir))
+    # One scan of the events per kind of request, each filtered to its own orders ahead of building documents.
+    assert text.count("FileScan parquet") <= 9 and text.count("user_id#") > 0
 
 
 def test_last_write_prunes_before_its_one_shuffle(spark, sf_dir):

@@ -3,6 +3,8 @@
 import pytest
 
 import __spark_entry__ as entry
+from donorlake.bindings.oracle import ORACLE
+from donorlake.bindings.queries import QUERIES
 from oracle_check import compare, connect
 
 
@@ -12,12 +14,13 @@ def con(sf_dir):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf_dir, con, name):
-    assert compare(entry.queries()[name](spark, sf_dir), con, entry.oracle_sql()[name]) is None
+    assert compare(QUERIES[name](spark, sf_dir), con, ORACLE[name]) is None
 
 
 def test_flagship(spark):

@@ -16,11 +16,11 @@ def paypal(**changes):
         "id": "SALE1",
         "parent_payment": "PAY-1",
         "custom": CID,
-        "create_time": "2016-08-10T09:49:14Z",
-        "amount": {"total": "22.00", "currency": "GBP", "details": {}},
+        "create_time": "2021-03-04T05:06:07Z",
+        "amount": {"total": "31.40", "currency": "GBP", "details": {}},
         "links": [{"href": "https://example.com", "rel": "self"}],
     }
-    document = {"id": "WH-1", "create_time": "2016-08-10T09:49:38Z", "event_type": "PAYMENT.SALE.COMPLETED"}
+    document = {"id": "WH-1", "create_time": "2021-03-04T05:07:08Z", "event_type": "PAYMENT.SALE.COMPLETED"}
     for key, value in changes.items():
         target = document if key == "event_type" else resource
         if value is ...:
@@ -34,12 +34,12 @@ def stripe(metadata=None, **changes):
     charge = {
         "id": "ch_1",
         "livemode": False,
-        "created": 1473960774,
+        "created": 1620000000,
         "currency": "gbp",
-        "amount": 2500,
+        "amount": 4750,
         "status": "succeeded",
         "refunded": False,
-        "metadata": {"contributionId": CID, "email": "a@a.a", "countryCode": "uk", "abTests": "[]"},
+        "metadata": {"contributionId": CID, "email": "donor@example.org", "countryCode": "nz", "abTests": "[]"},
     }
     charge["metadata"].update(metadata or {})
     for key, value in changes.items():
@@ -59,17 +59,17 @@ def test_paypal_sample(spark):
     (row,) = read(spark, read_paypal_hooks, paypal())
     assert row["problem"] is None
     assert row["contributionid"] == CID and row["paymentid"] == "PAY-1" and row["provider"] == "Paypal"
-    assert row["created"] == dt.datetime(2016, 8, 10, 9, 49, 14)
-    assert (row["currency"], row["amount"], row["status"], row["email"]) == ("GBP", Decimal("22.00"), "Paid", None)
+    assert row["created"] == dt.datetime(2021, 3, 4, 5, 6, 7)
+    assert (row["currency"], row["amount"], row["status"], row["email"]) == ("GBP", Decimal("31.40"), "Paid", None)
 
 
 def test_stripe_sample(spark):
     (row,) = read(spark, read_stripe_hooks, stripe())
     assert row["problem"] is None
     assert row["contributionid"] == CID and row["paymentid"] == "ch_1" and row["event_id"] == "evt_1"
-    assert row["created"] == dt.datetime(2016, 9, 15, 17, 32, 54)
-    assert (row["currency"], row["amount"], row["status"]) == ("GBP", Decimal("25.00"), "Paid")
-    assert (row["email"], row["mode"], row["country_code"]) == ("a@a.a", "Testing", "uk")
+    assert row["created"] == dt.datetime(2021, 5, 3, 0, 0, 0)
+    assert (row["currency"], row["amount"], row["status"]) == ("GBP", Decimal("47.50"), "Paid")
+    assert (row["email"], row["mode"], row["country_code"]) == ("donor@example.org", "Testing", "nz")
 
 
 @pytest.mark.parametrize(
@@ -103,7 +103,7 @@ def test_paypal_rejections(spark, document, problem):
 @pytest.mark.parametrize(
     "document, problem",
     [
-        (stripe(amount="2500"), "amount_minor"),
+        (stripe(amount="4750"), "amount_minor"),
         (stripe(amount=25.5), "amount_minor"),
         (stripe(livemode="true"), "livemode"),
         (stripe(refunded=...), "refunded"),
@@ -111,7 +111,7 @@ def test_paypal_rejections(spark, document, problem):
         (stripe(metadata={"email": 5}), "email"),
         (stripe(metadata={"contributionId": "x"}), "contribution_id"),
         (stripe(metadata={"countryCode": None}), "country_code"),
-        (stripe(amount=2500.0), None),
+        (stripe(amount=4750.0), None),
     ],
 )
 def test_stripe_rejections(spark, document, problem):
