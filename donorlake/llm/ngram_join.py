@@ -10,7 +10,8 @@ verified. The join goes from cheap to dear, over all documents and whole texts:
    one. Who shares too few of them has no partner. Each batch sends a shingle once.
 3. Those left order their shingles by frequency, rare ones first. Shingles that nobody shares count towards the prefix
    but need no posting. Each class picks the l that makes its candidates cheapest, by the frequencies in its prefix.
-4. Candidates are first looked for around one centre per shingle (the class with the fewest unshared shingles), which
+4. A pair is a candidate if sizes, places in the order and signatures (parities of the shingles in 512 places, which
+   bound how many shingles differ) allow a link. Candidates are first looked for around one centre per shingle (the class with the fewest unshared shingles), which
    joins dense groups of near copies in as many pairs as there are postings. Pairs of classes that are in one component
    by then are of no further interest; all others that share enough postings are verified.
 
@@ -36,6 +37,8 @@ FIRST_SHARE = 10
 #: Bits of the filter by which texts are picked for step 3. It is sent to all workers, and so of a fixed size; what it
 #: lets through in vain is dropped by a join.
 FILTER_BITS = 1 << 27
+#: Places of the signatures that tell most pairs apart before they are verified.
+SIGNATURE_BITS = 512
 #: The largest number of matches a class may ask for.
 MOST_MATCHES = 6
 #: What verifying a candidate costs, in postings met.
@@ -189,7 +192,7 @@ def _slot(doc_id: Column) -> Column:
 
 
 def whole_sets(docs: DataFrame, chosen: DataFrame, n_words: int = WORDS) -> DataFrame:
-    """``cid, n, tokens`` of the ``chosen`` classes, once each, from the texts of their first ids."""
+    """``cid, n, tokens, sig`` of the ``chosen`` classes, once each, from the texts of their first ids."""
     slots = chosen.select(_slot(F.col("first_id")).alias("s"))
     bits = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("s") % 64).cast("int")))
     there = np.zeros(FILTER_BITS // 64, np.int64)
@@ -207,13 +210,23 @@ def whole_sets(docs: DataFrame, chosen: DataFrame, n_words: int = WORDS) -> Data
                 sets = [shingles(text.as_py(), n_words) for text in part.column(1)]
                 keys = [_digest(s) for s in sets]
                 columns = [part.column(0), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), _lists(sets)]
-                yield pa.RecordBatch.from_arrays(columns, names=["first_id", "k1", "k2", "tokens"])
+                columns.append(_lists([signature(s).view(np.uint64) for s in sets]))
+                yield pa.RecordBatch.from_arrays(columns, names=["first_id", "k1", "k2", "tokens", "sig"])
 
     slim = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", _slot(F.col("doc_id")).alias("slot"))
-    found = slim.mapInArrow(run, "first_id long, k1 long, k2 long, tokens array<long>")
+    found = slim.mapInArrow(run, "first_id long, k1 long, k2 long, tokens array<long>, sig array<long>")
     # An id may have other texts too, which have other digests; equal rows meet in one task.
-    found = found.join(chosen, ["first_id", "k1", "k2"]).select("first_id", "k1", "k2", "cid", "tokens").dropDuplicates(["first_id", "k1", "k2"])
-    return found.select("cid", F.size("tokens").cast("bigint").alias("n"), "tokens")
+    found = found.join(chosen, ["first_id", "k1", "k2"]).select("first_id", "k1", "k2", "cid", "tokens", "sig").dropDuplicates(["first_id", "k1", "k2"])
+    return found.select("cid", F.size("tokens").cast("bigint").alias("n"), "tokens", "sig")
+
+
+def signature(found: np.ndarray) -> np.ndarray:
+    """The parity of the shingles at each of ``SIGNATURE_BITS`` places, as 64-bit numbers.
+
+    Two sets whose signatures differ in k places differ in k shingles at least.
+    """
+    odd = np.bincount((found % np.uint64(SIGNATURE_BITS)).astype(np.int64), minlength=SIGNATURE_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _overlap_of(n: Column, percent: int) -> Column:
@@ -226,7 +239,7 @@ def _pair_overlap(n: Column, m: Column, percent: int) -> Column:
 
 
 def postings(sets: DataFrame, percent: int = PERCENT, most: int = MOST_MATCHES) -> DataFrame:
-    """``token, cid, n, alone, place, matches`` of the prefixes (step 3).
+    """``token, cid, n, alone, place, matches, sig`` of the prefixes (step 3).
 
     ``place`` is the shingle's place in the order, ``alone`` the number of shingles no other class has (they come
     first), ``matches`` the l the class asks for.
@@ -250,15 +263,21 @@ def postings(sets: DataFrame, percent: int = PERCENT, most: int = MOST_MATCHES)
     # A class whose prefix holds unshared shingles only has no candidates; its costs are null.
     each = each.withColumns({"matches": F.array_min(F.array(*costs))["matches"]})
     each = each.withColumns({"matches": F.least("matches", "n")})
-    return each.filter(F.col("place") < F.col("spare") + F.col("matches")).select("token", "cid", "n", "alone", "place", "matches")
+    each = each.filter(F.col("place") < F.col("spare") + F.col("matches")).select("token", "cid", "n", "alone", "place", "matches")
+    return each.join(sets.select("cid", "sig"), "cid")
 
 
 def _possible(percent: int) -> Column:
-    """Whether postings x and y may belong to a linked pair: sizes, and what can still be common around the match."""
+    """Whether postings x and y may belong to a linked pair.
+
+    Their sizes and what can still be common around the match, and the places in which their signatures differ.
+    """
     n, m = F.col("x.n"), F.col("y.n")
     before = F.least(F.col("x.place") - F.col("x.alone"), F.col("y.place") - F.col("y.alone"))
     after = F.least(n - F.col("x.place"), m - F.col("y.place"))
-    return (before + after) >= _pair_overlap(n, m, percent)
+    differ = sum((F.bit_count(F.get("x.sig", F.lit(k)).bitwiseXOR(F.get("y.sig", F.lit(k)))) for k in range(SIGNATURE_BITS // 64)), F.lit(0))
+    few = (100 + percent) * differ <= (100 - percent) * (n + m)
+    return ((before + after) >= _pair_overlap(n, m, percent)) & few
 
 
 def _matched(pairs: DataFrame) -> DataFrame:
@@ -277,8 +296,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
 
 def star_pairs(posted: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Every class with the centre of each of its postings: the class with the smallest share of unshared shingles."""
-    rank = F.struct((F.col("alone") / F.col("n")).alias("share"), F.col("cid"), F.col("n"), F.col("alone"), F.col("place"), F.col("matches"))
-    centres = posted.groupBy("token").agg(F.min(rank).alias("c")).select("token", "c.cid", "c.n", "c.alone", "c.place", "c.matches")
+    rank = F.struct((F.col("alone") / F.col("n")).alias("share"), F.col("cid"), F.col("n"), F.col("alone"), F.col("place"), F.col("matches"), F.col("sig"))
+    centres = posted.groupBy("token").agg(F.min(rank).alias("c")).select("token", "c.cid", "c.n", "c.alone", "c.place", "c.matches", "c.sig")
     pairs = posted.alias("x").join(centres.alias("y"), "token").filter((F.col("x.cid") != F.col("y.cid")) & _possible(percent))
     pairs = pairs.select(
         F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"), F.least("x.matches", "y.matches").alias("needed")
