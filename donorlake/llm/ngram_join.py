@@ -384,18 +384,13 @@ def keep_one(docs: DataFrame, text: str = "text", n_words: int = WORDS, percent:
     """
     found = groups(_slim(docs, text), n_words, percent)
     best = F.min(F.struct("doc_id", "digest")).alias("best")
-    kept = found.filter("part IS NOT NULL").groupBy("part").agg(best, F.count("*").alias("rows"))
-    kept = cut(kept.select(F.col("best.doc_id").alias("_id"), F.col("best.digest").alias("_digest"), "rows"))
+    kept = found.filter("part IS NOT NULL").groupBy("part").agg(best)
+    kept = cut(kept.select(F.col("best.doc_id").alias("_id"), F.col("best.digest").alias("_digest")))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    whole = whole.withColumns(
-        {
-            "_own": F.col("_row.doc_id").cast("bigint"),
-            "_text": F.md5(F.coalesce(F.col("_row")[text], F.lit("")).cast("binary")),
-            "_able": F.col("_row.doc_id").isNotNull() & F.coalesce(F.col("_row")[text].rlike(r"[^\x20\x09-\x0D]"), F.lit(False)),
-        }
-    )
-    same = (F.col("_own") == F.col("_id")) & (F.col("_text") == F.col("_digest"))
-    alone = whole.filter("_able").join(kept.filter("rows = 1"), same, "left_semi")
-    # A kept row may be there more than once only where its component has more rows.
-    first = whole.filter("_able").join(kept.filter("rows > 1"), same, "left_semi").dropDuplicates(["_own", "_text"])
-    return alone.unionByName(first).unionByName(whole.filter("NOT _able")).select("_row.*")
+    able = F.col("_row.doc_id").isNotNull() & F.coalesce(F.col("_row")[text].rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    digest = F.md5(F.coalesce(F.col("_row")[text], F.lit("")).cast("binary"))
+    rows = whole.filter(able).withColumns({"_id": F.col("_row.doc_id").cast("bigint"), "_digest": digest})
+    # The join has dealt and sorted the rows by the same keys, so equal rows are told apart without another shuffle.
+    same = Window.partitionBy("_id", "_digest").orderBy("_id")
+    first = rows.join(kept, ["_id", "_digest"]).withColumn("_n", F.row_number().over(same)).filter("_n = 1")
+    return first.select("_row.*").unionByName(whole.filter(~able).select("_row.*"))
