@@ -480,6 +480,21 @@ def processed_hooks(orders: DataFrame, lineitem: DataFrame) -> tuple[DataFrame,
     )
 
 
+def rejected_hooks(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+    """All documents that end as dead letters: turned away, or not processed."""
+    from donorlake.plans import ledger
+
+    paypal = ledger.triage(paypal_hooks(orders), F.col("signature_ok"))
+    stripe = ledger.triage(stripe_hooks(orders))
+    failed_paypal, failed_stripe = processed_hooks(orders, lineitem)
+    return (
+        ledger.dead_letters(paypal, "paypal")
+        .unionByName(ledger.dead_letters(stripe, "stripe"))
+        .unionByName(ledger.failures(failed_paypal, "paypal"))
+        .unionByName(ledger.failures(failed_stripe, "stripe"))
+    )
+
+
 def ledger_rows(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     from donorlake.plans import ledger
 

@@ -630,6 +630,11 @@ FROM failed GROUP BY 1"""
 # --- streams: what the batch twin gives ----------------------------------------------------------------------------------
 
 ORACLE["stream_ledger"] = ORACLE["payment_ledger"]
+ORACLE["stream_dead_letters"] = f"""WITH {_LEDGER_ROWS}
+SELECT lower(feed) AS feed, outcome AS stage, coalesce(problem, 'not signed') AS reason, count(*) AS n
+FROM triaged WHERE outcome <> 'parsed' GROUP BY 1, 2, 3
+UNION ALL
+SELECT lower(feed), 'processing-error', processing_error, count(*) FROM processed WHERE processing_error IS NOT NULL GROUP BY 1, 2, 3"""
 ORACLE["stream_late_hooks"] = f"SELECT * FROM ({ORACLE['ledger_regressions']}) WHERE is_regression OR is_late"
 ORACLE["stream_contributors"] = ORACLE["contributors_merge"]
 ORACLE["stream_metric_counts"] = ORACLE["metric_counts"]

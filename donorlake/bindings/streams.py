@@ -58,6 +58,20 @@ def stream_ledger(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def stream_dead_letters(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that don't reach the ledger, written apart per micro-batch with their text, stage and reason."""
+    work = shared_dir(spark, "dead")
+    lineitem = table(spark, sf, "lineitem")
+
+    def each_batch(orders: DataFrame, batch_id: int) -> None:
+        inputs.rejected_hooks(orders, lineitem).write.mode("overwrite").parquet(f"{work}/dead/batch={batch_id}")
+
+    folded.run_to_end(_stream(spark, sf, "orders", work), each_batch, f"{work}/checkpoint")
+    dead = spark.read.parquet(f"{work}/dead").where(F.col("raw").isNotNull())
+    return dead.groupBy("feed", "stage", "reason").agg(F.count("*").alias("n"))
+
+
 @query
 def stream_late_hooks(spark: SparkSession, sf: str) -> DataFrame:
     """Rows that go back in time, set apart per micro-batch before it is folded into the ledger.

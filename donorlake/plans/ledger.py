@@ -10,7 +10,7 @@ from donorlake.operators import folds, lookups, running
 from donorlake.schemas import PAYMENT_HOOKS
 
 ARRIVAL = ("received_at", "delivery_id")
-PARSED, PARSE_ERROR, INVALID = "parsed", "parse-error", "invalid-request"
+PARSED, PARSE_ERROR, INVALID, FAILED = "parsed", "parse-error", "invalid-request", "processing-error"
 _COLUMNS = [f.name for f in PAYMENT_HOOKS.fields]
 
 
@@ -37,6 +37,16 @@ def dead_letters(hooks: DataFrame, feed: str, document: str = "document") -> Dat
     )
 
 
+def failures(hooks: DataFrame, feed: str, document: str = "document") -> DataFrame:
+    """Documents that parsed but could not be processed, as dead letters."""
+    return hooks.where(F.col("processing_error").isNotNull()).select(
+        F.col(document).alias("raw"),
+        F.lit(feed).alias("feed"),
+        F.col("processing_error").alias("reason"),
+        F.lit(FAILED).alias("stage"),
+    )
+
+
 def with_contribution_ids(hooks: DataFrame, payments: DataFrame) -> DataFrame:
     """PayPal hooks that carry no contribution id take it from the payment they belong to, if it has a good one.
 
