@@ -110,19 +110,20 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         lambda total, x: total + x,
     )
     letters = F.regexp_replace("_text", r"\P{L}+", "")
-    step = step.withColumns(
-        {
-            "word_chars": _length(F.array_join("_words", "")),
-            "n_symbols": _length(F.regexp_replace("_text", r"[^#*$%&|<>]+", "")),
-            "n_lines": F.size("_lines").cast("bigint"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"),
-            "n_repeat_words": F.coalesce(covered, F.lit(0).cast("bigint")),
-            "n_letters": _length(letters),
-            "n_upper": _length(F.regexp_replace("_text", r"\P{Lu}+", "")),
-            "n_stop_words": F.size(F.filter("_words", lambda w: fold_ascii(w).isin(stops))).cast("bigint"),
-        }
-    )
-    return step.drop("_text", "_words", "_lines", "_positions", "_windows", "_starts")
+    measures = {
+        "n_words": F.col("n_words"),
+        "word_chars": _length(F.array_join("_words", "")),
+        "n_symbols": _length(F.regexp_replace("_text", r"[^#*$%&|<>]+", "")),
+        "n_lines": F.size("_lines").cast("bigint"),
+        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"),
+        "n_repeat_words": F.coalesce(covered, F.lit(0).cast("bigint")),
+        "n_letters": _length(letters),
+        "n_upper": _length(F.regexp_replace("_text", r"\P{Lu}+", "")),
+        "n_stop_words": F.size(F.filter("_words", lambda w: fold_ascii(w).isin(stops))).cast("bigint"),
+    }
+    # Through a one-row inline: a filter on a measure would else be moved below it all, with a copy of each step.
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in measures]
+    return step.select(*others, F.inline(F.array(F.struct(*[m.alias(name) for name, m in measures.items()]))))
 
 
 def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -138,6 +139,4 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
 def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows that pass every rule, with the columns they came with."""
     whole = docs.withColumns({"_row": F.struct(*[F.col(f"`{c}`") for c in docs.columns])}).select("_row", F.col(text).alias("_judged"))
-    # A filter would be moved below the measures, with a copy of all of them; exploding nothing drops a row just as well.
-    kept = F.explode(F.when(F.col("kept"), F.array("_row"))).alias("_row")
-    return judge(whole, "_judged", rules).select(kept).select("_row.*")
+    return judge(whole, "_judged", rules).filter("kept").select("_row.*")
