@@ -113,6 +113,9 @@ def charge_metadata() -> Column:
         F.concat(F.lit("Donor "), F.col("c").cast("string")).alias("name"),
         F.when(every("k", 4), "").otherwise(F.concat(F.lit("cmp_"), (F.col("c") % 50).cast("string"))).alias("cmp"),
         F.when(every("k", 5), "").otherwise(F.concat(F.lit("int_"), (F.col("k") % 9).cast("string"))).alias("intcmp"),
+        text_id("pv", "k").alias(f"{ID_PREFIX}PageviewId"),
+        F.when(every("k", 9), "").otherwise(text_id("bw", "c")).alias(f"{ID_PREFIX}BrowserId"),
+        F.when(~every("k", 7), text_id("visit", "c")).alias(f"{ID_PREFIX}VisitId"),
         F.when(every("k", 6), "unknown-country-code").otherwise(
             F.concat(F.lit("c"), (F.col("c") % 25).cast("string"))
         ).alias("countryCode"),

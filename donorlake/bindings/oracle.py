@@ -296,7 +296,8 @@ ORACLE["attribution_backfill"] = f"""WITH {_BASE}
 SELECT 'evt_' || k AS event_id, cid AS contributionid, 'user' || c || '@example.com' AS email, 'Donor ' || c AS name,
   CASE WHEN k % 4 <> 0 THEN 'cmp_' || (c % 50) END AS cmp, CASE WHEN k % 5 <> 0 THEN 'int_' || (k % 9) END AS intcmp,
   CASE WHEN k % 6 <> 0 THEN 'c' || (c % 25) END AS country_code, CAST(NULL AS VARCHAR) AS country_subdivision_code,
-  CASE WHEN k % 8 = 0 THEN 'N' || k END AS postcode, 'stripe-checkout:stripe' AS abtests
+  CASE WHEN k % 8 = 0 THEN 'N' || k END AS postcode, 'pv' || k AS pageview_id, CASE WHEN k % 9 <> 0 THEN 'bw' || c END AS browser_id,
+  CASE WHEN k % 7 <> 0 THEN 'visit' || c END AS visit_id, 'stripe-checkout:stripe' AS abtests
 FROM base WHERE feed = 'Stripe'"""
 
 ORACLE["contributors_merge"] = f"""WITH {_BASE},
@@ -554,6 +555,8 @@ SELECT CASE WHEN kk >= 10 THEN sha256('0123456789abcdef' || 'bw' || u) ELSE 'unk
 
 ORACLE["visitor_dimensions"] = f"""WITH {_REQUESTS}
 SELECT id, kk < 60 AS signed_in, kk >= 60 AS signed_out, 'contributions' AS platform,
+  CASE WHEN id % 10 <> 0 THEN 'pv' || id END AS pageview_id, CASE WHEN id % 4 <> 0 AND id % 3 <> 0 THEN 'bw' || u END AS browser_id,
+  CASE WHEN kind = 'purchase' THEN 'ch_' || id END AS charge_id,
   CASE WHEN kk < 60 THEN CAST(u AS VARCHAR) END AS identity_id, CASE WHEN kk < 60 THEN c_name || ' é?~ü' END AS display_name,
   intcmp FROM req LEFT JOIN customer ON u = c_custkey"""
 

@@ -172,10 +172,10 @@ def metadata_table(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def attribution_backfill(spark: SparkSession, sf: str) -> DataFrame:
-    rows = attribution.attribution_from_charges(inputs.charge_maps(table(spark, sf, "orders")))
+    rows = attribution.attribution_from_charges(inputs.charge_maps(table(spark, sf, "orders")), id_prefix=inputs.ID_PREFIX)
     return rows.select(
         "event_id", "contributionid", "email", "name", "cmp", "intcmp", "country_code", "country_subdivision_code",
-        "postcode", allocs_text("abtests", "abtests"),
+        "postcode", "pageview_id", "browser_id", "visit_id", allocs_text("abtests", "abtests"),
     )
 
 
@@ -599,9 +599,12 @@ def visitor_dimensions(spark: SparkSession, sf: str) -> DataFrame:
         "id",
         F.when(F.col("kk") < 60, F.concat(signed, F.lit(".signature"))).when(F.col("kk") < 65, "***.x").alias("user_cookie"),
         F.when(F.col("kk") > 50, "1").alias("out_cookie"),
+        F.when(~every("id", 10), text_id("pv", "id")).alias("pageview"),
+        F.when(every("id", 4), "").when(~every("id", 3), text_id("bw", "u")).alias("browser_cookie"),
+        F.when(F.col("kind") == "purchase", text_id("ch_", "id")).alias("charge"),
         F.concat(F.lit("https://example.com/uk?a=1&INTCMP="), F.coalesce("intcmp", F.lit("")), F.when(every("id", 2), "&b=2").otherwise("#part&INTCMP=no")).alias("url"),
     )
-    return beacons.visitor_dimensions(log, "user_cookie", "out_cookie", "url")
+    return beacons.visitor_dimensions(log, "user_cookie", "out_cookie", "url", "pageview", "browser_cookie", "charge")
 
 
 @query

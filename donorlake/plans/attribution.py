@@ -9,6 +9,7 @@ from donorlake.functions.stages import computed_once
 from donorlake.functions.text import blank_to_null, look_up
 from donorlake.operators import folds
 from donorlake.schemas import ALLOCATION, CONTRIBUTION_METADATA
+from donorlake.sources.requests import id_field
 from pyspark.sql.types import ArrayType
 
 ARRIVAL = ("received_at", "delivery_id")
@@ -80,8 +81,11 @@ def live_contributors(contributions: DataFrame) -> DataFrame:
     return merged
 
 
-def attribution_from_charges(hooks: DataFrame, metadata: str = "metadata") -> DataFrame:
-    """Attribution that a charge carries as a map of texts, back as columns. Blanks and placeholders become null."""
+def attribution_from_charges(hooks: DataFrame, metadata: str = "metadata", id_prefix: str = "") -> DataFrame:
+    """Attribution that a charge carries as a map of texts, back as columns. Blanks and placeholders become null.
+
+    ``id_prefix`` is what the analytics tool puts before page-view, browser and visit ids, as in the request readers.
+    """
     m = F.from_json(F.col(metadata), "map<string,string>")
     text = lambda key: blank_to_null(F.col("_m")[key])
     known = lambda key, unknown: F.nullif(text(key), F.lit(unknown))
@@ -92,6 +96,9 @@ def attribution_from_charges(hooks: DataFrame, metadata: str = "metadata") -> Da
         text("name").alias("name"),
         text("cmp").alias("cmp"),
         text("intcmp").alias("intcmp"),
+        text(id_field(id_prefix, "PageviewId")).alias("pageview_id"),
+        text(id_field(id_prefix, "BrowserId")).alias("browser_id"),
+        text(id_field(id_prefix, "VisitId")).alias("visit_id"),
         text("refererPageviewId").alias("referer_pageview_id"),
         text("refererUrl").alias("referer_url"),
         known("countryCode", fixed.UNKNOWN_COUNTRY).alias("country_code"),

@@ -84,17 +84,26 @@ def progress(totals: DataFrame, goals: DataFrame) -> DataFrame:
     )
 
 
-def visitor_dimensions(requests: DataFrame, user_cookie: str, signed_out_cookie: str, url: str) -> DataFrame:
-    """What analytics knows of a visitor, from their cookies and the page's URL."""
+def visitor_dimensions(
+    requests: DataFrame, user_cookie: str, signed_out_cookie: str, url: str, pageview: str, browser_cookie: str, charge: str
+) -> DataFrame:
+    """What analytics knows of a visitor, from their cookies, the page and its URL.
+
+    The page-view id is there if the analytics tool ran, the charge if the page shows a payment.
+    """
+    used = (user_cookie, signed_out_cookie, url, pageview, browser_cookie, charge)
     campaign = F.regexp_extract(url, r"^[^?#]*\?[^#]*?INTCMP=([^&#]*)", 1)
     signed_in: Column = F.col("_user.id").isNotNull()
     return requests.withColumn("_user", cookies.cookie_user(F.col(user_cookie))).select(
-        *[c for c in requests.columns if c not in (user_cookie, signed_out_cookie, url)],
+        *[c for c in requests.columns if c not in used],
         signed_in.alias("signed_in"),
         (F.col(signed_out_cookie).isNotNull() & ~signed_in).alias("signed_out"),
         F.lit(fixed.ANALYTICS_PLATFORM).alias("platform"),
         F.col("_user.id").alias("identity_id"),
         F.col("_user.display_name").alias("display_name"),
+        F.col(pageview).alias("pageview_id"),
+        F.nullif(F.col(browser_cookie), F.lit("")).alias("browser_id"),
+        F.col(charge).alias("charge_id"),
         F.nullif(campaign, F.lit("")).alias("intcmp"),
     )
 

@@ -26,7 +26,7 @@ _ALL_NAMED = (
 )
 
 
-def _id_field(prefix: str, name: str) -> str:
+def id_field(prefix: str, name: str) -> str:
     return f"{prefix}{name}" if prefix else name[0].lower() + name[1:]
 
 
@@ -62,14 +62,14 @@ def read_card_requests(
         Field("email", "$.email"),
         Field("token", "$.token"),
         Field("postcode", "$.postcode", required=False),
-        Field("pageview_id", f"$.{_id_field(id_prefix, 'PageviewId')}"),
-        Field("browser_id", f"$.{_id_field(id_prefix, 'BrowserId')}", required=False),
+        Field("pageview_id", f"$.{id_field(id_prefix, 'PageviewId')}"),
+        Field("browser_id", f"$.{id_field(id_prefix, 'BrowserId')}", required=False),
         Field("cmp", "$.cmp", required=False),
         Field("intcmp", "$.intcmp", required=False),
         *_referrer_fields(),
         Field("iduser", "$.idUser", required=False),
         Field("platform", "$.platform", required=False),
-        Field("visit_id", f"$.{_id_field(id_prefix, 'VisitId')}", required=False),
+        Field("visit_id", f"$.{id_field(id_prefix, 'VisitId')}", required=False),
         *_acquisition_fields(sources, component_types),
         Field("is_support", "$.isSupport", "flag", required=False),
     ]
@@ -90,9 +90,9 @@ def read_auth_requests(
         Field("cmp", "$.cmp", required=False),
         Field("intcmp", "$.intCmp", required=False),
         *_referrer_fields(),
-        Field("pageview_id", f"$.{_id_field(id_prefix, 'PageviewId')}", required=False),
-        Field("browser_id", f"$.{_id_field(id_prefix, 'BrowserId')}", required=False),
-        Field("visit_id", f"$.{_id_field(id_prefix, 'VisitId')}", required=False),
+        Field("pageview_id", f"$.{id_field(id_prefix, 'PageviewId')}", required=False),
+        Field("browser_id", f"$.{id_field(id_prefix, 'BrowserId')}", required=False),
+        Field("visit_id", f"$.{id_field(id_prefix, 'VisitId')}", required=False),
         Field("is_support", "$.supportRedirect", "flag", required=False),
         *_acquisition_fields(sources, component_types),
         Field("deprecated_test", "$.abTest", _TEST, required=False, then=_NAMED),
@@ -116,8 +116,8 @@ def read_capture_requests(
         Field("cmp", "$.cmp", required=False),
         Field("intcmp", "$.intCmp", required=False),
         *_referrer_fields(),
-        Field("pageview_id", f"$.{_id_field(id_prefix, 'PageviewId')}", required=False),
-        Field("browser_id", f"$.{_id_field(id_prefix, 'BrowserId')}", required=False),
+        Field("pageview_id", f"$.{id_field(id_prefix, 'PageviewId')}", required=False),
+        Field("browser_id", f"$.{id_field(id_prefix, 'BrowserId')}", required=False),
         Field("deprecated_test", "$.abTest", _TEST, required=False, then=_NAMED),
         *_acquisition_fields(sources, component_types),
     ]
@@ -143,7 +143,7 @@ def read_return_urls(
         "referrer_url": value("refererUrl"),
         "pageview_id": value("pvid"),
         "browser_id": value("bid"),
-        "visit_id": value(_id_field(id_prefix, "VisitId")),
+        "visit_id": value(id_field(id_prefix, "VisitId")),
         "component_id": value("componentId"),
         "_component_type": value("componentType"),
         "_source": value("source"),
