@@ -575,11 +575,19 @@ def form_beacons(events: DataFrame) -> DataFrame:
 
 def metric_events(events: DataFrame) -> DataFrame:
     b = beacons(events)
+    authorisation, other = F.col("kk") % 4 == 1, F.col("kk") % 9 == 2
+    kind = lambda k, *more: (F.col("kind") == k) & (more[0] if more else F.lit(True))
     name = (
-        F.when(F.col("kind") == "view", "home-page-displayed")
-        .when(F.col("kind") == "click", "payment-attempt")
-        .when(F.col("kind") == "purchase", "payment-success")
-        .when(F.col("kind") == "error", "payment-failure")
+        F.when(kind("view", F.col("kk") % 7 == 0), "post-payment-page-displayed")
+        .when(kind("view"), "home-page-displayed")
+        .when(kind("click", authorisation), "payment-authorisation-attempt")
+        .when(kind("click"), "payment-attempt")
+        .when(kind("purchase", authorisation), "payment-authorisation-success")
+        .when(kind("purchase", other), "payment-success-redirected-to-other-platform")
+        .when(kind("purchase"), "payment-success")
+        .when(kind("error", authorisation), "payment-authorisation-failure")
+        .when(kind("error", other), "unhandled-payment-failure")
+        .when(kind("error"), "payment-failure")
         .otherwise("thank-you-page-displayed")
     )
     from donorlake.plans.counters import provider_dimension

@@ -465,8 +465,14 @@ GROUP BY s.b, s.start"""
 
 _METRIC = f"""{_BEACONS},
 metrics AS (
-  SELECT ts, CASE kind WHEN 'view' THEN 'home-page-displayed' WHEN 'click' THEN 'payment-attempt'
-      WHEN 'purchase' THEN 'payment-success' WHEN 'error' THEN 'payment-failure' ELSE 'thank-you-page-displayed' END AS name,
+  SELECT ts, CASE kind
+      WHEN 'view' THEN CASE WHEN kk % 7 = 0 THEN 'post-payment-page-displayed' ELSE 'home-page-displayed' END
+      WHEN 'click' THEN CASE WHEN kk % 4 = 1 THEN 'payment-authorisation-attempt' ELSE 'payment-attempt' END
+      WHEN 'purchase' THEN CASE WHEN kk % 4 = 1 THEN 'payment-authorisation-success'
+        WHEN kk % 9 = 2 THEN 'payment-success-redirected-to-other-platform' ELSE 'payment-success' END
+      WHEN 'error' THEN CASE WHEN kk % 4 = 1 THEN 'payment-authorisation-failure'
+        WHEN kk % 9 = 2 THEN 'unhandled-payment-failure' ELSE 'payment-failure' END
+      ELSE 'thank-you-page-displayed' END AS name,
     CASE WHEN kind = 'view' THEN 'na' WHEN kk < 40 THEN 'Stripe' WHEN kk < 80 THEN 'Paypal' ELSE 'unknown' END AS payment_provider,
     platform
   FROM beacons
@@ -485,9 +491,11 @@ hook_counts AS (
 ),
 pay_counts AS (
   SELECT payment_provider, count(*) FILTER (WHERE name = 'payment-attempt') AS pay_attempts,
-    count(*) FILTER (WHERE name = 'payment-success') AS pay_successes FROM metrics GROUP BY 1
+    count(*) FILTER (WHERE name = 'payment-success') AS pay_successes,
+    count(*) FILTER (WHERE name = 'payment-authorisation-attempt') AS auth_attempts,
+    count(*) FILTER (WHERE name = 'payment-authorisation-success') AS auth_successes FROM metrics GROUP BY 1
 )
-SELECT payment_provider, coalesce(pay_attempts, 0) AS payment_attempts, CAST(NULL AS DOUBLE) AS authorisation_rate,
+SELECT payment_provider, coalesce(pay_attempts, 0) AS payment_attempts, CAST(auth_successes AS DOUBLE) / nullif(auth_attempts, 0) AS authorisation_rate,
   CAST(pay_successes AS DOUBLE) / nullif(pay_attempts, 0) AS payment_rate, coalesce(attempts, 0) AS hook_attempts,
   CAST(parsed AS DOUBLE) / nullif(attempts, 0) AS parse_rate, CAST(processed_n AS DOUBLE) / nullif(parsed, 0) AS processing_rate,
   true AS all_accounted
