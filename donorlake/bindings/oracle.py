@@ -430,6 +430,15 @@ ORACLE["mode_split"] = f"""WITH {_BASE}
 SELECT CASE WHEN 'Supplier#' || lpad(CAST(c AS VARCHAR), 9, '0') IN (SELECT s_name FROM supplier) THEN 'Testing' ELSE 'Default' END AS mode,
   count(*) AS n, {_money('sum(minor)')} AS total FROM base GROUP BY 1"""
 
+ORACLE["request_modes"] = f"""WITH {_REQUESTS},
+named AS (
+  SELECT 'Supplier#' || lpad(CAST(CASE WHEN id % 5 = 0 THEN kk WHEN id % 3 = 0 THEN id WHEN id % 7 <> 0 THEN u END AS VARCHAR), 9, '0') AS name FROM req
+)
+SELECT CASE WHEN name IN (SELECT s_name FROM supplier) THEN 'Testing' ELSE 'Default' END AS mode, count(*) AS n FROM named GROUP BY 1"""
+
+ORACLE["text_whitespace"] = """SELECT doc_id, CAST(length(trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS BIGINT) AS trimmed,
+  CAST(length(regexp_replace(text, '\\s+', '', 'g')) AS BIGINT) AS solid FROM documents"""
+
 ORACLE["ab_allocation"] = f"""WITH {_REQUESTS},{_TESTS}
 SELECT id, test_id, "testName", "testSlug", "variantName", "variantSlug", "testSlug" AS event_test,
   "variantName" AS event_variant FROM native"""

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from donorlake.bindings import inputs
 from donorlake.bindings.inputs import every, props_k, table, text_id, uuid_of
 from donorlake.functions import money
+from donorlake.functions import text as text_rules
 from donorlake.functions.text import full_name
 from donorlake.operators import allocation, running, sticky
 from donorlake.plans import acquisitions, attribution, beacons, counters, experiments, forms, ledger, visitors
@@ -402,6 +403,29 @@ def mode_split(spark: SparkSession, sf: str) -> DataFrame:
     return visitors.mode_report(payments, users).select("mode", "n", dbl("total"))
 
 
+@query
+def request_modes(spark: SparkSession, sf: str) -> DataFrame:
+    users = table(spark, sf, "supplier").select(F.col("s_name").alias("user_name"))
+    named = lambda key: F.concat(F.lit("Supplier#"), F.lpad(F.col(key).cast("string"), 9, "0"))
+    requests_ = inputs.request_base(table(spark, sf, "events")).select(
+        F.when(every("id", 5), named("kk")).alias("query_name"),
+        F.when(every("id", 3), named("id")).alias("cookie_name"),
+        F.when(~every("id", 7), named("u")).alias("profile_name"),
+    )
+    return visitors.request_mode_report(requests_, "query_name", "cookie_name", "profile_name", users)
+
+
+@query
+def text_whitespace(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts as a form field might hand them in, with blanks, tabs and line ends around them."""
+    entered = F.concat(F.lit(" \t\n"), F.col("text"), F.lit("\r\n "))
+    return table(spark, sf, "documents").select(
+        "doc_id",
+        F.length(text_rules.trim_whitespace(entered)).cast("bigint").alias("trimmed"),
+        F.length(text_rules.remove_whitespace(entered)).cast("bigint").alias("solid"),
+    )
+
+
 # --- experiments -----------------------------------------------------------------------------------------------------------
 
 TESTS = (

@@ -48,12 +48,16 @@ def decode_enum(text: Column, members: tuple[str, ...]) -> Column:
     return look_up(F.lower(F.replace(text, F.lit("_"), F.lit(""))), {m.lower(): m for m in members})
 
 
+# What a browser takes for white space.
+WHITE = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+
 def trim_whitespace(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, rf"\A{WHITE}+|{WHITE}+\z", "")
 
 
 def remove_whitespace(text: Column) -> Column:
-    return F.regexp_replace(text, r"\s+", "")
+    return F.regexp_replace(text, f"{WHITE}+", "")
 
 
 def browser_length(text: Column) -> Column:

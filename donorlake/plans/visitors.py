@@ -110,6 +110,15 @@ def request_test_user(query: Column, cookie: Column, profile_name: Column) -> Co
     return F.coalesce(query, cookie, profile_name)
 
 
+def request_mode_report(requests: DataFrame, query: str, cookie: str, profile_name: str, test_users: DataFrame) -> DataFrame:
+    """Requests of test users and of others. They are counted per name first, so the join sees names."""
+    name = request_test_user(F.col(query), F.col(cookie), F.col(profile_name))
+    per_name = requests.groupBy(name.alias("user_name")).agg(F.count("*").alias("n"))
+    flagged = per_name.join(test_users.select("user_name", F.lit(True).alias("_test")).distinct(), "user_name", "left")
+    mode = F.when(F.col("_test"), "Testing").otherwise("Default")
+    return flagged.groupBy(mode.alias("mode")).agg(F.sum("n").alias("n"))
+
+
 def amount_caps(requests: DataFrame) -> DataFrame:
     """What each path would charge for the amount asked for."""
     known = money.known_currency(F.col("currency"))
