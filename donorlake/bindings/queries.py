@@ -13,6 +13,7 @@ from donorlake.functions import text as text_rules
 from donorlake.functions.text import full_name
 from donorlake.operators import allocation, running, sticky
 from donorlake.plans import acquisitions, attribution, beacons, counters, experiments, forms, ledger, visitors
+from donorlake.session import written
 from donorlake.sources import records, requests
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,7 +126,8 @@ def ledger_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def ledger_regressions(spark: SparkSession, sf: str) -> DataFrame:
-    rows = inputs.ledger_rows(table(spark, sf, "orders"), table(spark, sf, "lineitem"))
+    # The history looks at its rows twice, and documents are to be read once.
+    rows = written(inputs.ledger_rows(table(spark, sf, "orders"), table(spark, sf, "lineitem")), "history")
     return ledger.status_history(rows).select(
         "delivery_id", "contributionid", "status", "previous_status", "is_regression", "is_late"
     )

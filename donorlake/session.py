@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the jobs rely on. Partition counts and memory are left to the cluster: AQE merges small shuffle
 # partitions and splits the skewed side of a sort-merge join.
@@ -43,6 +43,13 @@ def build_session(app: str = "donorlake", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows as a table in the shared folder, for a job that reads them more than once and that are dear to make."""
+    path = f"{shared_dir(df.sparkSession, purpose)}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder below the shared folder the cluster names in ``spark.checkpoint.dir``.
 
