@@ -657,6 +657,7 @@ UNION ALL
 SELECT lower(feed), 'processing-error', processing_error, count(*) FROM processed WHERE processing_error IS NOT NULL GROUP BY 1, 2, 3"""
 ORACLE["stream_late_hooks"] = f"SELECT * FROM ({ORACLE['ledger_regressions']}) WHERE is_regression OR is_late"
 ORACLE["stream_contributors"] = ORACLE["contributors_merge"]
+ORACLE["stream_metadata"] = ORACLE["metadata_table"]
 ORACLE["stream_metric_counts"] = ORACLE["metric_counts"]
 ORACLE["stream_funnel"] = ORACLE["checkout_funnel"]
 ORACLE["stream_abandonment"] = ORACLE["form_abandonment"]

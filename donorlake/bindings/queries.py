@@ -165,14 +165,18 @@ def _metadata(spark: SparkSession, sf: str) -> DataFrame:
     return attribution.contribution_metadata(attribution.metadata_rows(everything.where(inputs.stored())))
 
 
-@query
-def metadata_table(spark: SparkSession, sf: str) -> DataFrame:
-    return _metadata(spark, sf).select(
+def metadata_columns(metadata: DataFrame) -> DataFrame:
+    return metadata.select(
         "contributionid", text_time("created"), "email", "country", "pageview_id", "browser_id",
         allocs_text("abtests", "abtests"), "cmp", "intcmp", "referer_url", "referer_pageview_id", "platform",
     )
 
 
+@query
+def metadata_table(spark: SparkSession, sf: str) -> DataFrame:
+    return metadata_columns(_metadata(spark, sf))
+
+
 @query
 def attribution_backfill(spark: SparkSession, sf: str) -> DataFrame:
     rows = attribution.attribution_from_charges(inputs.charge_maps(table(spark, sf, "orders")), id_prefix=inputs.ID_PREFIX)

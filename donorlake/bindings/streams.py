@@ -108,6 +108,20 @@ def stream_contributors(spark: SparkSession, sf: str) -> DataFrame:
     return queries.contributor_columns(result)
 
 
+@query
+def stream_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    """The attribution table, kept up with the payments as they arrive."""
+    work = shared_dir(spark, "metadata")
+    log = queries.request_log(spark, sf)
+    result = _fold_stream(
+        _stream(spark, sf, "orders", work),
+        jobs.metadata_table(spark, f"{work}/table"),
+        work,
+        lambda orders: attribution.metadata_rows(inputs.all_contributions(orders, log).where(inputs.stored())),
+    )
+    return queries.metadata_columns(result)
+
+
 @query
 def stream_metric_counts(spark: SparkSession, sf: str) -> DataFrame:
     work = shared_dir(spark, "counts")
