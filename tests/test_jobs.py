@@ -6,6 +6,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from donorlake.plans import acquisitions, attribution, counters, experiments, ledger, visitors
+from donorlake.session import shared_dir
 
 T0 = dt.datetime(2024, 1, 1)
 ROW = (
@@ -129,6 +130,10 @@ def test_acquisitions(spark):
     assert got["stripe", "1"]["currency"] == "gbp" and got["stripe", "2"]["platform"] == "Support"
     assert len(got["stripe", "2"]["ab_tests"]) == 1 and len(got["stripe", "3"]["ab_tests"]) == 2
     assert got["paypal-capture", "2"]["platform"] == "Contribution" and got["paypal-capture", "2"]["visit_id"] is None
+    path = shared_dir(spark, "feed")
+    acquisitions.write_events(feed, path)
+    by_day = spark.read.parquet(path)
+    assert by_day.count() == len(got) and by_day.where("day is null").count() == 0
     errors = {(r["payment_source"], r["paymentid"]): r["error"] for r in acquisitions.errors(feed).collect()}
     assert errors["paypal-execute", "4"] == "paypal-execute: unable to get amount"
     assert errors["paypal-capture", "5"] == "paypal-capture: unable to get transaction"
@@ -190,3 +195,24 @@ def test_log_tags_can_be_added(spark):
     tags = [visitors.LogTag("BrowserId", F.col("bwid"), True), visitors.LogTag("Path", F.col("path")), visitors.LogTag("Stage", F.lit("TEST"))]
     got = visitors.request_tags(df, tags, "salt").collect()
     assert [r["Stage"] for r in got] == ["TEST", "TEST"] and got[1]["BrowserId"] == "unknown" and len(got[0]["BrowserId"]) == 64
+
+
+def test_test_user_name_of_a_request(spark):
+    df = spark.createDataFrame([("q", "c", "p"), (None, "c", "p"), (None, None, "p"), (None, None, None)], "q string, c string, p string")
+    users = spark.createDataFrame([("c",), ("q",), (None,)], "user_name string")
+    got = {r["mode"]: r["n"] for r in visitors.request_mode_report(df, "q", "c", "p", users).collect()}
+    assert got == {"Testing": 2, "Default": 2}
+
+
+def test_payments_without_a_number_are_not_stored(spark):
+    df = spark.createDataFrame([("c", "e", 1), ("c", "e", None), (None, "e", 1), ("c", None, 1)], "contributionid string, email string, amount int")
+    assert attribution.storable(df).count() == 1
+
+
+def test_intcmp_comes_from_the_query_part(spark):
+    from donorlake.plans import beacons
+
+    urls = ["https://x/?INTCMP=abc#part", "https://x/?a=1&INTCMP=d&b", "https://x/#INTCMP=no", "https://x/?a#INTCMP=no", "https://x/?INTCMP="]
+    df = spark.createDataFrame([(i, None, None, u, "pv", "", None) for i, u in enumerate(urls)], "i int, u string, o string, url string, pv string, bw string, ch string")
+    got = beacons.visitor_dimensions(df, "u", "o", "url", "pv", "bw", "ch").orderBy("i").collect()
+    assert [r["intcmp"] for r in got] == ["abc", "d", None, None, None] and got[0]["browser_id"] is None and got[0]["pageview_id"] == "pv"
