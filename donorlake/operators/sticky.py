@@ -40,13 +40,16 @@ def scan_assignments(life: int):
             if pdf.empty:
                 continue
             seconds, codes = pdf["second"].to_numpy(), pdf["browser_id"].to_numpy()
-            cuts = np.flatnonzero(codes[1:] != codes[:-1]) + 1
-            owner = np.empty(len(pdf), dtype=np.int64)
-            for part in np.split(np.arange(len(pdf)), cuts):
-                if codes[part[0]] != browser:
-                    browser, current = codes[part[0]], None
-                owner[part] = owners(seconds[part], current)
-                current = int(owner[part[-1]])
+            starts = np.append(0, np.flatnonzero(codes[1:] != codes[:-1]) + 1)
+            ends = np.append(starts[1:], len(pdf))
+            # Nearly all browsers are done with one id, which begins with their first request.
+            owner = np.repeat(seconds[starts], ends - starts)
+            more = seconds[ends - 1] >= seconds[starts] + life
+            more[0] |= codes[0] == browser
+            for k in np.flatnonzero(more):
+                running = current if k == 0 and codes[0] == browser else None
+                owner[starts[k] : ends[k]] = owners(seconds[starts[k] : ends[k]], running)
+            browser, current = codes[-1], int(owner[-1])
             yield pd.DataFrame({"browser_id": codes, "assigned_second": owner, "n_requests": pdf["n"].to_numpy()})
 
     return scan
