@@ -1,14 +1,18 @@
 """Toxicity by multiple-instance learning.
 
 Labels are for documents, offence is in sentences. A sentence's chance of being offensive is a logistic function of the
-words it holds, a document's is the noisy-or of its sentences: 1 - prod(1 - p). Weights are fitted to document labels
-through the noisy-or, and the same sentence scores then tell where the offence is (``locate``).
+words it holds, a document's is the noisy-or of its sentences: 1 - prod(1 - p). A sentence adds what its log odds have
+above ``FLOOR``: sentences that hold nothing known, or weak signs only, add nothing, however many there are. Of what
+sentences add together, a text has the part that clean text of as many sentences comes to by chance taken off
+(``background``), but it never scores less than its worst sentence, so that length alone makes no text offensive and
+hides no offence. What no sentence tells is a chance of the document as a whole (``leak``). Weights are fitted to
+document labels through the noisy-or, and the same sentence scores then tell where the offence is (``locate``).
 
 Features of a sentence are its words and the beginnings of its words (four to eight letters), as offensive stems
 come with many endings, known by their checksum in ``SLOTS`` slots. Which of them count is learned: the ones whose
 share among toxic documents differs most from that among others. Fitting sees a bounded sample of the labelled
-documents, ``TOXIC`` and ``OTHERS`` rows, the first in the order of a checksum, texts of up to ``LONGEST`` characters.
-Scoring reads every whole text.
+documents, ``TOXIC`` and ``OTHERS`` of them, the first in the order of a checksum, with their whole texts. Only where
+these come to more than ``LETTERS`` characters of a label, the longest are left out. Scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -26,13 +30,16 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from donorlake.llm.common import python_workers
 from donorlake.llm.language_id import held_out
 
-TOXIC, OTHERS, LONGEST = 2000, 4000, 20_000
+TOXIC, OTHERS, LETTERS = 2000, 4000, 30_000_000
 SLOTS = 1 << 22
 #: How many features at most, and in how many toxic documents of the sample one has to be.
 FEATURES, LEAST = 3000, 5
-STEPS, RATE, DECAY = 300, 0.1, 2e-4
-#: Log odds of a sentence that holds no feature, before learning: offence is rare.
-PRIOR = -9.0
+#: Steps and rate, first with all odds and then with those above the floor only.
+STEPS, DECAY = ((300, 0.1), (150, 0.02)), 2e-4
+#: Log odds of a sentence that holds no feature, and of a document by itself, before learning: offence is rare.
+PRIOR, LEAK = -9.0, -4.0
+#: Log odds from which a sentence counts.
+FLOOR = -1.0
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -48,6 +55,8 @@ def _of_word(word: str) -> tuple[int, ...]:
 class Model:
     weights: dict[int, float]
     bias: float
+    leak: float = PRIOR
+    background: float = 0.0
 
     def sentences(self, text: str | None) -> list[tuple[int, int, float]]:
         """(start, end, log odds) of the sentences of a text, by characters, case ignored."""
@@ -77,11 +86,35 @@ class Model:
 
     def score(self, text: str | None) -> float:
         """The noisy-or of the sentences; 0 without any."""
-        odds = [o for _, _, o in self.sentences(text)]
-        return float(-np.expm1(-np.logaddexp(0.0, odds).sum())) if odds else 0.0
+        return self.of_odds(np.array([o for _, _, o in self.sentences(text)]))
+
+    def of_odds(self, odds: np.ndarray) -> float:
+        """The noisy-or of sentences by their log odds, for what these have above the floor and the background."""
+        if not len(odds):
+            return 0.0
+        added = _added(odds)
+        told = max(added.max(), added.sum() - self.background * len(odds))
+        return float(-np.expm1(-told - np.logaddexp(0.0, self.leak)))
+
+
+def _added(odds: np.ndarray, floor: float = FLOOR) -> np.ndarray:
+    """What each sentence takes from the log of a document's chance to be clean."""
+    return np.maximum(np.logaddexp(0.0, odds) - np.logaddexp(0.0, floor), 0.0)
 
 
 def fit(texts: list[str], toxic: list[int]) -> Model:
+    """The model of all documents. Its background is what clean documents of one half add under a model of the other."""
+    added, sentences = 0.0, 0
+    for half in (0, 1):
+        model = climb(texts[half::2], toxic[half::2])
+        for text, label in zip(texts[1 - half :: 2], toxic[1 - half :: 2], strict=True):
+            if not label:
+                odds = np.array([o for _, _, o in model.sentences(text)])
+                added, sentences = added + float(_added(odds).sum()), sentences + len(odds)
+    return replace(climb(texts, toxic), background=added / max(sentences, 1))
+
+
+def climb(texts: list[str], toxic: list[int]) -> Model:
     """Choose features by their log ratio of shares, then climb the noisy-or likelihood with Adam."""
     y = np.array(toxic, float)
     if not len(y) or y.min() == y.max():
@@ -99,37 +132,47 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     for k, text in enumerate(texts):
         for sentence in _SENTENCE.findall(text.lower()):
             held = {number[f] for w in set(_WORD.findall(sentence)) for f in slots(w) if f in number}
+            if not held:
+                continue
             doc.append(k)
             row += [rows] * len(held)
             col += sorted(held)
             rows += 1
     doc, row, col = np.array(doc, int), np.array(row, int), np.array(col, int)
-    w, b = np.zeros(len(chosen)), PRIOR
-    m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
-    for step in range(1, STEPS + 1):
-        odds = b + np.bincount(row, weights=w[col], minlength=rows)
-        clean = -np.bincount(doc, weights=np.logaddexp(0.0, odds), minlength=len(y))
-        p = np.clip(-np.expm1(clean), 1e-9, 1 - 1e-12)
-        # d log-likelihood / d odds: for a toxic document (1 - P) / P times its sentence's chance, else minus that chance.
-        pull = np.where(y > 0, (1 - p) / p, -1.0)
-        g = pull[doc] / (1 + np.exp(-odds))
-        grad = np.append(np.bincount(col, weights=g[row], minlength=len(chosen)), g.sum()) / len(y)
-        grad -= DECAY * np.append(w, b - PRIOR)
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, b = w + move[:-1], b + move[-1]
-    return Model({int(f): float(x) for f, x in zip(chosen, w, strict=True) if abs(x) > 1e-3}, float(b))
+    w, b, leak = np.zeros(len(chosen)), PRIOR, LEAK
+    for floor, (steps, rate) in zip((-np.inf, FLOOR), STEPS, strict=True):
+        m, v = np.zeros(len(chosen) + 2), np.zeros(len(chosen) + 2)
+        for step in range(1, steps + 1):
+            odds = b + np.bincount(row, weights=w[col], minlength=rows)
+            counts = odds > floor
+            clean = -np.bincount(doc, weights=_added(odds, floor), minlength=len(y)) - np.logaddexp(0.0, leak)
+            p = np.clip(-np.expm1(clean), 1e-9, 1 - 1e-12)
+            # d log-likelihood / d odds: for a toxic document (1 - P) / P times its sentence's chance, else minus that chance.
+            pull = np.where(y > 0, (1 - p) / p, -1.0)
+            g = pull[doc] * counts / (1 + np.exp(-odds))
+            whole = (pull / (1 + np.exp(-leak))).sum()
+            grad = np.concatenate([np.bincount(col, weights=g[row], minlength=len(chosen)), [g.sum(), whole]]) / len(y)
+            grad[:-1] -= DECAY * np.append(w, b - PRIOR)
+            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+            move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+            # The bias stays below the floor: a sentence without a feature never counts.
+            w, b, leak = w + move[:-2], min(b + move[-2], FLOOR), leak + move[-1]
+    return Model({int(f): float(x) for f, x in zip(chosen, w, strict=True) if abs(x) > 1e-3}, float(b), float(leak))
 
 
 def sample(docs: DataFrame, labels: DataFrame, trains: Column, text: str = "text") -> tuple[list[str], list[int]]:
     """The labelled sample, in a fixed order: a bounded number of rows reaches the driver. Labels but 0 and 1 are ignored."""
     marked = labels.filter(trains & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("label"))
     order = F.xxhash64(F.col("doc_id"), F.lit(8))
-    fits = docs.filter(F.col(text).rlike(r"\p{L}") & (F.length(text) <= LONGEST)).select("doc_id", F.col(text).alias("text"))
-    ranked = marked.join(fits.select("doc_id").distinct(), "doc_id").withColumn("place", order)
+    fits = docs.filter(F.col(text).rlike(r"\p{L}")).select("doc_id", F.col(text).alias("text"))
+    # Rows of one id come together, so they count together.
+    letters = fits.groupBy("doc_id").agg(F.sum(F.length("text")).alias("letters"))
+    ranked = marked.join(letters, "doc_id").withColumn("place", order)
     ranked = ranked.withColumn("at", F.row_number().over(Window.partitionBy("label").orderBy("place", "doc_id")))
-    chosen = ranked.filter(F.col("at") <= F.when(F.col("label") == 1, TOXIC).otherwise(OTHERS)).select("doc_id", "label", "place")
-    # At most TOXIC + OTHERS rows, which is a bound for the broadcast as well.
+    first = ranked.filter(F.col("at") <= F.when(F.col("label") == 1, TOXIC).otherwise(OTHERS))
+    # At most TOXIC + OTHERS rows from here on, which is a bound for the window and the broadcast as well.
+    up_to = F.sum("letters").over(Window.partitionBy("label").orderBy("letters", "place", "doc_id"))
+    chosen = first.withColumn("up_to", up_to).filter(F.col("up_to") <= LETTERS).select("doc_id", "label", "place")
     rows = fits.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "place", "text").collect()
     rows.sort(key=lambda r: (r["place"], r["doc_id"], r["text"]))
     return [r["text"] for r in rows], [r["label"] for r in rows]
@@ -144,7 +187,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             scores, counts = [], []
             for value in batch.column(1):
                 odds = np.array([o for _, _, o in trained.sentences(value.as_py())])
-                scores.append(float(-np.expm1(-np.logaddexp(0.0, odds).sum())) if len(odds) else 0.0)
+                scores.append(trained.of_odds(odds))
                 counts.append(int((odds > 0).sum()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(scores, pa.float64()), pa.array(counts, pa.int64())], names=["doc_id", "score", "n_offending"]

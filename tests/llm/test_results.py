@@ -11,8 +11,9 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from donorlake.llm import language_model, mixing, ngram_join, packing, personal_data
+from donorlake.llm import language_model, mixing, ngram_join, packing, personal_data, toxicity
 from donorlake.llm.oracle import ORACLE
 from donorlake.llm.queries import QUERIES
 
@@ -60,6 +61,32 @@ def test_toxicity_of_held_out_documents(spark):
     assert sum(r.predicted for r in toxic) >= 0.7 * len(toxic)
 
 
+def test_length_alone_makes_no_text_toxic():
+    where = "/root/testdata/sf0.1"
+    rows = duckdb.sql(f"SELECT doc_id, text, toxic FROM '{where}/documents.parquet' JOIN '{where}/labels.parquet' USING (doc_id) ORDER BY 1").fetchall()
+    learned = [r for r in rows if crc(r[0], 5)]
+    model = toxicity.fit([t for _, t, _ in learned], [y for _, _, y in learned])
+    held = [(t, y, model.score(t)) for i, t, y in rows if not crc(i, 5)]
+    # A text that is taken for toxic by itself makes a longer one toxic with it, as it should.
+    long = "\n".join(t for t, y, p in held if not y and p < 0.5)
+    assert len(long) > 1_500_000
+    for at in range(0, len(long) - 1_000_000, 100_000):
+        assert model.score(long[at : at + 1_000_000]) < 0.5
+    assert model.score(PROSE + "\n" + "nothing is known here. " * 50_000) < 0.1
+    worst = max((t for t, y, _ in held if y), key=model.score)
+    assert model.score(long[:1_000_000] + "\n" + worst) >= 0.5
+
+
+def test_long_texts_are_learned_from_whole(spark, monkeypatch):
+    texts = [(k, PROSE * (100 if k < 3 else 1), "en", "s") for k in range(8)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(8)], "doc_id long, toxic int")
+    found, marks = toxicity.sample(frame(spark, texts), labels, F.lit(True))
+    assert sorted(map(len, found)) == sorted(len(t) for _, t, _, _ in texts) and sum(marks) == 4
+    # Of texts that are too long together, the longest are left out.
+    monkeypatch.setattr(toxicity, "LETTERS", 5 * len(PROSE))
+    assert sorted(map(len, toxicity.sample(frame(spark, texts), labels, F.lit(True))[0])) == [len(PROSE)] * 5
+
+
 def test_neighbours_against_brute_force(spark):
     got = duckdb.sql(f"SELECT vec_id, embedding FROM '{DIR}/embeddings.parquet' ORDER BY 1").fetchall()
     ids, x = np.array([r[0] for r in got]), np.array([r[1] for r in got], dtype=np.float64)
