@@ -9,8 +9,8 @@ every token's normalised log-probability is three look-ups.
 Words the model has no vector for belong to one of a few classes by their beginning and end; the class is predicted by
 the model, and the word within its class by its count.
 
-Three passes over all documents: words are counted (in tasks first, then by a shuffle); every task trains on its own
-documents, from one common start, and the parameters are averaged by the number of positions trained on; every text is
+Three passes over all documents: words are counted (in tasks first, then by a shuffle); every task trains on all
+positions of its own documents, from one common start, and the parameters are averaged by the number of positions trained on; every text is
 scored. Frequent words, ``KNOWN`` at most, are broadcast with their counts; all others are joined by word, whatever
 there are of them. Their counts lie below those of the frequent ones, so no word of the join is hot.
 """
@@ -36,8 +36,6 @@ BEGIN, END = 0, 1
 STARTS, ENDINGS = 32, 3
 CLASSES = STARTS * ENDINGS
 WIDTH = 24
-#: Positions trained on: this share of all, drawn evenly.
-SHARE = 0.25
 BATCH, NOISE, RATE = 512, 96, 0.15
 SEED = 10
 
@@ -197,30 +195,40 @@ class Trainer:
         qa, qb = p.q[a], p.q[b]
         h = qa @ p.c[0] + qb @ p.c[1]
         own, other = p.r[w], p.r[noise]
-        right = (h * own).sum(axis=1) + p.b[w] - self.log_noise[w]
-        wrong = h @ other.T + p.b[noise] - self.log_noise[noise]
+        right = np.einsum("ij,ij->i", h, own) + (p.b[w] - self.log_noise[w])
         g = 1 / (1 + np.exp(np.clip(right, -30, 30)))
-        e = -1 / (1 + np.exp(np.clip(-wrong, -30, 30)))
+        # In place, as this is the largest array of a step: e = -1 / (1 + exp(-wrong)).
+        e = h @ other.T
+        e += p.b[noise] - self.log_noise[noise]
+        np.clip(e, -30, 30, out=e)
+        np.exp(np.negative(e, out=e), out=e)
+        e += 1
+        np.divide(-1, e, out=e)
         gh = g[:, None] * own + e @ other
-        self._rows(p.r, self.sums[1], np.concatenate([w, noise]), np.concatenate([g[:, None] * h, e.T @ h]))
-        self._rows(p.b, self.sums[3], np.concatenate([w, noise]), np.concatenate([g, e.sum(axis=0)]))
+        targets = np.concatenate([g[:, None] * h, e.T @ h]), np.concatenate([g, e.sum(axis=0)])
+        self._rows((p.r, p.b), (self.sums[1], self.sums[3]), np.concatenate([w, noise]), targets)
         gc = np.stack([qa.T @ gh, qb.T @ gh]) / len(w)
         self.sums[2] += gc**2
         p.c += RATE * 0.1 * gc / np.sqrt(self.sums[2])
-        self._rows(p.q, self.sums[0], np.concatenate([a, b]), np.concatenate([gh @ p.c[0].T, gh @ p.c[1].T]))
+        self._rows((p.q,), (self.sums[0],), np.concatenate([a, b]), (np.concatenate([gh @ p.c[0].T, gh @ p.c[1].T]),))
         self.done += len(w)
 
     @staticmethod
-    def _rows(table: np.ndarray, sums: np.ndarray, rows: np.ndarray, grads: np.ndarray) -> None:
-        at, where = np.unique(rows, return_inverse=True)
-        pooled = np.zeros((len(at), *table.shape[1:]), np.float32)
-        np.add.at(pooled, where, grads.astype(np.float32))
-        if table.ndim == 2:
-            sums[at] += (pooled**2).mean(axis=1)
-            table[at] += RATE * pooled / np.sqrt(sums[at])[:, None]
-        else:
-            sums[at] += pooled**2
-            table[at] += RATE * pooled / np.sqrt(sums[at])
+    def _rows(tables: tuple[np.ndarray, ...], sums: tuple[np.ndarray, ...], rows: np.ndarray, grads: tuple[np.ndarray, ...]) -> None:
+        # Numbers of two bytes are sorted by radix.
+        rows = rows.astype(np.min_scalar_type(len(tables[0])))
+        order = np.argsort(rows, kind="stable")
+        ordered = rows[order]
+        first = np.append(0, np.flatnonzero(ordered[1:] != ordered[:-1]) + 1)
+        at = ordered[first]
+        for table, total, grad in zip(tables, sums, grads, strict=True):
+            pooled = np.add.reduceat(grad[order].astype(np.float32, copy=False), first, axis=0)
+            if table.ndim == 2:
+                total[at] += np.einsum("ij,ij->i", pooled, pooled) / pooled.shape[1]
+                table[at] += RATE * pooled / np.sqrt(total[at])[:, None]
+            else:
+                total[at] += pooled**2
+                table[at] += RATE * pooled / np.sqrt(total[at])
 
 
 def train(docs: DataFrame, words: Words, text: str = "text") -> Parameters:
@@ -248,9 +256,8 @@ def train(docs: DataFrame, words: Words, text: str = "text") -> Parameters:
             for value in batch.column(0):
                 vec = known.look_up(tokens(value.as_py()))[1]
                 a, b = contexts(vec)
-                rows = np.stack([vec, a, b], axis=1)
-                held.append(rows[trainer.draw.random(len(rows)) < SHARE])
-                n += len(held[-1])
+                held.append(np.stack([vec, a, b], axis=1))
+                n += len(vec)
                 if n > 1 << 18:
                     flush()
                     n = 0

@@ -299,6 +299,16 @@ def test_language_model_against_counts(spark, documents):
     assert model > base
 
 
+def test_language_model_learns_from_every_position(spark):
+    docs = frame(spark, [(k, " ".join(f"w{k}x{j}" for j in range(10)), "en", "s") for k in range(30)])
+    words = language_model.learn_words(language_model.count_words(docs))
+    start, trained = language_model.Parameters.first(words.start), language_model.train(docs, words)
+    # Every word stands before another one, once; only positions that are trained on move its vector.
+    numbers = [words.vector[k] for w, k in words.index.items() if w]
+    assert len(numbers) == 300
+    assert (abs(trained.q[numbers] - start.q[numbers]).max(axis=1) > 1e-5).all()
+
+
 def test_language_model_is_normalised():
     draw = np.random.default_rng(0)
     uni = np.append(0.0, draw.dirichlet(np.ones(40)))
