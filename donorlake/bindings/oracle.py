@@ -662,6 +662,17 @@ ORACLE["stream_metric_counts"] = ORACLE["metric_counts"]
 ORACLE["stream_funnel"] = ORACLE["checkout_funnel"]
 ORACLE["stream_abandonment"] = ORACLE["form_abandonment"]
 ORACLE["stream_session_state"] = ORACLE["ab_sticky_id"]
+ORACLE["stream_session_platform"] = f"""WITH ids AS ({ORACLE["ab_sticky_id"]}),
+said AS (
+  SELECT CAST(user_id AS VARCHAR) AS b, CAST(floor(epoch(ts)) AS BIGINT) AS sec, event_id,
+    CASE event_type WHEN 'click' THEN 'android' WHEN 'purchase' THEN 'ios' END AS own FROM events
+),
+carried AS (
+  SELECT b, sec, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY b ORDER BY sec, event_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'web') AS platform FROM said
+)
+SELECT browser_id, assigned_second, platform, platform IN ('android', 'ios') AS is_mobile, count(*) AS n_requests
+FROM carried JOIN ids ON b = browser_id AND sec >= assigned_second AND sec < expires_second GROUP BY 1, 2, 3"""
 ORACLE["stream_receipts_outbox"] = (
     f"SELECT address, created, amount, currency, edition, name, extension FROM ({ORACLE['receipts_outbox']})"
 )

@@ -145,15 +145,12 @@ def stream_abandonment(spark: SparkSession, sf: str) -> DataFrame:
     return forms.event_report(forms.abandonment_events(left))
 
 
-@query
-def stream_session_state(spark: SparkSession, sf: str) -> DataFrame:
-    """Sticky ids by arrival: the log comes in the order of time, as an id runs from the request that was seen first."""
-    work = shared_dir(spark, "sessions")
-    target = jobs.assignments_table(spark, f"{work}/table")
+def _session_stream(spark: SparkSession, sf: str, target: folded.FoldedTable, work: str) -> DataFrame:
+    """The log comes in the order of time, as an id runs from the request that was seen first."""
     requests = _stream(spark, sf, "events", work, _by_time(spark, sf, "events", "ts")).select(
         F.col("user_id").cast("string").alias("browser_id"),
         F.unix_seconds(F.col("ts").cast("timestamp")).alias("second"),
-        F.when(F.col("event_type") == "click", "android").alias("platform"),
+        F.when(F.col("event_type") == "click", "android").when(F.col("event_type") == "purchase", "ios").alias("platform"),
         F.col("event_id").alias("seq"),
     )
     query_ = (
@@ -168,6 +165,20 @@ def stream_session_state(spark: SparkSession, sf: str) -> DataFrame:
     return target.read()
 
 
+@query
+def stream_session_state(spark: SparkSession, sf: str) -> DataFrame:
+    """Sticky ids by arrival."""
+    work = shared_dir(spark, "sessions")
+    return _session_stream(spark, sf, jobs.assignments_table(spark, f"{work}/table"), work)
+
+
+@query
+def stream_session_platform(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests per sticky id and platform: their own, or the one their session carries."""
+    work = shared_dir(spark, "platforms")
+    return _session_stream(spark, sf, jobs.session_table(spark, f"{work}/table"), work)
+
+
 @query
 def stream_receipts_outbox(spark: SparkSession, sf: str) -> DataFrame:
     work = shared_dir(spark, "receipts")
