@@ -41,18 +41,19 @@ def _encoders(vocabulary: str):
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
-    exact.encode_special_tokens = True
     lines = open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb").read().splitlines()
     ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return exact, fast
+    added = [token.content for token in exact.get_added_tokens_decoder().values()]
+    return exact, fast, added
 
 
 def token_ids(text: str | None, vocabulary: str = "byte_bpe_50k") -> np.ndarray:
     """The ids of a text (null: none) and the end id, as little-endian unsigned 32-bit numbers."""
-    exact, fast = _encoders(vocabulary)
+    exact, fast, added = _encoders(vocabulary)
     text = text or ""
-    if len(text) > LONG_TEXT:
+    # The second library has no added tokens.
+    if len(text) > LONG_TEXT or any(token in text for token in added):
         ids = exact.encode(text, add_special_tokens=False).ids
     else:
         ids = fast.encode_ordinary(text)

@@ -268,6 +268,17 @@ def test_packing_is_a_round_trip(spark, documents):
     assert len(by_sequence) <= 1.02 * -(-total // 2048) + 1
 
 
+def test_added_tokens_in_texts_are_tokens():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in ("<|endoftext|>", PROSE + "<|endoftext|> and<|endoftext|>\n" + PROSE, "<|endof text|>", PROSE):
+        ids = packing.token_ids(text).tolist()
+        assert ids == [*exact.encode(text, add_special_tokens=False).ids, 0]
+        assert ids.count(50256) == text.count("<|endoftext|>")
+
+
 @pytest.mark.parametrize("lengths", [[700] * 1000 + [5] * 3, [2048] * 5, [1] * 5000, [], [1025] * 9, list(range(1, 2049))])
 def test_plan_uses_every_length_as_often_as_it_is_there(lengths):
     counts = np.bincount(np.array(lengths, int), minlength=2049)
