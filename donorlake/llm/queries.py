@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from donorlake.llm import language_id, language_model, mixing, nearest, ngram_join, packing, personal_data, quality_rules, toxicity, url_filter
+from donorlake.llm import decontaminate, language_id, language_model, mixing, nearest, ngram_join, packing, personal_data, quality_rules, toxicity, url_filter
 from donorlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.predict(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
