@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from donorlake.llm import conversation_repair, decontaminate, language_id, language_model, mixing, nearest, ngram_join, packing, personal_data, quality_rules, toxicity, url_filter
+from donorlake.llm import conversation_repair, decontaminate, language_id, language_model, mixing, nearest, ngram_join, packing, personal_data, quality_rules, spelling, toxicity, url_filter
 from donorlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,10 +72,15 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.damaged_and_repaired(table(spark, sf_dir, "conversations"))
 
 
 @query
-def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conversation_repair.damaged_and_repaired(table(spark, sf_dir, "conversations"))
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.frequent(spelling.occurrences(table(spark, sf_dir, "documents"))))
+
+
+@query
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
