@@ -189,17 +189,15 @@ def charge_maps(orders: DataFrame) -> DataFrame:
 
 def stripe_events(orders: DataFrame) -> DataFrame:
     """Events of the provider; one in thirteen cannot be found, one in seventeen has no balance transaction."""
-    return orders.select(
-        text_id("evt_", "o_orderkey").alias("event_id"),
-        F.when(~every("o_orderkey", 17), text_id("txn_", "o_orderkey")).alias("balance_transaction"),
-        F.col("o_orderkey").alias("k"),
-    ).where(F.col("k") % 13 != 0).drop("k")
+    charge = F.struct(text_id("ch_", "o_orderkey").alias("id"), F.when(~every("o_orderkey", 17), text_id("txn_", "o_orderkey")).alias("balance_transaction"))
+    document = F.to_json(F.struct(text_id("evt_", "o_orderkey").alias("id"), F.struct(charge.alias("object")).alias("data")))
+    return records.read_stripe_events(orders.where(~every("o_orderkey", 13)).select(document.alias("document")))
 
 
 def balance_transactions(lineitem: DataFrame) -> DataFrame:
-    return lineitem.groupBy("l_orderkey").agg(
-        F.sum(F.floor("l_extendedprice").cast("bigint")).alias("balance_minor")
-    ).select(text_id("txn_", "l_orderkey").alias("balance_transaction"), "balance_minor")
+    settled = lineitem.groupBy("l_orderkey").agg(F.sum(F.floor("l_extendedprice").cast("bigint")).alias("amount"))
+    document = F.to_json(F.struct(text_id("txn_", "l_orderkey").alias("id"), "amount"))
+    return records.read_balance_transactions(settled.select(document.alias("document")))
 
 
 def _payment_document() -> Column:
@@ -258,9 +256,8 @@ def findable_payments(orders: DataFrame) -> DataFrame:
     return paypal_payments(orders).where(F.col("delivery_id") % 49 != 0)
 
 
-def stripe_charges(orders: DataFrame) -> DataFrame:
-    base = payments_base(orders).where(F.col("feed") == "Stripe")
-    document = F.to_json(
+def _charge_document() -> Column:
+    return F.to_json(
         F.struct(
             text_id("ch_", "k").alias("id"),
             F.col("minor").alias("amount"),
@@ -270,11 +267,20 @@ def stripe_charges(orders: DataFrame) -> DataFrame:
             F.struct(F.concat(F.lit("c"), (F.col("c") % 25).cast("string")).alias("country")).alias("source"),
         )
     )
-    raw = base.where(F.col("s") != "F").select(
-        document.alias("document"), "received_at", "delivery_id", uuid_of("c").alias("contributionid"),
-        uuid_of("k").alias("contributor_id"),
+
+
+def payment_source() -> Column:
+    return F.when(F.col("feed") == "Stripe", "stripe").otherwise(F.concat(F.lit("paypal-"), F.col("path")))
+
+
+def payment_log(orders: DataFrame) -> DataFrame:
+    """Payment records of both providers as documents; a card that was refused has no charge."""
+    base = payments_base(orders).where((F.col("feed") != "Stripe") | (F.col("s") != "F"))
+    document = F.when(F.col("feed") == "Stripe", _charge_document()).otherwise(_payment_document())
+    return base.select(
+        payment_source().alias("kind"), document.alias("document"), "received_at", "delivery_id",
+        uuid_of("c").alias("given_id"), uuid_of("k").alias("contributor_id"),
     )
-    return records.read_stripe_charges(raw)
 
 
 # --- events: requests ------------------------------------------------------------------------------------------------------
@@ -309,19 +315,41 @@ def request_base(events: DataFrame) -> DataFrame:
     )
 
 
-def request_log(orders: DataFrame, events: DataFrame) -> DataFrame:
-    """One request per order, of the one kind that pays it (card, execute, capture), with what an event says of it.
+def asked_requests(orders: DataFrame, events: DataFrame) -> DataFrame:
+    """One request per order, ahead of its payment, of the kind that pays it, with what an event says of it.
 
     Events are dealt to orders in turn, so every order has its request. One order in 61 is asked for twice, as logs
     repeat themselves.
     """
-    made = payments_base(orders).select("k", F.when(F.col("feed") == "Stripe", "card").otherwise(F.col("path")).alias("channel"))
+    asked_at = F.timestamp_seconds(F.unix_seconds("received_at") - F.col("k") % 1800)
+    made = payments_base(orders).select("k", payment_source().alias("kind_paid"), asked_at.alias("asked_at"))
     made = made.withColumn("_turn", F.pmod("k", F.lit(events.count())))
     said = request_base(events)
     log = made.join(said, made["_turn"] == said["id"]).drop("_turn")
     return log.withColumn("_again", F.explode(F.when(every("k", 61), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("_again")
 
 
+def request_log(orders: DataFrame, events: DataFrame) -> DataFrame:
+    """The requests as documents of their kinds in one log."""
+    kind = F.col("kind_paid")
+    document = F.when(kind == "stripe", _card_form()).when(kind == "paypal-execute", _return_url()).otherwise(_capture_request())
+    log = allocation.allocations(asked_requests(orders, events))
+    back = kind == "paypal-execute"
+    return log.select(
+        kind.alias("kind"),
+        document.alias("document"),
+        "asked_at",
+        F.when(kind == "stripe", text_id("ch_", "k")).alias("charge_id"),
+        F.when(back, F.coalesce("platform", F.lit("web"))).alias("session_platform"),
+        F.when(back & every("id", 2), F.col("u").cast("string")).alias("session_iduser"),
+        "allocations",
+    )
+
+
+def read_requests(log: DataFrame) -> DataFrame:
+    return requests.read_requests(log, id_prefix=ID_PREFIX, sources=SOURCES)
+
+
 def test_pair(name: str, variant: str) -> Column:
     return F.struct(F.lit(name).alias("name"), F.lit(variant).alias("variant"))
 
@@ -330,9 +358,9 @@ def _encoded(key: str, value: Column) -> Column:
     return F.when(value.isNotNull(), F.concat(F.lit(f"{key}="), F.url_encode(value)))
 
 
-def card_forms(log: DataFrame) -> DataFrame:
-    """Card checkout submissions of the request log; a form belongs to the charge of the same number."""
-    document = F.to_json(
+def _card_form() -> Column:
+    """A card checkout submission; it belongs to the charge of the same number."""
+    return F.to_json(
         F.struct(
             F.concat(F.lit("Donor "), F.col("u").cast("string")).alias("name"),
             F.lower(currency_of("u")).alias("currency"),
@@ -358,13 +386,10 @@ def card_forms(log: DataFrame) -> DataFrame:
             F.lit("ignored").alias("unknownField"),
         )
     )
-    log = allocation.allocations(log.where(F.col("channel") == "card"))
-    raw = log.select(document.alias("document"), text_id("ch_", "k").alias("paymentid"), "allocations")
-    return requests.read_card_requests(raw, id_prefix=ID_PREFIX, sources=SOURCES)
 
 
-def capture_requests(log: DataFrame) -> DataFrame:
-    document = F.to_json(
+def _capture_request() -> Column:
+    return F.to_json(
         F.struct(
             F.when(~every("id", 103), text_id("PAY-", "k")).alias("paymentId"),
             F.coalesce("platform", F.lit("ios")).alias("platform"),
@@ -383,14 +408,10 @@ def capture_requests(log: DataFrame) -> DataFrame:
             F.col("native_tests").alias("nativeAbTests"),
         )
     )
-    log = allocation.allocations(log.where(F.col("channel") == "capture"))
-    raw = log.select(document.alias("document"), "allocations")
-    parsed = requests.read_capture_requests(raw, id_prefix=ID_PREFIX, sources=SOURCES)
-    return parsed.withColumns({"visit_id": F.lit(None).cast("string"), "is_support": F.lit(None).cast("boolean")})
 
 
-def return_urls(log: DataFrame) -> DataFrame:
-    """Return-URL log; the platform and the signed-in user come from the session."""
+def _return_url() -> Column:
+    """Where the provider sends the payer back to."""
     query = F.concat_ws(
         "&",
         F.when(~every("id", 107), _encoded("paymentId", text_id("PAY-", "k"))),
@@ -410,14 +431,7 @@ def return_urls(log: DataFrame) -> DataFrame:
         _encoded("nativeAbTests", F.to_json("native_tests")),
         _encoded("supportRedirect", F.col("is_support").cast("string")),
     )
-    log = allocation.allocations(log.where(F.col("channel") == "execute"))
-    raw = log.select(
-        F.concat(F.lit("https://pay.example.com/paypal/uk/execute?"), query).alias("url"),
-        "allocations",
-        F.coalesce("platform", F.lit("web")).alias("platform"),
-        F.when(every("id", 2), F.col("u").cast("string")).alias("iduser"),
-    )
-    return requests.read_return_urls(raw, id_prefix=ID_PREFIX, sources=SOURCES)
+    return F.concat(F.lit("https://pay.example.com/paypal/uk/execute?"), query)
 
 
 # --- contributions: payments joined with the requests that made them -------------------------------------------------
@@ -428,27 +442,11 @@ def stored() -> Column:
     return F.col("delivery_id") % 43 != 0
 
 
-def paypal_successes(orders: DataFrame, path: str) -> DataFrame:
-    from donorlake.plans.visitors import state_accepted
-
-    payments = paypal_payments(orders).where(F.col("path") == path)
-    return (
-        payments.where(state_accepted(F.col("state"), F.col("path")))
-        .withColumn("contributionid", uuid_text(F.col("custom")))
-        .withColumn("contributor_id", uuid_of("delivery_id"))
-        .withColumn("amount", F.col("total"))
-    )
-
-
-def contributions(orders: DataFrame, log: DataFrame) -> dict[str, DataFrame]:
-    """Payments of the orders, which may be a stream, with their requests in the log."""
+def contributions(orders: DataFrame, log: DataFrame) -> DataFrame:
+    """Payments of the orders with their requests in the log."""
     from donorlake.plans import attribution
 
-    return {
-        "stripe": attribution.card_contributions(stripe_charges(orders), card_forms(log)),
-        "paypal-execute": attribution.paypal_contributions(paypal_successes(orders, "execute"), return_urls(log)),
-        "paypal-capture": attribution.paypal_contributions(paypal_successes(orders, "capture"), capture_requests(log)),
-    }
+    return attribution.contributions(records.read_payments(payment_log(orders)), read_requests(log))
 
 
 _SHARED = [
@@ -458,14 +456,15 @@ _SHARED = [
 ]
 
 
-def all_contributions(orders: DataFrame, log: DataFrame) -> DataFrame:
+def storable(contributions: DataFrame) -> DataFrame:
     """All contributions that have what the tables need."""
     from donorlake.plans import attribution
 
-    parts = contributions(orders, log)
-    shared = [df.withColumn("amount", F.col("amount").cast("decimal(18,2)")).select(*_SHARED) for df in parts.values()]
-    union = shared[0].unionByName(shared[1]).unionByName(shared[2])
-    return attribution.storable(union)
+    return attribution.storable(contributions).withColumn("amount", F.col("amount").cast("decimal(18,2)")).select(*_SHARED)
+
+
+def all_contributions(orders: DataFrame, log: DataFrame) -> DataFrame:
+    return storable(contributions(orders, log))
 
 
 # --- ledger ----------------------------------------------------------------------------------------------------------------

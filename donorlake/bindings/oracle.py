@@ -317,6 +317,42 @@ SELECT receipt_email, arg_max(name, seq) AS name, arg_max(firstname, seq) AS fir
   {_time('max(received_at)')} AS updated
 FROM ranked r GROUP BY receipt_email"""
 
+_ACCOUNTS = f"""{_BASE},{_REQUESTS},
+asked AS (
+  SELECT b.*, r.id, CASE WHEN feed = 'Stripe' THEN 'stripe' ELSE 'paypal-' || path END AS kind,
+    CASE WHEN feed = 'Stripe' THEN CASE WHEN r.id % 101 = 0 THEN 'token' END
+      WHEN path = 'execute' THEN CASE WHEN r.id % 107 = 0 THEN 'paymentId' END
+      WHEN r.id % 103 = 0 THEN 'paymentid' END AS problem,
+    feed = 'Paypal' OR s <> 'F' AS charged, CASE WHEN k % 61 = 0 THEN 2 ELSE 1 END AS times
+  FROM base b JOIN req r ON b.k % (SELECT count(*) FROM events) = r.id
+),
+payments AS (
+  SELECT *, CASE WHEN feed = 'Paypal' AND k % 23 = 0 THEN 'not approved' WHEN problem IS NOT NULL THEN 'no request'
+      WHEN feed = 'Paypal' AND (k % 31 = 0 OR k % 41 = 0 OR k % 37 = 0) THEN 'not storable'
+      WHEN k % 43 = 0 THEN 'not stored' ELSE 'stored' END AS outcome,
+    CASE WHEN k % 31 = 0 THEN 'contribution id' WHEN k % 41 = 0 THEN 'payer' ELSE 'amount' END AS lacks
+  FROM asked WHERE charged
+),
+told AS (SELECT *, CASE WHEN outcome = 'not storable' THEN lacks ELSE outcome END AS reason FROM payments)"""
+
+ORACLE["contribution_accounts"] = f"""WITH {_ACCOUNTS}
+SELECT 'payment' AS side, kind, outcome, reason, count(*) AS n FROM told GROUP BY 2, 3, 4
+UNION ALL
+SELECT 'request', kind, 'rejected', problem, CAST(sum(times) AS BIGINT) FROM asked WHERE problem IS NOT NULL GROUP BY 2, 4
+UNION ALL
+SELECT 'request', kind, CASE WHEN charged THEN 'paid' ELSE 'no payment' END, CASE WHEN charged THEN 'paid' ELSE 'no payment' END,
+  count(*) FROM asked WHERE problem IS NULL GROUP BY 2, 3, 4
+UNION ALL
+SELECT 'request', kind, 'repeated', 'repeated', CAST(sum(times - 1) AS BIGINT) FROM asked WHERE problem IS NULL GROUP BY 2
+HAVING sum(times - 1) > 0"""
+
+ORACLE["contribution_dead_letters"] = f"""WITH {_ACCOUNTS}
+SELECT kind AS feed, 'payment' AS stage, reason, CASE WHEN feed = 'Stripe' THEN 'ch_' ELSE 'PAY-' END || k AS raw_id,
+  CAST(NULL AS VARCHAR) AS raw_pageview_id
+FROM told WHERE outcome <> 'stored'
+UNION ALL
+SELECT kind, 'request', problem, NULL, 'pv' || id FROM asked, (SELECT unnest([1, 2]) AS again) WHERE problem IS NOT NULL AND again <= times"""
+
 ORACLE["ledger_metadata_reconcile"] = f"""WITH {_LEDGER_METADATA}
 SELECT CASE WHEN m.cid IS NULL THEN 'ledger only' WHEN l.contributionid IS NULL THEN 'metadata only' ELSE 'both' END AS side,
   count(*) AS n, {_money('sum(l.minor)')} AS total

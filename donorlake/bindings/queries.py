@@ -177,6 +177,30 @@ def metadata_table(spark: SparkSession, sf: str) -> DataFrame:
     return metadata_columns(_metadata(spark, sf))
 
 
+@query
+def contribution_accounts(spark: SparkSession, sf: str) -> DataFrame:
+    """What every payment and every request came to; both sides add up to their logs."""
+    payments = records.read_payments(inputs.payment_log(table(spark, sf, "orders")))
+    asked = inputs.read_requests(request_log(spark, sf))
+    return attribution.accounts(attribution.contributions(payments, asked), payments, asked, inputs.stored())
+
+
+def raw_keys(dead: DataFrame) -> DataFrame:
+    """Dead letters with the ids that their text holds."""
+    said = lambda path: F.get_json_object("raw", path)
+    url = F.col("raw").startswith("https:")
+    page = F.when(url, F.try_parse_url("raw", F.lit("QUERY"), F.lit("pvid"))).otherwise(said(f"$.{inputs.ID_PREFIX}PageviewId"))
+    return dead.select("feed", "stage", "reason", F.when(~url, said("$.id")).alias("raw_id"), page.alias("raw_pageview_id"))
+
+
+@query
+def contribution_dead_letters(spark: SparkSession, sf: str) -> DataFrame:
+    """Rejected requests and payments that reached no table, with their text."""
+    asked = inputs.read_requests(request_log(spark, sf))
+    payments = records.read_payments(inputs.payment_log(table(spark, sf, "orders")))
+    return raw_keys(attribution.dead_letters(attribution.contributions(payments, asked), asked, inputs.stored()))
+
+
 @query
 def attribution_backfill(spark: SparkSession, sf: str) -> DataFrame:
     rows = attribution.attribution_from_charges(inputs.charge_maps(table(spark, sf, "orders")), id_prefix=inputs.ID_PREFIX)
@@ -272,7 +296,9 @@ def consent_outbox(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _acquisition_feed(spark: SparkSession, sf: str) -> DataFrame:
-    return acquisitions.build(inputs.contributions(table(spark, sf, "orders"), request_log(spark, sf)))
+    # Each source has its own builder, and the logs are to be read once.
+    paid = attribution.paid_for(inputs.contributions(table(spark, sf, "orders"), request_log(spark, sf)))
+    return acquisitions.build_by_kind(written(paid, "contributions"))
 
 
 @query

@@ -71,11 +71,14 @@ def merge_newest(
     return finish_partials(state, key, newest, oldest)
 
 
-def one_per_key(df: DataFrame, key: str) -> DataFrame:
+def one_per_key(df: DataFrame, *keys: str, count: str | None = None) -> DataFrame:
     """One row per key, whatever a log repeats: of rows that differ, the least in the order of their columns.
 
-    Combined ahead of its one shuffle, which a join on the key then shares. Rows without a key are dropped.
+    Combined ahead of its one shuffle, which a join on the keys then shares. Rows without a key are dropped. ``count``
+    names a column for the number of rows of the key.
     """
-    others = [c for c in df.columns if c != key]
-    least = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*others)).alias("_row"))
-    return least.select(key, *[F.col("_row")[c].alias(c) for c in others])
+    others = [c for c in df.columns if c not in keys]
+    known = df.dropna(subset=list(keys))
+    numbers = [F.count("*").alias(count)] if count else []
+    least = known.groupBy(*keys).agg(F.min(F.struct(*others)).alias("_row"), *numbers)
+    return least.select(*keys, *[F.col("_row")[c].alias(c) for c in others], *([count] if count else []))

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from donorlake import fixed_values as fixed
 from donorlake.functions.stages import computed_once
-from donorlake.functions.text import blank_to_null, look_up
+from donorlake.functions.text import blank_to_null, look_up, uuid_text
 from donorlake.operators import folds
+from donorlake.plans.visitors import state_accepted
 from donorlake.schemas import ALLOCATION, CONTRIBUTION_METADATA
 from donorlake.sources.requests import id_field
 from pyspark.sql.types import ArrayType
@@ -18,33 +19,102 @@ OLDEST = ("contributor_id",)
 _METADATA = [f.name for f in CONTRIBUTION_METADATA.fields]
 
 
-def card_contributions(charges: DataFrame, forms: DataFrame) -> DataFrame:
-    """Charges with the checkout form that made them. First and last name are not asked for on this path."""
-    form = forms.where(F.col("problem").isNull()).select(
-        "paymentid", "name", "postcode", "cmp", "intcmp", "referrer_pageview_id", "referrer_url", "pageview_id",
-        "browser_id", "visit_id", "iduser", "platform", "component_id", "component_type", "source", "referrer_test",
-        "native_tests", "is_support", "allocations",
-    )
-    return charges.join(folds.one_per_key(form, "paymentid"), "paymentid").withColumns(
-        {"firstname": F.lit(None).cast("string"), "lastname": F.lit(None).cast("string"), "provider": F.lit("Stripe")}
+_REQUEST = [
+    "cmp", "intcmp", "referrer_pageview_id", "referrer_url", "pageview_id", "browser_id", "visit_id", "iduser",
+    "platform", "component_id", "component_type", "source", "referrer_test", "native_tests", "is_support", "allocations",
+]
+NOT_APPROVED, NO_REQUEST, NOT_STORABLE, NOT_STORED, STORED = "not approved", "no request", "not storable", "not stored", "stored"
+REJECTED, REPEATED, PAID, UNPAID = "rejected", "repeated", "paid", "no payment"
+
+
+def usable(requests: DataFrame) -> DataFrame:
+    """Requests that are good, by payment source and payment."""
+    good = requests.where(F.col("problem").isNull() & F.col("paymentid").isNotNull())
+    return good.select("kind", "paymentid", F.col("name").alias("asked_name"), F.col("postcode").alias("asked_postcode"), *_REQUEST)
+
+
+def with_details(matched: DataFrame) -> DataFrame:
+    """Payments next to their requests (``requested``), or next to nulls, as contributions.
+
+    A card payment takes name and postcode from its form, a PayPal payment brings its own.
+    """
+    card = F.col("kind") == "stripe"
+    path = F.substring_index("kind", "-", -1)
+    return matched.withColumns(
+        {
+            "provider": F.when(card, "Stripe").otherwise("Paypal"),
+            "contributionid": F.when(card, F.col("given_id")).otherwise(uuid_text(F.col("custom"))),
+            "name": F.when(card, F.col("asked_name")).otherwise(F.col("name")),
+            "postcode": F.when(card, F.col("asked_postcode")).otherwise(F.col("postcode")),
+            "amount": F.when(card, F.col("amount")).otherwise(F.col("total")),
+            "approved": card | F.coalesce(state_accepted(F.col("state"), path), F.lit(False)),
+            "requested": F.coalesce("requested", F.lit(False)),
+        }
+    ).drop("given_id", "asked_name", "asked_postcode")
+
+
+def contributions(payments: DataFrame, requests: DataFrame) -> DataFrame:
+    """Every payment once, with the request that made it where there is a good one; a repeated request counts once."""
+    asked = folds.one_per_key(usable(requests), "kind", "paymentid").withColumn("requested", F.lit(True))
+    return with_details(payments.join(asked, ["kind", "paymentid"], "left"))
+
+
+def missing() -> Column:
+    """The first thing a contribution lacks that the tables and the receipts need."""
+    return (
+        F.when(F.col("contributionid").isNull(), "contribution id")
+        .when(F.col("email").isNull(), "payer")
+        .when(F.col("amount").isNull(), "amount")
+    )
+
+
+def with_outcomes(contributions: DataFrame, stored: Column) -> DataFrame:
+    """Add ``outcome`` and ``reason``, so that every payment is in the tables or is told why not."""
+    outcome = (
+        F.when(~F.col("approved"), NOT_APPROVED)
+        .when(~F.col("requested"), NO_REQUEST)
+        .when(missing().isNotNull(), NOT_STORABLE)
+        .when(~stored, NOT_STORED)
+        .otherwise(STORED)
     )
+    told = contributions.withColumns({"outcome": outcome})
+    return told.withColumns({"reason": F.when(F.col("outcome") == NOT_STORABLE, missing()).otherwise(F.col("outcome"))})
 
 
-def paypal_contributions(payments: DataFrame, requests: DataFrame) -> DataFrame:
-    """Payments with the return URL or capture request that completed them."""
-    request = requests.where(F.col("problem").isNull()).select(
-        "paymentid", "cmp", "intcmp", "referrer_pageview_id", "referrer_url", "pageview_id", "browser_id", "visit_id",
-        "iduser", "platform", "component_id", "component_type", "source", "referrer_test", "native_tests",
-        "is_support", "allocations",
-    )
-    return payments.join(folds.one_per_key(request, "paymentid"), "paymentid").withColumn("provider", F.lit("Paypal"))
+def paid_for(contributions: DataFrame) -> DataFrame:
+    """Payments that went through and have a request: what acquisitions, tables and receipts are made of."""
+    return contributions.where(F.col("approved") & F.col("requested"))
+
+
+def accounts(contributions: DataFrame, payments: DataFrame, requests: DataFrame, stored: Column) -> DataFrame:
+    """How many payments and requests of each kind came to what: ``side, kind, outcome, reason, n``.
+
+    Rows of a side add up to the rows that came in.
+    """
+    paid = with_outcomes(contributions, stored).groupBy("kind", "outcome", "reason").agg(F.count("*").alias("n"))
+    bad = requests.where(F.col("problem").isNotNull() | F.col("paymentid").isNull())
+    bad = bad.groupBy("kind", F.lit(REJECTED).alias("outcome"), F.coalesce("problem", F.lit("paymentid")).alias("reason"))
+    asked = folds.one_per_key(usable(requests).select("kind", "paymentid", F.lit(1).alias("one")), "kind", "paymentid", count="times")
+    known = folds.one_per_key(payments.select("kind", "paymentid", F.lit(True).alias("known")), "kind", "paymentid")
+    came = asked.join(known, ["kind", "paymentid"], "left").withColumns({"outcome": F.when(F.col("known"), PAID).otherwise(UNPAID)})
+    came = came.groupBy("kind", "outcome").agg(F.count("*").alias("n"), F.sum(F.col("times") - 1).alias("again"))
+    again = came.groupBy("kind").agg(F.sum("again").alias("n")).select("kind", F.lit(REPEATED).alias("outcome"), F.lit(REPEATED).alias("reason"), "n")
+    came = came.select("kind", "outcome", F.col("outcome").alias("reason"), "n")
+    requested = bad.agg(F.count("*").alias("n")).unionByName(came).unionByName(again.where("n > 0"))
+    return paid.withColumn("side", F.lit("payment")).unionByName(requested.withColumn("side", F.lit("request")))
+
+
+def dead_letters(contributions: DataFrame, requests: DataFrame, stored: Column) -> DataFrame:
+    """Requests that were rejected and payments that reached no table, with their text: ``raw, feed, reason, stage``."""
+    bad = requests.where(F.col("problem").isNotNull() | F.col("paymentid").isNull())
+    bad = bad.select(F.col("document").alias("raw"), F.col("kind").alias("feed"), F.coalesce("problem", F.lit("paymentid")).alias("reason"), F.lit("request").alias("stage"))
+    lost = with_outcomes(contributions, stored).where(F.col("outcome") != STORED)
+    return bad.unionByName(lost.select(F.col("document").alias("raw"), F.col("kind").alias("feed"), "reason", F.lit("payment").alias("stage")))
 
 
 def storable(contributions: DataFrame) -> DataFrame:
     """Contributions that the tables and the receipts take: with an id, a payer and an amount that is a number."""
-    return contributions.where(
-        F.col("contributionid").isNotNull() & F.col("email").isNotNull() & F.col("amount").isNotNull()
-    )
+    return paid_for(contributions).where(missing().isNull())
 
 
 def _metadata_row() -> list[Column]:

@@ -101,6 +101,10 @@ STRIPE_CHARGE = """
     source STRUCT<country: STRING>
 """
 
+STRIPE_EVENT = "id STRING, data STRUCT<object: STRUCT<id: STRING, balance_transaction: STRING>>"
+
+BALANCE_TRANSACTION = "id STRING, amount BIGINT"
+
 IDENTITY_USER = """
     user STRUCT<primaryEmailAddress: STRING, privateFields: STRUCT<firstName: STRING, secondName: STRING>>
 """

@@ -12,6 +12,7 @@ from donorlake.functions import money
 from donorlake.functions.stages import computed_once
 from donorlake.functions.text import display_name, full_name, look_up
 from donorlake.fixed_values import KNOWN_CURRENCIES
+from donorlake.sources.kinds import read_by_kind
 
 
 def first(items: Column) -> Column:
@@ -74,6 +75,33 @@ def read_stripe_charges(raw: DataFrame, document: str = "document") -> DataFrame
     )
 
 
+def read_payments(log: DataFrame) -> DataFrame:
+    """Payment records of all payment sources from one log, by ``kind``: stripe, paypal-execute or paypal-capture."""
+    readers = {"stripe": read_stripe_charges, "paypal-execute": read_paypal_payments, "paypal-capture": read_paypal_payments}
+    return read_by_kind(log, readers)
+
+
+def read_stripe_events(raw: DataFrame, document: str = "document") -> DataFrame:
+    """Events by id: the charge they are about and the balance transaction it settled with, if any."""
+    e = F.from_json(F.col(document), schemas.STRIPE_EVENT)
+    return computed_once(raw, {"_e": e}).select(
+        *[name for name in raw.columns if name != document],
+        F.col("_e.id").alias("event_id"),
+        F.col("_e.data.object.id").alias("charge_id"),
+        F.col("_e.data.object.balance_transaction").alias("balance_transaction"),
+    )
+
+
+def read_balance_transactions(raw: DataFrame, document: str = "document") -> DataFrame:
+    """Balance transactions by id: the amount they settled at, in minor units."""
+    b = F.from_json(F.col(document), schemas.BALANCE_TRANSACTION)
+    return computed_once(raw, {"_b": b}).select(
+        *[name for name in raw.columns if name != document],
+        F.col("_b.id").alias("balance_transaction"),
+        F.col("_b.amount").alias("balance_minor"),
+    )
+
+
 def read_identity_users(raw: DataFrame, document: str = "document") -> DataFrame:
     u = F.from_json(F.col(document), schemas.IDENTITY_USER)
     private = F.col("_u.user.privateFields")

@@ -15,6 +15,7 @@ from donorlake import fixed_values as fixed
 from donorlake.functions import urls
 from donorlake.functions.documents import Field, member_of, one_of, read_documents
 from donorlake.functions.stages import computed_once
+from donorlake.sources.kinds import read_by_kind
 
 _TEST = "struct<name:string,variant:string>"
 _TESTS = f"array<{_TEST}>"
@@ -172,6 +173,34 @@ def read_return_urls(
     return computed_once(parsed, {**{c: F.col(c) for c in names}, "problem": problem}, keep=log.columns)
 
 
+def read_requests(
+    log: DataFrame,
+    id_prefix: str = "",
+    sources: tuple[str, ...] | None = None,
+    component_types: tuple[str, ...] = fixed.COMPONENT_TYPES,
+) -> DataFrame:
+    """The requests of all payment sources from one log, read in one pass.
+
+    ``kind`` is the payment source: stripe (a checkout form as JSON), paypal-execute (a return URL) or paypal-capture
+    (JSON of the apps). What is known beside the document comes in columns: ``charge_id``, the charge a form led to,
+    and ``session_platform`` and ``session_iduser`` of who came back. ``paymentid`` is the payment a request is for.
+    """
+    options = {"id_prefix": id_prefix, "sources": sources, "component_types": component_types}
+    readers = {
+        "stripe": lambda df, text: read_card_requests(df, text, **options),
+        "paypal-execute": lambda df, text: read_return_urls(df, text, **options),
+        "paypal-capture": lambda df, text: read_capture_requests(df, text, **options),
+    }
+    read = read_by_kind(log, readers)
+    return read.withColumns(
+        {
+            "paymentid": F.coalesce("charge_id", "paymentid"),
+            "platform": F.coalesce("platform", "session_platform"),
+            "iduser": F.coalesce("iduser", "session_iduser"),
+        }
+    ).drop("charge_id", "session_platform", "session_iduser")
+
+
 def read_landing_urls(
     log: DataFrame,
     url: str = "url",
