@@ -470,16 +470,21 @@ def all_contributions(orders: DataFrame, log: DataFrame) -> DataFrame:
 # --- ledger ----------------------------------------------------------------------------------------------------------------
 
 
-def processed_hooks(orders: DataFrame, lineitem: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(PayPal, Stripe) hooks that parsed, with what the providers know about them."""
+def processed_hooks(
+    orders: DataFrame, lineitem: DataFrame, records_: tuple[DataFrame, DataFrame, DataFrame] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(PayPal, Stripe) hooks that parsed, with what the providers know about them (``provider_records``)."""
     from donorlake.plans import ledger
 
+    payments, events, balances = records_ or provider_records(orders, lineitem)
     paypal = ledger.parsed(ledger.triage(paypal_hooks(orders), F.col("signature_ok")))
     stripe = ledger.parsed(ledger.triage(stripe_hooks(orders)))
-    return (
-        ledger.with_contribution_ids(paypal, findable_payments(orders)),
-        ledger.with_converted_amounts(stripe, stripe_events(orders), balance_transactions(lineitem)),
-    )
+    return ledger.with_contribution_ids(paypal, payments), ledger.with_converted_amounts(stripe, events, balances)
+
+
+def provider_records(orders: DataFrame, lineitem: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Payments, events and balance transactions that look-ups by id find."""
+    return findable_payments(orders).select("paymentid", "custom"), stripe_events(orders), balance_transactions(lineitem)
 
 
 def rejected_hooks(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
@@ -497,10 +502,10 @@ def rejected_hooks(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     )
 
 
-def ledger_rows(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+def ledger_rows(orders: DataFrame, lineitem: DataFrame, records_: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
     from donorlake.plans import ledger
 
-    return ledger.all_rows(*processed_hooks(orders, lineitem))
+    return ledger.all_rows(*processed_hooks(orders, lineitem, records_))
 
 
 def ledger_table(orders: DataFrame, lineitem: DataFrame) -> DataFrame:

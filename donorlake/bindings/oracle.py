@@ -694,6 +694,7 @@ SELECT lower(feed), 'processing-error', processing_error, count(*) FROM processe
 ORACLE["stream_late_hooks"] = f"SELECT * FROM ({ORACLE['ledger_regressions']}) WHERE is_regression OR is_late"
 ORACLE["stream_contributors"] = ORACLE["contributors_merge"]
 ORACLE["stream_metadata"] = ORACLE["metadata_table"]
+ORACLE["stream_lost_payments"] = f"""SELECT * FROM ({ORACLE['contribution_dead_letters']}) WHERE stage = 'payment'"""
 ORACLE["stream_metric_counts"] = ORACLE["metric_counts"]
 ORACLE["stream_funnel"] = ORACLE["checkout_funnel"]
 ORACLE["stream_abandonment"] = ORACLE["form_abandonment"]
@@ -714,6 +715,6 @@ ORACLE["stream_receipts_outbox"] = (
 )
 ORACLE["stream_consent_outbox"] = ORACLE["consent_outbox"]
 ORACLE["stream_acquisitions"] = f"""SELECT a.paymentid, a.payment_source, a.currency, a.amount, a.campaign_codes, a.ab_tests,
-  a.platform, d.month FROM ({ORACLE['acquisition_events']}) a
+  a.platform, d.month, d.day FROM ({ORACLE['acquisition_events']}) a
 JOIN (WITH {_BASE} SELECT CASE WHEN feed = 'Stripe' THEN 'ch_' ELSE 'PAY-' END || k AS paymentid,
-  strftime(made_at, '%Y-%m') AS month FROM base) d ON a.paymentid = d.paymentid"""
+  strftime(made_at, '%Y-%m') AS month, strftime(made_at, '%Y-%m-%d') AS day FROM base) d ON a.paymentid = d.paymentid"""

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import datetime
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from donorlake.bindings import inputs, queries
 from donorlake.bindings.inputs import table
 from donorlake.bindings.queries import dbl, joined, query, tests_text, text_time
 from donorlake.plans import acquisitions, attribution, forms
-from donorlake.session import configure, shared_dir
+from donorlake.session import configure, shared_dir, written
+from donorlake.sources import records
 from donorlake.streaming import folded, jobs
 
 
@@ -41,18 +45,20 @@ def _fold_stream(stream: DataFrame, folded_table: folded.FoldedTable, work: str,
     return folded_table.read()
 
 
+def _provider_records(spark: SparkSession, sf: str) -> tuple[DataFrame, ...]:
+    """What the providers know, made once and looked up by every micro-batch."""
+    known = inputs.provider_records(table(spark, sf, "orders"), table(spark, sf, "lineitem"))
+    return tuple(written(df, "provider") for df in known)
+
+
 @query
 def stream_ledger(spark: SparkSession, sf: str) -> DataFrame:
-    """Each micro-batch of documents is read and looked up like the batch job does, then folded into the ledger."""
+    """Documents are read and looked up like the batch job does; the ledger is keyed state and gives out what changes."""
     work = shared_dir(spark, "ledger")
-    lineitem = table(spark, sf, "lineitem")
-    result = _fold_stream(
-        _stream(spark, sf, "orders", work),
-        jobs.ledger_table(spark, f"{work}/table"),
-        work,
-        lambda orders: inputs.ledger_rows(orders, lineitem),
-    )
-    return result.select(
+    target = jobs.ledger_table(spark, f"{work}/table")
+    rows = inputs.ledger_rows(_stream(spark, sf, "orders", work), None, _provider_records(spark, sf))
+    folded.run_to_end(jobs.ledger_changes(rows), target.add, f"{work}/checkpoint", "update")
+    return target.read().select(
         "contributionid", "paymentid", "provider", text_time("created"), "currency", dbl("amount"),
         dbl("convertedamount"), "status", "email",
     )
@@ -74,25 +80,26 @@ def stream_dead_letters(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def stream_late_hooks(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows that go back in time, set apart per micro-batch before it is folded into the ledger.
+    """Rows that go back in time: within a micro-batch by its own rows, across batches by keyed state.
 
-    A batch's rows are written once. They are compared with the batches before, so a batch that runs again finds the
-    same.
+    The first stream sets a batch's rows apart and sums the batch up as one row per contribution; the second compares
+    these with the state of their contributions. No batch reads an earlier one.
     """
     work = shared_dir(spark, "late")
-    lineitem = table(spark, sf, "lineitem")
-    target = jobs.ledger_table(spark, f"{work}/table")
+    known = _provider_records(spark, sf)
 
     def each_batch(orders: DataFrame, batch_id: int) -> None:
         path = f"{work}/rows/batch={batch_id}"
-        inputs.ledger_rows(orders, lineitem).write.mode("overwrite").parquet(path)
+        inputs.ledger_rows(orders, None, known).write.mode("overwrite").parquet(path)
         rows = spark.read.parquet(path)
-        known = target.state(before=batch_id) if batch_id > 0 else None
-        jobs.late_rows(rows, known).write.mode("overwrite").parquet(f"{work}/late/batch={batch_id}")
-        target.add(rows, batch_id)
+        jobs.late_rows(rows, None).write.mode("overwrite").parquet(f"{work}/within/batch={batch_id}")
+        jobs.batch_ends(rows, batch_id).write.mode("overwrite").parquet(f"{work}/ends/batch={batch_id}")
 
     folded.run_to_end(_stream(spark, sf, "orders", work, _by_time(spark, sf, "orders", "o_orderdate")), each_batch, f"{work}/checkpoint")
-    return spark.read.parquet(f"{work}/late").drop("batch")
+    ends = spark.readStream.schema(spark.read.parquet(f"{work}/ends").drop("batch").schema).parquet(f"{work}/ends/*")
+    folded.write_to_end(jobs.late_across(ends), "parquet", f"{work}/across", f"{work}/across_checkpoint")
+    within = spark.read.parquet(f"{work}/within").drop("batch")
+    return within.unionByName(spark.read.parquet(f"{work}/across"))
 
 
 @query
@@ -108,18 +115,66 @@ def stream_contributors(spark: SparkSession, sf: str) -> DataFrame:
     return queries.contributor_columns(result)
 
 
+def _log_stream(spark: SparkSession, rows: DataFrame, time: str, folder: str, last: dict) -> DataFrame:
+    """A raw log in four parts by time, and a last row far ahead, which tells the stream that all has come."""
+    log = written(rows, "log")
+    start, end = log.agg(F.min(F.unix_seconds(time)), F.max(F.unix_seconds(time))).first()
+    part = F.floor((F.unix_seconds(time) - start) * BATCHES / ((end or 0) - (start or 0) + 1))
+    for number in range(BATCHES):
+        log.where(part == number).write.mode("append").parquet(folder)
+    files = len(spark.read.parquet(folder).inputFiles())
+    closing = spark.createDataFrame([tuple({**dict.fromkeys(log.columns), **last}.values())], log.schema)
+    closing.coalesce(1).write.mode("append").parquet(folder)
+    return folded.read_table_stream(spark, folder, max(1, files // BATCHES))
+
+
+CLOSED = datetime.datetime(2199, 1, 1)
+
+
+def _matched_stream(spark: SparkSession, sf: str, work: str) -> DataFrame:
+    """Payments with their requests, both logs as streams."""
+    orders, events = table(spark, sf, "orders"), table(spark, sf, "events")
+    payments = _log_stream(spark, inputs.payment_log(orders), "received_at", f"{work}/payments", {"kind": "end", "received_at": CLOSED})
+    last = {"kind": "end", "asked_at": CLOSED, "charge_id": "end"}
+    asked = _log_stream(spark, inputs.request_log(orders, events), "asked_at", f"{work}/requests", last)
+    return jobs.matched(records.read_payments(payments), inputs.read_requests(asked))
+
+
+def _each_matched(spark: SparkSession, sf: str, work: str, each_batch: Callable[[DataFrame, int], None]) -> None:
+    """A micro-batch of contributions is written once; what is made of it reads that."""
+
+    def written_batch(rows: DataFrame, batch_id: int) -> None:
+        path = f"{work}/matched/batch={batch_id}"
+        rows.write.mode("overwrite").parquet(path)
+        each_batch(spark.read.parquet(path), batch_id)
+
+    folded.run_to_end(_matched_stream(spark, sf, work), written_batch, f"{work}/checkpoint")
+
+
 @query
 def stream_metadata(spark: SparkSession, sf: str) -> DataFrame:
-    """The attribution table, kept up with the payments as they arrive."""
+    """The attribution table, kept up with payments and requests as they arrive."""
     work = shared_dir(spark, "metadata")
-    log = queries.request_log(spark, sf)
-    result = _fold_stream(
-        _stream(spark, sf, "orders", work),
-        jobs.metadata_table(spark, f"{work}/table"),
-        work,
-        lambda orders: attribution.metadata_rows(inputs.all_contributions(orders, log).where(inputs.stored())),
-    )
-    return queries.metadata_columns(result)
+    target = jobs.metadata_table(spark, f"{work}/table")
+
+    def each_batch(rows: DataFrame, batch_id: int) -> None:
+        target.add(attribution.metadata_rows(inputs.storable(rows).where(inputs.stored())), batch_id)
+
+    _each_matched(spark, sf, work, each_batch)
+    return queries.metadata_columns(target.read())
+
+
+@query
+def stream_lost_payments(spark: SparkSession, sf: str) -> DataFrame:
+    """Payments that reach no table, those whose request never came among them, with their text and the reason."""
+    work = shared_dir(spark, "lost")
+
+    def each_batch(rows: DataFrame, batch_id: int) -> None:
+        lost = attribution.lost_payments(rows, inputs.stored())
+        lost.write.mode("overwrite").parquet(f"{work}/lost/batch={batch_id}")
+
+    _each_matched(spark, sf, work, each_batch)
+    return queries.raw_keys(spark.read.parquet(f"{work}/lost"))
 
 
 @query
@@ -182,7 +237,7 @@ def stream_session_platform(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def stream_receipts_outbox(spark: SparkSession, sf: str) -> DataFrame:
     work = shared_dir(spark, "receipts")
-    contributions = inputs.all_contributions(_stream(spark, sf, "orders", work), queries.request_log(spark, sf))
+    contributions = inputs.storable(_matched_stream(spark, sf, work))
     out = attribution.receipt_payload(attribution.receipts(contributions, inputs.stored(), "contribution-thank-you"))
     folded.write_to_end(out.withColumnRenamed("payload", "value"), "text", f"{work}/outbox", f"{work}/checkpoint")
     sent = spark.read.text(f"{work}/outbox")
@@ -201,13 +256,21 @@ def stream_receipts_outbox(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def stream_acquisitions(spark: SparkSession, sf: str) -> DataFrame:
+    """The daily feed, a folder per day and batch; one batch is run again, which changes nothing."""
     work = shared_dir(spark, "acquisitions")
-    feed = acquisitions.build(inputs.contributions(_stream(spark, sf, "orders", work), queries.request_log(spark, sf)))
-    events = acquisitions.events(feed).withColumn("month", F.date_format("created", "yyyy-MM"))
-    folded.write_to_end(events, "parquet", f"{work}/outbox", f"{work}/checkpoint", "month")
-    return spark.read.parquet(f"{work}/outbox").select(
+    feed = f"{work}/feed"
+    seen: list[int] = []
+
+    def each_batch(rows: DataFrame, batch_id: int) -> None:
+        acquisitions.write_events(acquisitions.build_by_kind(attribution.paid_for(rows)), feed, batch_id)
+        seen.append(batch_id)
+
+    _each_matched(spark, sf, work, each_batch)
+    each_batch(spark.read.parquet(f"{work}/matched/batch={seen[1]}"), seen[1])
+    return spark.read.parquet(feed).select(
         "paymentid", "payment_source", "currency", "amount", joined("campaign_codes", "campaign_codes"),
-        tests_text("ab_tests", "ab_tests"), "platform", "month",
+        tests_text("ab_tests", "ab_tests"), "platform", F.date_format("day", "yyyy-MM").alias("month"),
+        F.date_format("day", "yyyy-MM-dd").alias("day"),
     )
 
 

@@ -27,10 +27,10 @@ NOT_APPROVED, NO_REQUEST, NOT_STORABLE, NOT_STORED, STORED = "not approved", "no
 REJECTED, REPEATED, PAID, UNPAID = "rejected", "repeated", "paid", "no payment"
 
 
-def usable(requests: DataFrame) -> DataFrame:
+def usable(requests: DataFrame, *more: str) -> DataFrame:
     """Requests that are good, by payment source and payment."""
     good = requests.where(F.col("problem").isNull() & F.col("paymentid").isNotNull())
-    return good.select("kind", "paymentid", F.col("name").alias("asked_name"), F.col("postcode").alias("asked_postcode"), *_REQUEST)
+    return good.select("kind", "paymentid", F.col("name").alias("asked_name"), F.col("postcode").alias("asked_postcode"), *_REQUEST, *more)
 
 
 def with_details(matched: DataFrame) -> DataFrame:
@@ -108,8 +108,13 @@ def dead_letters(contributions: DataFrame, requests: DataFrame, stored: Column)
     """Requests that were rejected and payments that reached no table, with their text: ``raw, feed, reason, stage``."""
     bad = requests.where(F.col("problem").isNotNull() | F.col("paymentid").isNull())
     bad = bad.select(F.col("document").alias("raw"), F.col("kind").alias("feed"), F.coalesce("problem", F.lit("paymentid")).alias("reason"), F.lit("request").alias("stage"))
+    return bad.unionByName(lost_payments(contributions, stored))
+
+
+def lost_payments(contributions: DataFrame, stored: Column) -> DataFrame:
+    """Payments that reached no table: ``raw, feed, reason, stage``."""
     lost = with_outcomes(contributions, stored).where(F.col("outcome") != STORED)
-    return bad.unionByName(lost.select(F.col("document").alias("raw"), F.col("kind").alias("feed"), "reason", F.lit("payment").alias("stage")))
+    return lost.select(F.col("document").alias("raw"), F.col("kind").alias("feed"), "reason", F.lit("payment").alias("stage"))
 
 
 def storable(contributions: DataFrame) -> DataFrame:

@@ -37,10 +37,11 @@ class FoldedTable:
         return FoldedTable(self.spark, path, self.fold, self.merge, self.finish)
 
 
-def run_to_end(stream: DataFrame, each_batch: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+def run_to_end(stream: DataFrame, each_batch: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """Work off all that is there now, one micro-batch after the other, and stop."""
     query = (
         stream.writeStream.foreachBatch(each_batch)
+        .outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
