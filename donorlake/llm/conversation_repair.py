@@ -406,7 +406,8 @@ class Repair:
                 for edit in edits:
                     if edit == "D":
                         continue
-                    role, key, turn = None, None, None
+                    # Inserted rows have a key of their own, which matches no text and does not put them into one task.
+                    role, key, turn = None, f"inserted:{part}:{piece.conv_id}:{at}", None
                     if edit in "KR":
                         turn, role, key = row[:3]
                     state = MOVES[state]["sua".index(role[:1])] if edit == "K" else ADDED[state]
