@@ -30,7 +30,7 @@ def documents():
 @pytest.mark.parametrize("name", ORACLE)
 def test_sql_gives_the_same_rows(spark, name):
     with duckdb.connect() as con:
-        for table in ("documents", "pages", "labels"):
+        for table in ("documents", "pages", "labels", "benchmark"):
             con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DIR}/{table}.parquet'")
         cursor = con.execute(ORACLE[name])
         names = [d[0] for d in cursor.description]
