@@ -9,16 +9,18 @@ calibrated on documents that the trees have not seen.
 
 All of it is column expressions: the candidates of the whole corpus are counted by their (binned) features in one
 aggregation, the trees are fitted to those counts on the driver, and go back into the plan as CASE expressions. The
-table of counts is bounded by the number of feature values, ``MAX_CELLS``, not by the corpus.
+table of counts is bounded by the number of feature values, ``MOST_CELLS``, not by the corpus.
 
 Null texts count as empty: no spans. Positions are in code points, ends exclusive. Repeated rows are treated one by one,
 other columns are kept by ``redact``. Patterns use possessive loops and start at the edge of a run only, so very long
-runs of digits or letters take linear time and no stack.
+runs of digits or letters take linear time and no stack. Places are running sums, made in as many passes as the number
+of matches has bits; context comes from the pieces of text next to a match. So a text takes time in proportion to its
+length, but for that factor.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,7 +54,18 @@ CUES = {
 }
 CUE_REACH = 24
 FEATURES = ("n_digits", "n_groups", "n_separators", "plus", "before", "after", "cue")
-MAX_CELLS = 20_000
+#: Numbers of digits are told apart by these lower bounds, groups and separators up to ``MOST_GROUPS``.
+DIGITS = (4, 7, 10, 11, 12, 13, 14, 15, 16, 17, 20)
+MOST_GROUPS = 3
+#: What the check of a kind looks at, and trees must not.
+HIDDEN = {
+    "email": ("n_separators",),
+    "ip": ("n_digits", "n_groups", "n_separators"),
+    "card": ("n_digits",),
+    "phone": ("n_digits", "plus"),
+}
+#: The combinations of feature values, by kind and half.
+MOST_CELLS = 2 * len(KINDS) * (len(DIGITS) + 1) * (MOST_GROUPS + 1) ** 2 * 2 * 5 * 5 * 2
 ROUNDS = 40
 RATE = 0.3
 PRECISION = 0.95
@@ -70,19 +83,43 @@ def _found(regex: str, text: str, gate: Column) -> tuple[Column, Column]:
     )
 
 
-def _placed(matches: str, gaps: str) -> Column:
-    """Matches with their places: array of struct<s, e, found>."""
-    kind = "array<struct<s:int,e:int,found:string>>"
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans"))
+def _running(numbers: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """Inclusive running sums or maxima of numbers from 0 on: each pass merges in what is 1, 2, 4, ... places before."""
+    passes = F.ceil(F.log2(F.size(numbers).cast("double"))).cast("int")
+    steps = F.when(F.size(numbers) > 1, F.sequence(F.lit(0), passes - 1)).otherwise(F.array().cast("array<int>"))
+
+    def add(sums: Column, k: Column) -> Column:
+        step = F.call_function("shiftleft", F.lit(1), k)
+        before = F.concat(F.array_repeat(F.lit(0), step), F.slice(sums, F.lit(1), F.size(sums) - step))
+        return F.zip_with(sums, before, merge)
+
+    return F.aggregate(steps, numbers, add)
+
+
+def _beside(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns by a one-row inline, so that a lambda that reads one finds it made and does not make it each time."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
 
-    def step(state: Column, i: Column) -> Column:
-        start = state["at"] + F.length(F.get(gaps, i))
-        end = start + F.length(F.get(matches, i))
-        span = F.struct(start.alias("s"), end.alias("e"), F.get(matches, i).alias("found"))
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
+def _placed(matches: str, gaps: str, ends: str) -> Column:
+    """Matches with their places and what is next to them: array of struct<s, e, found, before, after>.
 
-    every = F.when(F.size(matches) > 0, F.sequence(F.lit(0), F.size(matches) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(every, first, step)["spans"]
+    Context reaches back to the start of the match before, and on to the end of the match behind.
+    """
+
+    def place(found: Column, i: Column) -> Column:
+        end, gap, rest = F.get(ends, i), F.get(gaps, i), F.get(gaps, i + 1)
+        before = F.when(F.length(gap) >= CUE_REACH, gap).otherwise(F.concat(F.coalesce(F.get(matches, i - 1), F.lit("")), gap))
+        after = F.when(rest != "", rest).otherwise(F.coalesce(F.get(matches, i + 1), F.lit("")))
+        return F.struct(
+            (end - F.length(found)).alias("s"),
+            end.alias("e"),
+            found.alias("found"),
+            F.right(before, F.lit(CUE_REACH)).alias("before"),
+            F.left(after, F.lit(1)).alias("after"),
+        )
+
+    return F.transform(matches, place)
 
 
 def _digits(found: Column) -> Column:
@@ -114,25 +151,25 @@ def _character(c: Column) -> Column:
     )
 
 
-def _candidate(kind: str, text: str, span: Column) -> Column:
-    found, start, end = span["found"], span["s"], span["e"]
-    digits = F.length(_digits(found))
+def _binned(number: Column) -> Column:
+    """How many of the bounds of ``DIGITS`` a number reaches."""
+    return F.size(F.filter(F.array(*[F.lit(d) for d in DIGITS]), lambda least: least <= number))
+
+
+def _candidate(kind: str, span: Column) -> Column:
+    found = span["found"]
     strict = found.rlike(r"\A" + BASE[kind].removeprefix(r"(?<![0-9])") + r"\z") & passes(kind, found)
-    before = F.when(start > 0, F.substring(F.col(text), F.greatest(start - CUE_REACH + 1, F.lit(1)), F.least(start, F.lit(CUE_REACH)))).otherwise("")
-    after = F.substring(F.col(text), end + 1, F.lit(1))
-    return F.struct(
-        F.lit(KINDS.index(kind)).alias("kind"),
-        start.alias("s"),
-        end.alias("e"),
-        strict.alias("strict"),
-        F.least(digits, F.lit(20)).alias("n_digits"),
-        F.least(F.size(F.split(found, "[^0-9]+")), F.lit(8)).alias("n_groups"),
-        F.least(F.length(F.regexp_replace(found, "[A-Za-z0-9]+", "")), F.lit(8)).alias("n_separators"),
-        found.startswith("+").cast("int").alias("plus"),
-        _character(F.right(before, F.lit(1))).alias("before"),
-        _character(after).alias("after"),
-        before.rlike(CUES[kind]).cast("int").alias("cue"),
-    )
+    features = {
+        "n_digits": _binned(F.length(_digits(found))),
+        "n_groups": F.least(F.size(F.split(found, "[^0-9]+")) - 1, F.lit(MOST_GROUPS)),
+        "n_separators": F.least(F.length(F.regexp_replace(found, "[A-Za-z0-9]+", "")), F.lit(MOST_GROUPS)),
+        "plus": found.startswith("+").cast("int"),
+        "before": _character(F.right(span["before"], F.lit(1))),
+        "after": _character(span["after"]),
+        "cue": span["before"].rlike(CUES[kind]).cast("int"),
+    }
+    shown = [(F.lit(0) if name in HIDDEN[kind] else value).alias(name) for name, value in features.items()]
+    return F.struct(F.lit(KINDS.index(kind)).alias("kind"), span["s"].alias("s"), span["e"].alias("e"), strict.alias("strict"), *shown)
 
 
 def spans(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -149,14 +186,21 @@ def spans(docs: DataFrame, text: str = "text") -> DataFrame:
             gate = F.col("_g_email" if kind == "email" else "_g_ip")
             steps[f"_{name}m_{kind}"], steps[f"_{name}g_{kind}"] = _found(patterns[kind], "_text", gate)
     out = out.withColumns(steps)
-    out = out.withColumns({f"_{name}_{kind}": _placed(f"_{name}m_{kind}", f"_{name}g_{kind}") for name in "bl" for kind in KINDS})
+    lists = [f"{name}%s_{kind}" for name in ("_b", "_l") for kind in KINDS]
+
+    def lengths(matches: str, gaps: str) -> Column:
+        return F.transform(matches, lambda found, i: F.length(found) + F.length(F.get(gaps, i)))
+
+    out = out.withColumns({x % "n": lengths(x % "m", x % "g") for x in lists})
+    out = out.withColumns({x % "e": _running(F.col(x % "n"), lambda x, y: x + y) for x in lists})
+    out = out.withColumns({x % "": _placed(x % "m", x % "g", x % "e") for x in lists})
 
     def sure(kind: str) -> Column:
         good = F.filter(f"_b_{kind}", lambda span: passes(kind, span["found"]))
         return F.transform(good, lambda span: F.struct(span["s"].alias("s"), F.lit(KINDS.index(kind)).alias("kind"), span["e"].alias("e")))
 
     def proposed(kind: str) -> Column:
-        return F.transform(f"_l_{kind}", lambda span: _candidate(kind, "_text", span))
+        return F.transform(f"_l_{kind}", lambda span: _candidate(kind, span))
 
     return out.select(
         *[F.col(f"`{c}`") for c in docs.columns],
@@ -244,9 +288,7 @@ def learn(found: DataFrame, precision: float = PRECISION) -> Model:
     each = found.filter(F.size("_candidates") > 0).select(half, F.explode("_candidates").alias("c"))
     cells = each.groupBy("half", "c.kind", *[f"c.{name}" for name in FEATURES])
     cells = cells.agg(F.count("*").alias("n"), F.sum(F.col("c.strict").cast("int")).alias("good"))
-    rows = cells.orderBy("half", "kind", *FEATURES).limit(MAX_CELLS + 1).collect()
-    if len(rows) > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} combinations of features; bin them more coarsely")
+    rows = cells.orderBy("half", "kind", *FEATURES).collect()
     table = np.array([list(row) for row in rows], dtype=np.int64).reshape(-1, len(FEATURES) + 4)
     starts, trees, cuts = [], [], []
     for kind in range(len(KINDS)):
@@ -273,19 +315,40 @@ def _score(model: Model, kind: int, c: Column) -> Column:
     return score
 
 
+def _overlaps(spans_: Column, c: Column) -> Column:
+    """Whether a span overlaps one of a list that is in order and has no overlaps: of those that start ahead of its end
+    only the last has to be looked at, and it is found by halving."""
+    none = F.struct(F.lit(0).alias("low"), F.size(spans_).alias("high"))
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans_) + 1.0)).cast("int"))
+
+    def halve(state: Column, _: Column) -> Column:
+        middle = F.floor((state["low"] + state["high"]) / 2).cast("int")
+        ahead = (state["low"] < state["high"]) & (F.get(spans_, middle)["s"] < c["e"])
+        low = F.when(ahead, middle + 1).otherwise(state["low"])
+        return F.struct(low.alias("low"), F.when(ahead, state["high"]).otherwise(middle).alias("high"))
+
+    last = F.get(spans_, F.aggregate(steps, none, halve)["low"] - 1)
+    return F.coalesce(last["e"] > c["s"], F.lit(False))
+
+
 def chosen(found: DataFrame, model: Model) -> DataFrame:
     """Replace ``_candidates`` by ``_added``: candidates that reach their threshold and touch no base span of the kind."""
+    by_kind = F.array(*[_of_kind(k) for k in range(len(KINDS))])
+    found = _beside(found, _by_kind=by_kind)
 
     def wanted(c: Column) -> Column:
         hit = F.lit(False)
         for kind, least in enumerate(model.thresholds):
             if least is not None:
                 hit = hit | ((c["kind"] == kind) & (_score(model, kind, c) >= least))
-        free = ~F.exists("_base", lambda b: (b["kind"] == c["kind"]) & (b["s"] < c["e"]) & (c["s"] < b["e"]))
-        return hit & free
+        return ~c["strict"] & hit & ~_overlaps(F.get("_by_kind", c["kind"]), c)
 
     added = F.transform(F.filter("_candidates", wanted), lambda c: F.struct(c["s"].alias("s"), c["kind"].alias("kind"), c["e"].alias("e")))
-    return found.withColumns({"_added": F.sort_array(added)}).drop("_candidates")
+    return found.withColumns({"_added": F.sort_array(added)}).drop("_candidates", "_by_kind")
+
+
+def _of_kind(kind: int) -> Column:
+    return F.filter("_base", lambda b: b["kind"] == kind)
 
 
 def _written(spans_: Column) -> Column:
@@ -311,6 +374,37 @@ def find(docs: DataFrame, text: str = "text", precision: float = PRECISION) -> D
     )
 
 
+#: Up to so many spans a text is cut span by span, each time from its start; beyond, it is taken apart once.
+FEW = 32
+
+
+def _replaced_few(names: Column) -> Column:
+    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(state: Column, s: Column) -> Column:
+        gap = F.substring(F.col("_document"), state["at"] + 1, F.greatest(s["s"] - state["at"], F.lit(0)))
+        fresh = s["s"] >= state["at"]
+        mark = F.when(fresh, F.get(names, s["kind"])).otherwise("")
+        return F.struct(F.greatest(state["at"], s["e"]).alias("at"), F.concat(state["out"], gap, mark).alias("out"))
+
+    done = F.aggregate("_all", first, step)
+    return F.concat(done["out"], F.substring(F.col("_document"), done["at"] + 1, F.length("_document")))
+
+
+def _replaced_many(names: Column) -> Column:
+    """Letters outside of all spans and the marks of the spans that start behind all before them, in order of place.
+
+    ``_letters`` are those of the text, ``_reach`` is how far the spans up to each one go.
+    """
+    fresh = F.filter("_all", lambda s, i: s["s"] >= F.coalesce(F.get("_reach", i - 1), F.lit(0)))
+    marks = F.transform(fresh, lambda s: F.struct(s["s"].alias("p"), s["kind"].alias("kind")))
+    covered = F.flatten(F.transform("_all", lambda s: F.sequence(s["s"], s["e"] - 1)))
+    outside = F.array_except(F.sequence(F.lit(0), F.size("_letters") - 1), covered)
+    letters = F.transform(outside, lambda p: F.struct(p.alias("p"), F.lit(-1).alias("kind")))
+    text = lambda x: F.when(x["kind"] < 0, F.get("_letters", x["p"])).otherwise(F.get(names, x["kind"]))
+    return F.array_join(F.transform(F.sort_array(F.concat(letters, marks)), text), "")
+
+
 def redact(docs: DataFrame, text: str = "text", precision: float = PRECISION, marks: Sequence[str] = KINDS) -> DataFrame:
     """The rows with every span, base or added, replaced by its kind in angle brackets. Null texts stay null.
 
@@ -321,16 +415,11 @@ def redact(docs: DataFrame, text: str = "text", precision: float = PRECISION, ma
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_document"))
     picked = chosen(spans(whole, "_document"), model)
     picked = picked.withColumns({"_all": F.sort_array(F.concat("_base", "_added"))})
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     names = F.array(*[F.lit(f"<{mark}>") for mark in marks])
-
-    def step(state: Column, s: Column) -> Column:
-        gap = F.substring(F.col("_document"), state["at"] + 1, F.greatest(s["s"] - state["at"], F.lit(0)))
-        fresh = s["s"] >= state["at"]
-        mark = F.when(fresh, F.get(names, s["kind"])).otherwise("")
-        return F.struct(F.greatest(state["at"], s["e"]).alias("at"), F.concat(state["out"], gap, mark).alias("out"))
-
-    done = F.aggregate("_all", first, step)
-    clean = F.concat(done["out"], F.substring(F.col("_document"), done["at"] + 1, F.length("_document")))
-    picked = picked.withColumns({"_clean": F.when(F.size("_all") > 0, clean).otherwise(F.col("_document"))})
+    ends = F.transform("_all", lambda s: s["e"])
+    many = F.size("_all") > FEW
+    reach = F.when(many, _running(ends, lambda x, y: F.greatest(x, y)))
+    picked = _beside(picked, _reach=reach, _letters=F.when(many, F.split("_document", "")))
+    clean = F.when(many, _replaced_many(names)).when(F.size("_all") > 0, _replaced_few(names)).otherwise(F.col("_document"))
+    picked = picked.withColumns({"_clean": clean})
     return picked.select(*[F.col("_clean").alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns])
