@@ -2,8 +2,8 @@
 
 A window over a whole key puts all its rows into one task. Here a key is cut into chunks (an hour, a day, a block of
 turns): the window runs inside a chunk, each chunk is summed up in one row, the summary rows are scanned per key, and
-what a chunk needs from the ones before it is joined back. A key's summary has one row per chunk, so its size follows
-the calendar and not the traffic.
+what a chunk needs from the ones before it is joined back. Where traffic comes in bursts, ``dealt`` makes chunks of a
+number of rows; chunks of the clock follow the calendar, whatever the traffic.
 
 ``carry_forward`` and ``previous_row`` read their input twice, once for the rows and once for the summaries; on input
 that is dear to make, such as parsed documents, give them a written table.
@@ -15,6 +15,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from donorlake.session import written
+
+#: Rows of a chunk, about.
+CHUNK_ROWS = 100_000
+
 
 def _before(key: str) -> Window:
     return Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -24,6 +29,18 @@ def _with_carry(local: DataFrame, summary: DataFrame, key: str) -> DataFrame:
     return local.join(summary, [key, "_chunk"], "left")
 
 
+def dealt(df: DataFrame, key: str, order: Sequence[str], rows: int = CHUNK_ROWS) -> DataFrame:
+    """The rows with ``_chunk``: their range of (key, order), of about ``rows`` rows each, written out.
+
+    A key that holds most rows, in an hour or a second, has as many ranges as it needs; a range may hold many small
+    keys. Ranges are numbered in order. They come from a sample, which differs from run to run, so the dealt rows are
+    written once and read from there.
+    """
+    parts = -(-max(df.count(), 1) // rows)
+    ranged = df.repartitionByRange(parts, key, *order).withColumn("_chunk", F.spark_partition_id())
+    return written(ranged, "chunks")
+
+
 def carry_forward(
     df: DataFrame, key: str, order: Sequence[str], value: str, chunk: Column, out: str
 ) -> DataFrame:

@@ -124,11 +124,14 @@ def rollup(ledger: DataFrame) -> DataFrame:
     return cube.withColumn("level", F.bit_count("_g").cast("int")).drop("_g")
 
 
-def status_history(rows: DataFrame) -> DataFrame:
-    """Every hook with the status before it, by arrival. ``is_regression`` marks a refund that was paid again."""
-    history = running.previous_row(
-        rows, "contributionid", ARRIVAL, ["status", "created"], F.date_trunc("hour", F.col("received_at"))
-    )
+def status_history(rows: DataFrame, chunk_rows: int = running.CHUNK_ROWS) -> DataFrame:
+    """Every hook with the status before it, by arrival. ``is_regression`` marks a refund that was paid again.
+
+    Rows are dealt in chunks of a number of rows, so a burst of hooks of one contribution is spread over tasks. They
+    are read twice; give rows that are dear to make as a written table.
+    """
+    chunks = running.dealt(rows, "contributionid", ARRIVAL, chunk_rows)
+    history = running.previous_row(chunks, "contributionid", ARRIVAL, ["status", "created"], F.col("_chunk"))
     back = (F.col("previous_status") == "Refunded") & (F.col("status") == "Paid")
     late = F.col("created") < F.col("previous_created")
     return history.withColumns(

@@ -131,9 +131,12 @@ def test_acquisitions(spark):
     assert len(got["stripe", "2"]["ab_tests"]) == 1 and len(got["stripe", "3"]["ab_tests"]) == 2
     assert got["paypal-capture", "2"]["platform"] == "Contribution" and got["paypal-capture", "2"]["visit_id"] is None
     path = shared_dir(spark, "feed")
-    acquisitions.write_events(feed, path)
+    acquisitions.write_events(feed, path, 0)
+    for _ in range(2):  # a batch that runs again replaces itself and leaves the other alone
+        acquisitions.write_events(feed.where("payment_source = 'stripe'"), path, 1)
     by_day = spark.read.parquet(path)
-    assert by_day.count() == len(got) and by_day.where("day is null").count() == 0
+    twice = sum(source == "stripe" for source, _ in got)
+    assert by_day.count() == len(got) + twice and by_day.where("day is null").count() == 0
     errors = {(r["payment_source"], r["paymentid"]): r["error"] for r in acquisitions.errors(feed).collect()}
     assert errors["paypal-execute", "4"] == "paypal-execute: unable to get amount"
     assert errors["paypal-capture", "5"] == "paypal-capture: unable to get transaction"
@@ -216,3 +219,75 @@ def test_intcmp_comes_from_the_query_part(spark):
     df = spark.createDataFrame([(i, None, None, u, "pv", "", None) for i, u in enumerate(urls)], "i int, u string, o string, url string, pv string, bw string, ch string")
     got = beacons.visitor_dimensions(df, "u", "o", "url", "pv", "bw", "ch").orderBy("i").collect()
     assert [r["intcmp"] for r in got] == ["abc", "d", None, None, None] and got[0]["browser_id"] is None and got[0]["pageview_id"] == "pv"
+
+
+PAYMENT_LOG = "kind string, document string, received_at timestamp, delivery_id bigint, given_id string, contributor_id string"
+REQUEST_LOG = "kind string, document string, asked_at timestamp, charge_id string, session_platform string, session_iduser string, allocations array<struct<testName:string,testSlug:string,variantName:string,variantSlug:string>>"
+KEY = "00000000-0000-4000-8000-000000000001"
+
+
+def charge(n):
+    return ("stripe", f'{{"id":"ch_{n}","amount":500,"currency":"gbp","created":1,"receipt_email":"e{n}","source":{{"country":"c"}}}}', T0, n, KEY, "x")
+
+
+def paid(n, kind="paypal-execute", state="approved", total='"5.00"', email='"e"', custom=f'"{KEY}"'):
+    transaction = f'{{"amount":{{"total":{total},"currency":"GBP"}},"custom":{custom}}}'
+    document = f'{{"id":"P{n}","state":"{state}","payer":{{"payer_info":{{"email":{email},"country_code":"c"}}}},"transactions":[{transaction}]}}'
+    return (kind, document, T0, n, None, "x")
+
+
+def form(n, token='"t"', minutes=5):
+    document = f'{{"name":"N{n}","currency":"gbp","amount":5,"email":"m","token":{token},"pageviewId":"pv{n}","cmp":"c{n}"}}'
+    return ("stripe", document, T0 - dt.timedelta(minutes=minutes), f"ch_{n}", None, None, [])
+
+
+def came_back(n, minutes=5):
+    url = f"https://x/execute?{'' if n is None else f'paymentId=P{n}&'}token=T&PayerID=Y&pvid=pv{n}"
+    return ("paypal-execute", url, T0 - dt.timedelta(minutes=minutes), None, "web", "u", [])
+
+
+def captured(n):
+    return ("paypal-capture", f'{{"paymentId":"P{n}","platform":"ios","idUser":"app"}}', T0, None, None, None, [])
+
+
+PAYMENTS = [
+    charge(1), charge(2), charge(3), paid(4), paid(5), paid(6, state="failed"), paid(7, total='"n/a"'), paid(8, custom='"no-id"'),
+    paid(9, email="null"), paid(10, "paypal-capture", "Completed"), paid(11, "paypal-capture", "approved"), ("gift", "{}", T0, 12, None, None),
+]
+REQUESTS = [
+    form(1), form(1), form(2, "null"), form(90), came_back(4), came_back(None), came_back(6), came_back(7), came_back(8), came_back(9),
+    captured(10), captured(11), captured(5), ("stripe", "no json", T0, "ch_3", None, None, []),
+]
+OUTCOMES = {
+    1: "stored", 2: "no request", 3: "no request", 4: "not stored", 5: "no request", 6: "not approved", 7: "not storable",
+    8: "not storable", 9: "not storable", 10: "stored", 11: "not approved", 12: "not approved",
+}
+
+
+def logs(spark):
+    from donorlake.sources import records, requests
+
+    payments = records.read_payments(spark.createDataFrame(PAYMENTS, PAYMENT_LOG))
+    return payments, requests.read_requests(spark.createDataFrame(REQUESTS, REQUEST_LOG))
+
+
+def test_every_payment_and_request_is_accounted_for(spark):
+    payments, asked = logs(spark)
+    contributions = attribution.contributions(payments, asked).cache()
+    stored = F.col("delivery_id") != 4
+    told = attribution.with_outcomes(contributions, stored).collect()
+    assert {r["delivery_id"]: r["outcome"] for r in told} == OUTCOMES and len(told) == len(PAYMENTS)
+    by_id = {r["delivery_id"]: r for r in told}
+    assert (by_id[1]["name"], by_id[1]["cmp"], by_id[1]["pageview_id"]) == ("N1", "c1", "pv1")
+    assert (by_id[4]["iduser"], by_id[4]["platform"], by_id[10]["iduser"], by_id[10]["platform"]) == ("u", "web", "app", "ios")
+    assert [by_id[k]["reason"] for k in (7, 8, 9)] == ["amount", "contribution id", "payer"]
+    rows = attribution.accounts(contributions, payments, asked, stored).collect()
+    total = {side: sum(r["n"] for r in rows if r["side"] == side) for side in ("payment", "request")}
+    assert total == {"payment": len(PAYMENTS), "request": len(REQUESTS)}
+    requests_ = {(r["kind"], r["outcome"], r["reason"]): r["n"] for r in rows if r["side"] == "request"}
+    assert requests_["stripe", "rejected", "token"] == 1 and requests_["stripe", "rejected", "not json"] == 1
+    assert requests_["stripe", "repeated", "repeated"] == 1 and requests_["stripe", "no payment", "no payment"] == 1
+    assert requests_["paypal-execute", "rejected", "paymentId"] == 1 and requests_["paypal-capture", "no payment", "no payment"] == 1
+    dead = {(r["raw"], r["stage"]) for r in attribution.dead_letters(contributions, asked, stored).collect()}
+    lost = {PAYMENTS[k - 1][1] for k, outcome in OUTCOMES.items() if outcome != "stored"}
+    assert dead == {(raw, "payment") for raw in lost} | {(REQUESTS[k][1], "request") for k in (2, 5, 13)}

@@ -95,6 +95,23 @@ def test_previous_row(spark):
     assert same(got.select(want.columns), want)
 
 
+def test_a_burst_is_dealt_in_chunks_of_a_number_of_rows(spark):
+    """One key with nearly all rows, all within a second, and some small keys."""
+    hour = F.timestamp_seconds(F.lit(1_700_000_000))
+    df = spark.range(60_000).select(
+        F.when(F.col("id") % 50 == 0, F.concat(F.lit("k"), F.col("id") % 7)).otherwise("hot").alias("key"),
+        hour.alias("ts"), ((F.col("id") * 48_271) % 60_013).alias("id"), (F.col("id") % 11).alias("value"),
+    )
+    chunks = running.dealt(df, "key", ["ts", "id"], 5_000)
+    sizes = [r["count"] for r in chunks.groupBy("key", "_chunk").count().collect()]
+    assert max(sizes) <= 10_000 and sum(sizes) == 60_000
+    along = Window.partitionBy("key").orderBy("ts", "id")
+    want = df.withColumns({"previous_value": F.lag("value").over(along), "previous_id": F.lag("id").over(along)})
+    got = running.previous_row(chunks, "key", ["ts", "id"], ["value", "id"], F.col("_chunk"))
+    assert same(got.select(want.columns), want)
+    assert running.dealt(df.limit(0), "key", ["ts", "id"]).count() == 0
+
+
 def test_sessions(spark):
     df = log(spark).where("key is not null")
     want = set()
