@@ -493,6 +493,9 @@ SELECT "testSlug", "variantName", count(DISTINCT u) AS visitors, count(DISTINCT
   CAST(count(DISTINCT u) FILTER (WHERE kind = 'purchase') AS DOUBLE) / count(DISTINCT u) AS rate
 FROM allocs GROUP BY 1, 2"""
 
+ORACLE["ab_exposure_by_day"] = f"""WITH {_REQUESTS},{_TESTS}
+SELECT "testSlug", "variantName", count(DISTINCT u) AS visitors, true AS near FROM allocs GROUP BY 1, 2"""
+
 ORACLE["ab_sticky_id"] = """WITH RECURSIVE seen AS (
   SELECT CAST(user_id AS VARCHAR) AS b, CAST(floor(epoch(ts)) AS BIGINT) AS sec, count(*) AS n FROM events GROUP BY 1, 2
 ),

@@ -513,6 +513,17 @@ def ab_exposure(spark: SparkSession, sf: str) -> DataFrame:
     return experiments.exposure(found.withColumn("paid", F.col("kind") == "purchase"), "u", "paid")
 
 
+@query
+def ab_exposure_by_day(spark: SparkSession, sf: str) -> DataFrame:
+    """Exposure from daily sketches next to the exact one: whether it is within five hundredths, over all days."""
+    found = allocation.allocations(_visitors(spark, sf), parameter="ab", experiments=TESTS)
+    days = written(experiments.daily_sketches(found, "u", "ts"), "sketches")
+    sketched = experiments.exposure_of_sketches(days).withColumnRenamed("visitors", "sketched")
+    exact = experiments.exposure(found.withColumn("paid", F.lit(False)), "u", "paid")
+    near = F.abs(F.col("sketched") - F.col("visitors")) <= F.greatest(0.05 * F.col("visitors"), F.lit(1))
+    return exact.join(sketched, ["testSlug", "variantName"]).select("testSlug", "variantName", "visitors", near.alias("near"))
+
+
 @query
 def ab_sticky_id(spark: SparkSession, sf: str) -> DataFrame:
     requests_ = table(spark, sf, "events").select(F.col("user_id"), F.col("ts").cast("timestamp").alias("ts"))

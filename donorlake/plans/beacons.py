@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from donorlake import fixed_values as fixed
 from donorlake.functions import cookies, money, urls
+from donorlake.functions.stages import computed_once
 from donorlake.operators import folds
 
 
@@ -94,7 +95,7 @@ def visitor_dimensions(
     used = (user_cookie, signed_out_cookie, url, pageview, browser_cookie, charge)
     campaign = F.regexp_extract(url, r"^[^?#]*\?[^#]*?INTCMP=([^&#]*)", 1)
     signed_in: Column = F.col("_user.id").isNotNull()
-    return requests.withColumn("_user", cookies.cookie_user(F.col(user_cookie))).select(
+    return computed_once(requests, {"_user": cookies.cookie_user(F.col(user_cookie))}).select(
         *[c for c in requests.columns if c not in used],
         signed_in.alias("signed_in"),
         (F.col(signed_out_cookie).isNotNull() & ~signed_in).alias("signed_out"),

@@ -38,3 +38,21 @@ def approximate_exposure(visitors: DataFrame, visitor: str, relative_error: floa
         .groupBy("testSlug", "variantName")
         .agg(F.approx_count_distinct(visitor, relative_error).alias("visitors"))
     )
+
+
+def daily_sketches(visitors: DataFrame, visitor: str, time: str, bits: int = 12) -> DataFrame:
+    """Visitors per test, variant and day as sketches that add up: a kept day is never counted again.
+
+    A sketch has a bounded size (2^bits registers); its relative error is about 1.04 / sqrt(2^bits).
+    """
+    rows = allocation_rows(visitors, visitor, time)
+    return rows.groupBy("testSlug", "variantName", F.to_date(time).alias("day")).agg(
+        F.hll_sketch_agg(visitor, F.lit(bits)).alias("visitors")
+    )
+
+
+def exposure_of_sketches(days: DataFrame, *keys: str) -> DataFrame:
+    """Distinct visitors over all given days, per test and variant (and further keys), from the days' sketches."""
+    return days.groupBy("testSlug", "variantName", *keys).agg(
+        F.hll_sketch_estimate(F.hll_union_agg("visitors")).alias("visitors")
+    )
