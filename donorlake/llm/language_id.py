@@ -123,7 +123,10 @@ def sample(docs: DataFrame, trains: Column, text: str = "text", lang: str = "lan
     ranked = ranked.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id")))
     ids = [row["doc_id"] for row in ranked.filter(F.col("at") <= rows).select("doc_id").distinct().collect()]
     found = labelled.filter(F.col("doc_id").isin(ids)) if ids else labelled.filter("false")
-    picked = found.select("doc_id", F.col(lang).alias("lang"), F.col(text).alias("text"), order.alias("place")).collect()
+    found = found.select("doc_id", F.col(lang).alias("lang"), F.col(text).alias("text"), order.alias("place"))
+    # An id may have any number of rows, so these are bounded once more.
+    again = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id", F.xxhash64("text")))
+    picked = found.withColumn("at", again).filter(F.col("at") <= rows).drop("at").collect()
     picked.sort(key=lambda row: (row["place"], row["doc_id"], row["lang"], row["text"]))
     return [row["text"] for row in picked], [row["lang"] for row in picked]
 
