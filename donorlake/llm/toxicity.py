@@ -168,8 +168,9 @@ def sample(docs: DataFrame, labels: DataFrame, trains: Column, text: str = "text
     # Rows of one id come together, so they count together.
     letters = fits.groupBy("doc_id").agg(F.sum(F.length("text")).alias("letters"))
     ranked = marked.join(letters, "doc_id").withColumn("place", order)
-    ranked = ranked.withColumn("at", F.row_number().over(Window.partitionBy("label").orderBy("place", "doc_id")))
-    first = ranked.filter(F.col("at") <= F.when(F.col("label") == 1, TOXIC).otherwise(OTHERS))
+    # Each task keeps the first rows of a label, and only those are put in order together.
+    first, others = (ranked.filter(F.col("label") == label).orderBy("place", "doc_id").limit(n) for label, n in ((1, TOXIC), (0, OTHERS)))
+    first = first.unionByName(others)
     # At most TOXIC + OTHERS rows from here on, which is a bound for the window and the broadcast as well.
     up_to = F.sum("letters").over(Window.partitionBy("label").orderBy("letters", "place", "doc_id"))
     chosen = first.withColumn("up_to", up_to).filter(F.col("up_to") <= LETTERS).select("doc_id", "label", "place")

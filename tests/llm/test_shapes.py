@@ -71,3 +71,20 @@ def test_vectors_that_take_no_part(spark):
 @pytest.mark.parametrize("name", QUERIES)
 def test_queries_run(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_an_id_with_very_many_rows_stays_within_the_sample(spark):
+    docs = spark.range(3_000).select(F.lit(1).alias("doc_id"), F.concat(F.lit("some text "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    texts, langs = language_id.sample(docs, F.lit(True), rows=50)
+    assert len(texts) == len(set(texts)) == len(langs) == 50
+    assert (texts, langs) == language_id.sample(docs.repartition(5, "text"), F.lit(True), rows=50)
+
+
+def test_labelled_rows_are_limited_ahead_of_the_shuffle(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(toxicity.F, "broadcast", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    docs = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("one text.").alias("text"))
+    labels = spark.range(100).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("toxic"))
+    texts, marks = toxicity.sample(docs, labels, F.lit(True))
+    assert len(texts) == 100 and sum(marks) == 50
+    assert plans[0].count("TakeOrderedAndProject") == 2
