@@ -447,6 +447,16 @@ SELECT country_group, in_amount_test,
     ELSE cents IN (2500, 5000, 10000, 25000) END AS is_preset, count(*) AS n
 FROM picked GROUP BY 1, 2, 3"""
 
+ORACLE["preset_monthly"] = f"""WITH {_AMOUNTS},
+picked AS (
+  SELECT *, ([2, 5, 10, 20, 25, 50, 100])[CAST(c % 7 + 1 AS INTEGER)] AS v,
+    CASE WHEN c % 3 = 0 THEN 'au' WHEN c % 3 = 1 THEN 'uk' ELSE 'none' END AS country_group
+  FROM asked
+)
+SELECT country_group, CASE WHEN c % 10 = 0 THEN 25 WHEN country_group = 'au' THEN 100 ELSE 50 END AS preselected,
+  CASE WHEN country_group = 'au' THEN v IN (5, 10, 25, 50) ELSE v IN (2, 5, 10, 20) END AS is_preset, count(*) AS n
+FROM picked GROUP BY 1, 2, 3"""
+
 _RULES = {
     "text_required": "text <> ''",
     "text_length": "length(text) BETWEEN 200 AND 4000",
@@ -717,6 +727,11 @@ ORACLE["stream_receipts_outbox"] = (
     f"SELECT address, created, amount, currency, edition, name, extension FROM ({ORACLE['receipts_outbox']})"
 )
 ORACLE["stream_consent_outbox"] = ORACLE["consent_outbox"]
+ORACLE["acquisition_messages"] = f"""SELECT paymentid,
+  CASE component_type WHEN 'AcquisitionsEpic' THEN 'ACQUISITIONS_EPIC' WHEN 'AcquisitionsThrasher' THEN 'ACQUISITIONS_THRASHER' END AS component_type,
+  CASE source WHEN 'PartnerWeb' THEN 'PARTNER_WEB' WHEN 'PartnerApps' THEN 'PARTNER_APPS' END AS source,
+  'ONE_OFF' AS payment_frequency, upper(platform) AS platform FROM ({ORACLE['acquisition_events']})"""
+
 ORACLE["stream_acquisitions"] = f"""SELECT a.paymentid, a.payment_source, a.currency, a.amount, a.campaign_codes, a.ab_tests,
   a.platform, d.month, d.day FROM ({ORACLE['acquisition_events']}) a
 JOIN (WITH {_BASE} SELECT CASE WHEN feed = 'Stripe' THEN 'ch_' ELSE 'PAY-' END || k AS paymentid,

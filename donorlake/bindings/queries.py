@@ -311,6 +311,14 @@ def acquisition_events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def acquisition_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """What the outbound text says of component and source, as it spells them."""
+    sent = acquisitions.messages(acquisitions.events(_acquisition_feed(spark, sf)))
+    said = lambda name: F.get_json_object("payload", f"$.{name}").alias(name)
+    return sent.select("paymentid", *map(said, ("component_type", "source", "payment_frequency", "platform")))
+
+
 @query
 def acquisition_errors(spark: SparkSession, sf: str) -> DataFrame:
     return acquisitions.errors(_acquisition_feed(spark, sf))
@@ -530,6 +538,21 @@ def ab_sticky_id(spark: SparkSession, sf: str) -> DataFrame:
     return sticky.assignments(requests_, "user_id", "ts")
 
 
+@query
+def preset_monthly(spark: SparkSession, sf: str) -> DataFrame:
+    """Monthly buttons and the one that is pressed at first, by country group."""
+    asked = _amount_requests(spark, sf)
+    group = F.when(F.col("c") % 3 == 0, "au").when(F.col("c") % 3 == 1, "uk")
+    choices = F.array(*[F.lit(v) for v in (2, 5, 10, 20, 25, 50, 100)])
+    picked = F.element_at(choices, (F.col("c") % 7 + 1).cast("int")).cast("decimal(18,2)")
+    none = F.lit(None).cast("array<int>")
+    return asked.select(
+        F.coalesce(group, F.lit("none")).alias("country_group"),
+        forms.preselected_amount(group, F.when(every("c", 10), 25)).alias("preselected"),
+        forms.is_preset(picked, group, none, monthly=True).alias("is_preset"),
+    ).groupBy("country_group", "preselected", "is_preset").agg(F.count("*").alias("n"))
+
+
 # --- counters ---------------------------------------------------------------------------------------------------------------
 
 

@@ -102,9 +102,9 @@ def preselected_amount(country_group: Column, override: Column) -> Column:
     )
 
 
-def is_preset(amount: Column, country_group: Column, override: Column) -> Column:
+def is_preset(amount: Column, country_group: Column, override: Column, monthly: bool = False) -> Column:
     """Whether an amount is one of the buttons shown: the experiment's values, if it has any, else the group's."""
-    shown = F.coalesce(override, preset_amounts(country_group))
+    shown = F.coalesce(override, preset_amounts(country_group, monthly))
     return F.exists(shown, lambda v: v.cast("decimal(18,2)") == amount)
 
 
