@@ -6,7 +6,8 @@ put in the order of the keys, and are taken from the smallest key on until the w
 
 Keys come from a checksum of the document and a seed, so a rerun draws the same documents. The order within a source is
 never made in one task: keys are cut into ranges, as many as the source has rows for, and each range is sorted alone;
-what comes before a range is a sum over range totals.
+what comes before a range is a sum over range totals. Ranges are cut where the keys are: how many of a source's keys lie
+below a point follows from how many of its documents have which quality, so sources of poor documents have even ranges.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from donorlake.llm.common import cut, n_words
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
 ROWS_PER_RANGE = 20_000
+#: Qualities are told apart in steps of this size when keys are cut into ranges.
+QUALITY_STEPS = 200
 
 
 def quality_weight(text: Column) -> Column:
@@ -65,6 +68,27 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     return per.select("source", "source_size", "n_docs", target.alias("target"))
 
 
+def key_ranges(rows: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """``source, quality, key`` and whatever else ``rows`` has, with ``_range``: the place of the key's range in its source.
+
+    A key of a document of quality q lies below x with the chance ``1 - exp(-q * x)``, so the share of a source's keys
+    below x is the mean of that over its documents, and x goes to the range that this share falls into. The share
+    grows with the key, so ranges keep the order of the keys. What is kept of a source is its count per step of
+    quality: whole numbers, the same in any rerun, and ``QUALITY_STEPS`` + 1 of them at most.
+    """
+    step = F.floor(F.col("quality") * QUALITY_STEPS)
+    counts = rows.groupBy("source", step.alias("step")).agg(F.count("*").alias("n"))
+    counts = counts.groupBy(F.col("source").alias("_s")).agg(
+        F.sort_array(F.collect_list(F.struct("step", "n"))).alias("_steps"), F.sum("n").alias("_n")
+    )
+    rows = rows.join(counts, F.col("source").eqNullSafe(F.col("_s")))
+    below = F.aggregate(
+        "_steps", F.lit(0.0), lambda total, s: total + s["n"] * (1 - F.exp(-F.col("key") * (s["step"] + 0.5) / QUALITY_STEPS))
+    )
+    n_ranges = F.ceil(F.col("_n") / rows_per_range)
+    return rows.withColumns({"_range": F.floor(below / F.col("_n") * n_ranges)}).drop("_s", "_steps", "_n")
+
+
 def draw(
     docs: DataFrame,
     seed: int = 17,
@@ -91,10 +115,7 @@ def draw(
     draws = -F.log(uniform([F.col("doc_id"), F.col("digest")], seed)) / F.col("quality")
     sizes = cut(sizes.withColumns({"key": draws}))
     targets = source_targets(sizes, weights, most).withColumnsRenamed({"source": "_source"})
-    rows = sizes.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    # Keys lie in (0, inf); 1 - exp(-key) spreads them over (0, 1) about evenly.
-    n_ranges = F.ceil(F.col("n_docs") / rows_per_range)
-    rows = rows.withColumns({"_range": F.floor((1 - F.exp(-F.col("key"))) * n_ranges)})
+    rows = key_ranges(sizes, rows_per_range).join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     totals = rows.groupBy("source", "_range").agg(F.sum("size").alias("_words"))
     so_far = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(

@@ -239,6 +239,22 @@ def test_mix_is_whole_and_repeatable(spark):
     assert mixed.columns == docs.columns and mixed.count() == mixing.draw(docs).toPandas()["epochs"].sum()
 
 
+@pytest.mark.parametrize("text", ["1234567 89", "words and 12345678901234567890", "only words"])
+def test_key_ranges_are_even_at_any_quality(spark, text):
+    """A source whose documents are all poor, or poor and good, has no range with most of its rows."""
+    poor = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("hot").alias("source"), F.lit(text).alias("text"))
+    good = spark.range(3_000).select(F.col("id").alias("doc_id"), F.lit("hot").alias("source"), F.lit("good words only").alias("text"))
+    none = spark.range(2_000).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("source"), F.lit(text).alias("text"))
+    rows = poor.unionByName(good).unionByName(none).withColumn("quality", mixing.quality_weight(F.col("text")))
+    rows = rows.withColumn("key", -F.log(mixing.uniform([F.col("doc_id"), F.col("text")], 17)) / F.col("quality"))
+    ranges = mixing.key_ranges(rows, 1_000).groupBy("source", "_range").agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+    found = [r.asDict() for r in ranges.orderBy("source", "_range").collect()]
+    assert sum(r["n"] for r in found) == 25_000
+    assert max(r["n"] for r in found) <= 1_300 and len(found) == 25
+    for one, other in zip(found, found[1:]):
+        assert one["source"] != other["source"] or one["hi"] < other["lo"]
+
+
 def test_packing_is_a_round_trip(spark, documents):
     import public_tokenizers
     from tokenizers import Tokenizer
