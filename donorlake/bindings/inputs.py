@@ -12,7 +12,7 @@ from donorlake import fixed_values as fixed
 from donorlake.functions.text import uuid_text
 from donorlake.operators import allocation
 from donorlake.session import configure
-from donorlake.sources import records, requests, webhooks
+from donorlake.sources import hits, records, requests, webhooks
 
 CURRENCIES = ("GBP", "USD", "AUD", "EUR")
 STRIPE_PRIORITIES = ("1-URGENT", "2-HIGH", "5-LOW")
@@ -542,10 +542,52 @@ def beacons(events: DataFrame) -> DataFrame:
     )
 
 
+def hit_log(events: DataFrame) -> DataFrame:
+    """Hits as a browser sends them: a view opens the checkout, a purchase is its last step, an error is an event.
+
+    Some texts are no JSON, some are of a type that isn't known, some lack or spoil a field that their kind needs.
+    """
+    step, spoilt = F.col("step").isNotNull(), every("event_id", 97)
+    sent = (
+        F.when(F.col("kind") == "view", F.array(F.lit(hits.PAGE_VIEW), F.lit(hits.CHECKOUT)))
+        .when(F.col("kind") == "purchase", F.array(F.lit(hits.CHECKOUT), F.lit(hits.PURCHASE)))
+        .otherwise(F.array(F.when(step, hits.CHECKOUT).otherwise(hits.EVENT)))
+    )
+    rows = beacons(events).withColumn("sent", F.explode(sent))
+    view, event, checkout, purchase = (F.col("sent") == k for k in (hits.PAGE_VIEW, hits.EVENT, hits.CHECKOUT, hits.PURCHASE))
+    document = F.to_json(
+        F.struct(
+            F.when(every("event_id", 101), "timing").when(view, "pageview").otherwise("event").alias("hitType"),
+            F.col("pageview_id").alias("pageviewId"),
+            F.col("browser_id").cast("string").alias("clientId"),
+            F.when(checkout, "Checkout").when(purchase, "Payment").when(event, "Form").alias("eventCategory"),
+            F.when(purchase, "Contribute").when(checkout | (event & ~spoilt), F.col("kind")).alias("eventAction"),
+            F.when(purchase, "purchase").alias("eventLabel"),
+            F.when(event, F.col("kk")).alias("eventValue"),
+            F.when(checkout | purchase, F.col("sent")).alias("productAction"),
+            F.when(checkout, F.when(spoilt, F.lit(9)).otherwise(F.col("step"))).alias("step"),
+            F.when(purchase & ~spoilt, F.col("price")).alias("revenue"),
+            F.when(purchase, F.col("currency")).alias("currency"),
+        )
+    )
+    no_json = F.concat(F.lit("not json "), F.col("event_id").cast("string"))
+    return rows.select(
+        "event_id", "ts", "platform", "do_not_track", "analytics_off", F.when(every("event_id", 89), no_json).otherwise(document).alias("document")
+    )
+
+
+def read_hits(events: DataFrame) -> DataFrame:
+    return hits.read_hits(hit_log(events))
+
+
 def checkout_beacons(events: DataFrame) -> DataFrame:
     from donorlake.plans.beacons import with_consent
 
-    return with_consent(beacons(events)).where(F.col("step").isNotNull())
+    return with_consent(read_hits(events)).where(F.col("kind") == hits.CHECKOUT)
+
+
+def purchase_beacons(events: DataFrame) -> DataFrame:
+    return read_hits(events).where(F.col("kind") == hits.PURCHASE)
 
 
 def _form_state(df: DataFrame) -> DataFrame:

@@ -174,7 +174,49 @@ beacons AS (
 _BEACONS = _BEACONS.replace(_REQUESTS, _REQUESTS[: _REQUESTS.index(",\nreq AS")])
 
 _CHECKOUT = f"""{_BEACONS},
-checkout AS (SELECT * FROM beacons WHERE step IS NOT NULL AND NOT opted_out)"""
+checkout AS (
+  SELECT * FROM beacons
+  WHERE step IS NOT NULL AND NOT opted_out AND event_id % 89 <> 0 AND event_id % 97 <> 0 AND event_id % 101 <> 0
+)"""
+
+_PURCHASES = f"""{_BEACONS},
+purchases AS (
+  SELECT * FROM beacons
+  WHERE kind = 'purchase' AND value_minor IS NOT NULL AND event_id % 89 <> 0 AND event_id % 97 <> 0 AND event_id % 101 <> 0
+)"""
+
+_HITS = f"""{_BEACONS},
+sent AS (
+  SELECT *, 'pageview' AS hit FROM beacons WHERE kind = 'view'
+  UNION ALL SELECT *, 'checkout' FROM beacons WHERE step IS NOT NULL
+  UNION ALL SELECT *, 'purchase' FROM beacons WHERE kind = 'purchase'
+  UNION ALL SELECT *, 'event' FROM beacons WHERE step IS NULL
+),
+spoilt AS (
+  SELECT *, event_id % 97 = 0 AS odd, CASE
+    WHEN event_id % 89 = 0 THEN 'not json'
+    WHEN event_id % 101 = 0 THEN 'hit_type'
+    WHEN event_id % 97 = 0 AND hit = 'checkout' THEN 'step'
+    WHEN hit = 'purchase' AND (event_id % 97 = 0 OR value_minor IS NULL) THEN 'price'
+    WHEN event_id % 97 = 0 AND hit = 'event' THEN 'action'
+  END AS problem FROM sent
+),
+hits AS (
+  SELECT *, CASE WHEN problem IS NULL THEN hit END AS hit_kind,
+    CASE WHEN event_id % 89 = 0 THEN 'not json ' || event_id ELSE
+    '{{"hitType":"' || CASE WHEN event_id % 101 = 0 THEN 'timing' WHEN hit = 'pageview' THEN 'pageview' ELSE 'event' END
+    || '","pageviewId":"' || pageview_id || '","clientId":"' || browser_id || '"'
+    || CASE hit
+      WHEN 'checkout' THEN ',"eventCategory":"Checkout","eventAction":"' || kind || '","productAction":"checkout","step":'
+        || CASE WHEN odd THEN 9 ELSE step END
+      WHEN 'purchase' THEN ',"eventCategory":"Payment","eventAction":"Contribute","eventLabel":"purchase","productAction":"purchase"'
+        || CASE WHEN odd THEN '' ELSE coalesce(',"revenue":' || CAST(CAST(price AS DECIMAL(18,2)) AS VARCHAR), '') END
+        || ',"currency":"' || lower(currency) || '"'
+      WHEN 'event' THEN ',"eventCategory":"Form"' || CASE WHEN odd THEN '' ELSE ',"eventAction":"' || kind || '"' END
+        || coalesce(',"eventValue":' || kk, '')
+      ELSE '' END || '}}' END AS raw
+  FROM spoilt
+)"""
 
 _FORM = "CASE WHEN browser_id % 2 = 0 THEN '/pay' ELSE '/register' END AS form_action"
 _FIELDS = "['name', 'email', 'amount', 'postcode']"
@@ -582,12 +624,18 @@ ORACLE["top_form_errors"] = f"""WITH {_FORMS}
 SELECT label, count(*) AS n FROM (SELECT * FROM submit_events UNION ALL SELECT * FROM abandon_events)
 WHERE action IN ('submit:error', 'abandoned:empty') GROUP BY label ORDER BY n DESC, label LIMIT 5"""
 
-ORACLE["beacon_revenue"] = f"""WITH {_BEACONS}
-SELECT currency, count(*) AS n, {_money('sum(value_minor)')} AS total FROM beacons WHERE kind = 'purchase' GROUP BY 1"""
+ORACLE["beacon_hits"] = f"""WITH {_HITS}
+SELECT hit_kind AS kind, problem, count(*) AS n FROM hits GROUP BY 1, 2"""
+
+ORACLE["beacon_dead_letters"] = f"""WITH {_HITS}
+SELECT raw, 'beacon' AS feed, problem AS reason, 'parse-error' AS stage FROM hits WHERE problem IS NOT NULL"""
+
+ORACLE["beacon_revenue"] = f"""WITH {_PURCHASES}
+SELECT currency, count(*) AS n, {_money('sum(value_minor)')} AS total FROM purchases GROUP BY 1"""
 
-ORACLE["beacon_vs_ledger"] = f"""WITH {_LEDGER},{_BEACONS},
+ORACLE["beacon_vs_ledger"] = f"""WITH {_LEDGER},{_PURCHASES},
 seen AS (
-  SELECT currency, count(*) AS beacons, {_money('sum(value_minor)')} AS reported FROM beacons WHERE kind = 'purchase' GROUP BY 1
+  SELECT currency, count(*) AS beacons, {_money('sum(value_minor)')} AS reported FROM purchases GROUP BY 1
 ),
 got AS (
   SELECT cur AS currency, count(*) AS payments, {_money('sum(minor)')} AS paid FROM ledger WHERE status = 'Paid' GROUP BY 1

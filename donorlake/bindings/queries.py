@@ -14,7 +14,7 @@ from donorlake.functions.text import full_name
 from donorlake.operators import allocation, running, sticky
 from donorlake.plans import acquisitions, attribution, beacons, counters, experiments, forms, ledger, visitors
 from donorlake.session import written
-from donorlake.sources import records, requests
+from donorlake.sources import hits, records, requests
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -572,6 +572,18 @@ def metric_rates(spark: SparkSession, sf: str) -> DataFrame:
 # --- beacons and forms ------------------------------------------------------------------------------------------------------
 
 
+@query
+def beacon_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Every hit is of one kind or was turned away for one reason."""
+    return inputs.read_hits(table(spark, sf, "events")).groupBy("kind", "problem").agg(F.count("*").alias("n"))
+
+
+@query
+def beacon_dead_letters(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits that were turned away, each with its text."""
+    return hits.rejected(inputs.read_hits(table(spark, sf, "events")))
+
+
 @query
 def checkout_funnel(spark: SparkSession, sf: str) -> DataFrame:
     return beacons.funnel(inputs.checkout_beacons(table(spark, sf, "events")))
@@ -606,7 +618,7 @@ def top_form_errors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _purchases(spark: SparkSession, sf: str) -> DataFrame:
-    return inputs.beacons(table(spark, sf, "events")).where(F.col("kind") == "purchase")
+    return inputs.purchase_beacons(table(spark, sf, "events"))
 
 
 @query
