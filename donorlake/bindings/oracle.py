@@ -624,6 +624,9 @@ ORACLE["top_form_errors"] = f"""WITH {_FORMS}
 SELECT label, count(*) AS n FROM (SELECT * FROM submit_events UNION ALL SELECT * FROM abandon_events)
 WHERE action IN ('submit:error', 'abandoned:empty') GROUP BY label ORDER BY n DESC, label LIMIT 5"""
 
+ORACLE["stream_top_form_errors"] = f"""WITH {_FORMS}
+SELECT label, count(*) AS n FROM submit_events WHERE action = 'submit:error' GROUP BY label ORDER BY n DESC, label LIMIT 5"""
+
 ORACLE["beacon_hits"] = f"""WITH {_HITS}
 SELECT hit_kind AS kind, problem, count(*) AS n FROM hits GROUP BY 1, 2"""
 

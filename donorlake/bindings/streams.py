@@ -17,6 +17,7 @@ from donorlake.streaming import folded, jobs
 
 
 BATCHES = 4
+LABELS_TRACKED = 1000
 
 
 def _stream(spark: SparkSession, sf: str, name: str, work: str, order: Column | None = None) -> DataFrame:
@@ -200,6 +201,19 @@ def stream_abandonment(spark: SparkSession, sf: str) -> DataFrame:
     return forms.event_report(forms.abandonment_events(left))
 
 
+@query
+def stream_top_form_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """The five errors that forms were submitted with most often, from sketches and counts of every micro-batch."""
+    work = shared_dir(spark, "labels")
+
+    def each_batch(events: DataFrame, batch_id: int) -> None:
+        submitted = forms.submit_events(inputs.form_submits(events))
+        jobs.add_labels(submitted.where(F.col("action") == "submit:error"), f"{work}/labels", batch_id, LABELS_TRACKED)
+
+    folded.run_to_end(_stream(spark, sf, "events", work), each_batch, f"{work}/checkpoint")
+    return jobs.most_frequent(spark, f"{work}/labels", 5, LABELS_TRACKED)
+
+
 def _session_stream(spark: SparkSession, sf: str, target: folded.FoldedTable, work: str) -> DataFrame:
     """The log comes in the order of time, as an id runs from the request that was seen first."""
     requests = _stream(spark, sf, "events", work, _by_time(spark, sf, "events", "ts")).select(
