@@ -180,8 +180,9 @@ def metadata_table(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def contribution_accounts(spark: SparkSession, sf: str) -> DataFrame:
     """What every payment and every request came to; both sides add up to their logs."""
-    payments = records.read_payments(inputs.payment_log(table(spark, sf, "orders")))
-    asked = inputs.read_requests(request_log(spark, sf))
+    # Both sides of the accounts look at both logs, and documents are to be made and read once. Their text is not told of.
+    payments = written(records.read_payments(inputs.payment_log(table(spark, sf, "orders"))).drop("document"), "payments")
+    asked = written(inputs.read_requests(request_log(spark, sf)).drop("document"), "requests")
     return attribution.accounts(attribution.contributions(payments, asked), payments, asked, inputs.stored())
 
 

@@ -62,3 +62,10 @@ def test_documents_are_parsed_once_even_under_a_filter(spark, sf_dir):
     hooks = ledger.parsed(ledger.triage(inputs.stripe_hooks(inputs.table(spark, sf_dir, "orders"))))
     text = hooks._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("from_json") == 1
+
+
+def test_accounts_make_and_read_documents_once(spark, sf_dir):
+    from donorlake.bindings import queries
+
+    plan = queries.QUERIES["contribution_accounts"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "to_json" not in plan and "from_json" not in plan
