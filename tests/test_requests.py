@@ -127,3 +127,24 @@ def test_payment_records(spark):
     assert (first["name"], first["authorization_id"], first["approval_url"]) == ("P", "auth1", "b")
     assert first["approval_error"] is None and empty["approval_error"] == "Unable to parse payment"
     assert empty["has_transaction"] is False and nobody["has_payer"] is False
+
+
+def test_texts_that_are_not_asked_for_are_checked_all_the_same(spark):
+    card = '{"name": "N", "currency": "gbp", "amount": 5, "email": "a@b", "token": "t", "sitePageviewId": "p"%s}'
+    capture = '{"paymentId": "P1", "platform": "ios"%s}'
+    url = "https://pay.example.com/x?paymentId=P2&token=t&PayerID=q&CMP=c%s"
+    documents = [("stripe", card % more) for more in ("", ', "cmp": 5', ', "cmp": null', ', "cmp": "c", "idUser": true', ', "cmp": {"a": 1}', ', "source": "?"')]
+    documents += [("stripe", text) for text in ('{"name": 5}', '{"name": null}', "{", "[]", "", None, card.replace('"N"', "null") % "", card.replace('"a@b"', "[]") % "")]
+    documents += [("paypal-capture", capture % more) for more in ("", ', "intCmp": 1', ', "abTest": {"name": "n"}')] + [("paypal-capture", '{"paymentId": 1}')]
+    documents += [("paypal-execute", url % more) for more in ("", "&INTCMP=%zz", "&supportRedirect=maybe", "&source=x&componentType=y")]
+    documents += [("paypal-execute", "https://pay.example.com/x?token=t"), ("end", "x")]
+    schema = "kind string, document string, charge_id string, session_platform string, session_iduser string, n int"
+    log = spark.createDataFrame([(kind, text, "ch" if kind == "stripe" else None, None, "u", n) for n, (kind, text) in enumerate(documents)], schema)
+    read = lambda asked: requests.read_requests(log, id_prefix="site", sources=("PartnerWeb",), asked=asked)
+    whole, narrow = read(None), read(("cmp",))
+    assert narrow.schema == whole.schema
+    same = ["n", "kind", "paymentid", "problem", "cmp", "component_type", "source", "native_tests", "is_support"]
+    rows = lambda df: sorted(df.select(same).collect(), key=lambda r: r["n"])
+    assert rows(narrow) == rows(whole)
+    assert len({r["problem"] for r in rows(whole)}) > 8
+    assert narrow.where("email IS NOT NULL OR browser_id IS NOT NULL OR referrer_url IS NOT NULL").count() == 0
